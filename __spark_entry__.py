@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_texts  # noqa: E402
-from harbor.operators import centers, clean, density, dwell, ports, report  # noqa: E402
+from harbor.operators import centers, clean, density, dwell, ports, report, track  # noqa: E402
 from harbor.plans import detection  # noqa: E402
 from harbor.sources import events, reports, scratch  # noqa: E402
 
@@ -29,7 +29,7 @@ FITTED_CLUSTERS = 7
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return events.raw_reports(events.positions_from_events(spark, sf))
+    return events.raw_reports(events.positions_table(spark, sf))
 
 
 def projected(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,7 +37,7 @@ def projected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def typed(spark: SparkSession, sf: str) -> DataFrame:
-    return events.positions_from_events(spark, sf)
+    return events.positions_table(spark, sf)
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,9 +147,9 @@ def queries() -> dict[str, Query]:
         "ship_type_histogram": lambda s, d: report.ship_type_histogram(stationary(s, d)),
         "mover_exclusion": lambda s, d: dwell.mover_exclusion(cleaned(s, d), FAST_MESSAGES_KEPT),
         # Tracks
-        "previous_position": lambda s, d: dwell.previous_position(slow_of_dwelling(s, d)),
+        "previous_position": lambda s, d: track.previous_position(slow_of_dwelling(s, d)),
         "segment_distance": lambda s, d: rounded(
-            dwell.segment_distance(dwell.previous_position(slow_of_dwelling(s, d))), "segment_km"
+            track.segment_distance(track.previous_position(slow_of_dwelling(s, d))), "segment_km"
         ),
         # Grids
         "fine_bins": lambda s, d: rounded(ports.fine_bins(stationary(s, d)), "total_distance_km"),

@@ -33,5 +33,6 @@ MAX_BUBBLE_RADIUS = 20
 
 # Tuning only, no effect on results.
 SLICE_MINUTES = 60  # a vessel's track is cut into slices this long, so that no task holds a whole track
+MAX_PIECE_ROWS = 1_000_000  # most messages of one vessel that one task sorts
 MAX_BROADCAST_ROWS = 1_000_000  # largest lookup table sent to every executor, about 100 MB
 COPIES_PER_CHUNK = 10_000  # identical rows unfolded at a time

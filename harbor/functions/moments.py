@@ -17,7 +17,15 @@ def parse_wall_clock(text: Column, pattern: str) -> Column:
     )
 
 
+def _minute(ts: Column) -> Column:
+    return F.unix_date(F.to_date(ts)).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+
+
 def time_slice(ts: Column, minutes: int) -> Column:
     """Number of the ``minutes``-long slice that holds ``ts``; grows with time."""
-    minute = F.unix_date(F.to_date(ts)).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts)
-    return F.floor(minute / minutes)
+    return F.floor(_minute(ts) / minutes)
+
+
+def time_second(ts: Column) -> Column:
+    """Number of the second that holds ``ts``; grows with time."""
+    return _minute(ts) * 60 + F.second(ts)

@@ -58,7 +58,7 @@ class Lattice:
         return (self.bucket - 1) // self.block + 1
 
     def number(self, x: Column, y: Column) -> Column:
-        """Number of a cell, growing with (x, y); the same scheme numbers blocks."""
+        """Number of a cell, growing with (x, y)."""
         per_degree = 10**self.decimals
         return (x + 90 * per_degree) * (360 * per_degree + 1) + (y + 180 * per_degree)
 
@@ -95,20 +95,19 @@ def _near_pairs(left: DataFrame, right: DataFrame, lattice: Lattice) -> DataFram
 
 
 def _touching_blocks(core: DataFrame, lattice: Lattice) -> DataFrame:
-    """Pairs of blocks that hold core cells at most eps apart, each pair once."""
+    """Pairs of blocks that hold core cells at most eps apart."""
 
     def touching(line: str, across: str, sideways: int) -> DataFrame:
         # Blocks that follow each other along ``across``: per pair of lines, the last
         # cell of the earlier block and the first cell of the later one are the closest.
-        lines = core.groupBy("block_x", "block_y", line).agg(
+        lines = core.groupBy("block_x", "block_y", "id", line).agg(
             F.min(across).alias("first"), F.max(across).alias("last")
         )
         earlier = (
             lines.withColumn("step_line", F.explode(F.sequence(F.lit(-sideways), F.lit(sideways))))
             .withColumn("step_across", F.explode(F.sequence(F.lit(1), F.lit(lattice.block_reach))))
             .select(
-                F.col("block_x").alias("from_x"),
-                F.col("block_y").alias("from_y"),
+                F.col("id").alias("from_id"),
                 F.col(line).alias("from_line"),
                 "last",
                 (F.col(f"block_{line}") + F.col("step_line")).alias(f"block_{line}"),
@@ -116,14 +115,12 @@ def _touching_blocks(core: DataFrame, lattice: Lattice) -> DataFrame:
             )
         )
         pairs = earlier.join(lines.drop("last"), ["block_x", "block_y"])
-        return pairs.filter(lattice.near(F.col(line) - F.col("from_line"), F.col("first") - F.col("last"))).select(
-            lattice.number(F.col("from_x"), F.col("from_y")).alias("a"),
-            lattice.number(F.col("block_x"), F.col("block_y")).alias("b"),
-        )
+        near = lattice.near(F.col(line) - F.col("from_line"), F.col("first") - F.col("last"))
+        return pairs.filter(near).select(F.col("from_id").alias("a"), F.col("id").alias("b"))
 
     ahead = touching("x", "y", sideways=lattice.block_reach)
     beside = touching("y", "x", sideways=0)
-    return ahead.unionByName(beside).distinct()
+    return ahead.unionByName(beside)
 
 
 def dbscan_labels(
@@ -145,17 +142,18 @@ def dbscan_labels(
     if min_samples > 1:
         degrees = _near_pairs(place, place, lattice).groupBy("point").agg(F.count("*").alias("degree"))
         dense = degrees.filter(F.col("degree") >= min_samples).select("point")
-        core = materialize(place.join(dense, "point"), "core")
+        core = place.join(dense, "point")
     else:
         core = place
 
-    core = core.withColumns({f"block_{name}": F.floor(F.col(name) / lattice.block) for name in "xy"})
-    core = core.withColumn("id", lattice.number(F.col("block_x"), F.col("block_y")))
-    blocks = core.select("id").distinct()
-    roots = connected_components(blocks, _touching_blocks(core, lattice), max_rounds)
-    rooted = core.select("point", "x", "y", "id").join(roots, "id")
-    names = rooted.groupBy("root").agg(F.min("point").alias("cluster"))
-    labels = rooted.join(names, "root").select("point", "cluster", F.lit("core").alias("role"))
+    # A block goes by the number of its smallest core cell, so the smallest number in a
+    # component of blocks is the smallest core cell of the cluster.
+    block = [F.floor(F.col(name) / lattice.block).alias(f"block_{name}") for name in "xy"]
+    core = core.select("point", "x", "y", *block)
+    names = core.groupBy("block_x", "block_y").agg(F.min("point").alias("id"))
+    core = materialize(core.join(names, ["block_x", "block_y"]), "core")
+    roots = connected_components(core.select("id").distinct(), _touching_blocks(core, lattice), max_rounds)
+    labels = core.join(roots, "id").select("point", F.col("root").alias("cluster"), F.lit("core").alias("role"))
 
     if min_samples > 1:
         labels = materialize(labels, "labels")

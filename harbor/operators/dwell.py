@@ -1,27 +1,19 @@
-"""Vessels that stay in place: many slow messages, little distance travelled.
+"""Vessels that stay in place: many slow messages, little distance travelled."""
 
-No step gives one task a whole vessel. Counting is pre-aggregated before the
-shuffle. A track is cut into time slices: distances inside a slice need only that
-slice, and the gaps between slices need one row per slice, of which a vessel has
-as many as the calendar has slices, however many messages it sends. Identical
-messages are folded into one row with a count before the slices are formed.
-"""
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harbor.defaults import (
-    COPIES_PER_CHUNK,
     MAX_BROADCAST_ROWS,
     MAX_DISTANCE_KM,
     MAX_FAST_MESSAGES,
+    MAX_PIECE_ROWS,
     MIN_SLOW_MESSAGES,
     SLICE_MINUTES,
     SLOW_KNOTS,
 )
-from harbor.functions.geo import haversine_km
-from harbor.functions.moments import time_slice
 from harbor.operators.lookup import attach
+from harbor.operators.track import vessel_tracks
 
 
 def low_speed(positions: DataFrame, slow_knots: float = SLOW_KNOTS) -> DataFrame:
@@ -62,118 +54,14 @@ def vessel_total(positions: DataFrame) -> DataFrame:
     return positions.agg(F.count_distinct("mmsi").alias("vessels"))
 
 
-def _fold_copies(slow: DataFrame, columns: list[str], slice_minutes: int) -> DataFrame:
-    """Distinct messages with ``copies`` and their time ``slice``."""
-    folded = slow.groupBy(columns).agg(F.count("*").alias("copies"))
-    return folded.withColumn("slice", time_slice(F.col("ts"), slice_minutes))
-
-
-def _unfold_copies(folded: DataFrame, chunk: int = COPIES_PER_CHUNK) -> DataFrame:
-    """One row per message again, numbered by ``copy`` from 1; many copies are spread over tasks."""
-    one = F.lit(1).cast("long")
-    few = folded.filter(F.col("copies") <= chunk)
-    many = folded.filter(F.col("copies") > chunk)
-    starts = F.sequence(one, F.col("copies"), F.lit(chunk).cast("long"))
-    chunks = many.withColumn("first_copy", F.explode(starts)).repartition("mmsi", "ts", "first_copy")
-    last_copy = F.least("copies", F.col("first_copy") + (chunk - 1))
-    return few.withColumn("copy", F.explode(F.sequence(one, "copies"))).unionByName(
-        chunks.withColumn("copy", F.explode(F.sequence("first_copy", last_copy))).drop("first_copy")
-    )
-
-
-def _track(*columns: str) -> Window:
-    """A vessel's slice in path order; place decides between messages of one second."""
-    return Window.partitionBy("mmsi", "slice").orderBy("ts", "latitude", "longitude", *columns)
-
-
-def previous_position(
-    slow: DataFrame, slice_minutes: int = SLICE_MINUTES, chunk: int = COPIES_PER_CHUNK
-) -> DataFrame:
-    """Each message with the vessel's previous place; a vessel's first message is dropped."""
-    others = [name for name in slow.columns if name not in ("mmsi", "ts", "latitude", "longitude")]
-    messages = _fold_copies(slow, slow.columns, slice_minutes)
-    track = _track(*others)
-
-    # Where the vessel was when its previous slice ended.
-    sliced = slow.withColumn("slice", time_slice(F.col("ts"), slice_minutes))
-    end = F.max(F.struct("ts", "latitude", "longitude"))
-    ends = sliced.groupBy("mmsi", "slice").agg(end.alias("end"))
-    carried = F.lag("end").over(Window.partitionBy("mmsi").orderBy("slice"))
-    carried = ends.select("mmsi", "slice", carried.alias("carried"))
-
-    placed = (
-        messages.withColumn("prev_lat", F.lag("latitude").over(track))
-        .withColumn("prev_lon", F.lag("longitude").over(track))
-        .join(carried, ["mmsi", "slice"])
-        .withColumn("prev_lat", F.coalesce("prev_lat", "carried.latitude"))
-        .withColumn("prev_lon", F.coalesce("prev_lon", "carried.longitude"))
-    )
-    # Only the first of several copies comes from elsewhere.
-    repeated = F.col("copy") > 1
-    return (
-        _unfold_copies(placed, chunk)
-        .withColumn("prev_lat", F.when(repeated, F.col("latitude")).otherwise(F.col("prev_lat")))
-        .withColumn("prev_lon", F.when(repeated, F.col("longitude")).otherwise(F.col("prev_lon")))
-        .dropna(subset=["prev_lat", "prev_lon"])
-        .select(*slow.columns, "prev_lat", "prev_lon")
-    )
-
-
-def segment_distance(steps: DataFrame) -> DataFrame:
-    """Add ``segment_km``, the distance from the previous place."""
-    return steps.withColumn(
-        "segment_km", haversine_km(F.col("prev_lat"), F.col("prev_lon"), F.col("latitude"), F.col("longitude"))
-    )
-
-
-def vessel_tracks(slow: DataFrame, slice_minutes: int = SLICE_MINUTES) -> DataFrame:
-    """One row per vessel: ``low_speed_msgs`` and ``total_distance_km``.
-
-    The distance is null for a vessel with a single message. Only the four needed
-    columns are shuffled.
-    """
-    messages = _fold_copies(slow, ["mmsi", "ts", "latitude", "longitude"], slice_minutes)
-    track = _track()
-    steps = (
-        messages.withColumn("prev_lat", F.lag("latitude").over(track))
-        .withColumn("prev_lon", F.lag("longitude").over(track))
-        .withColumn("next_lat", F.lead("latitude").over(track))
-    )
-    starts, ends = F.col("prev_lat").isNull(), F.col("next_lat").isNull()
-    slices = (
-        segment_distance(steps)
-        .groupBy("mmsi", "slice")
-        .agg(
-            F.sum("copies").alias("messages"),
-            F.sum("segment_km").alias("inside_km"),
-            F.max(F.when(starts, F.col("latitude"))).alias("latitude"),
-            F.max(F.when(starts, F.col("longitude"))).alias("longitude"),
-            F.max(F.when(ends, F.col("latitude"))).alias("end_lat"),
-            F.max(F.when(ends, F.col("longitude"))).alias("end_lon"),
-        )
-    )
-    by_slice = Window.partitionBy("mmsi").orderBy("slice")
-    joined = segment_distance(
-        slices.withColumn("prev_lat", F.lag("end_lat").over(by_slice)).withColumn(
-            "prev_lon", F.lag("end_lon").over(by_slice)
-        )
-    )
-    travelled = F.coalesce("inside_km", F.lit(0.0)) + F.coalesce("segment_km", F.lit(0.0))
-    vessels = joined.groupBy("mmsi").agg(
-        F.sum("messages").alias("low_speed_msgs"), F.sum(travelled).alias("travelled_km")
-    )
-    return vessels.select(
-        "mmsi",
-        "low_speed_msgs",
-        F.when(F.col("low_speed_msgs") > 1, F.col("travelled_km")).alias("total_distance_km"),
-    )
-
-
 def vessel_distance(
-    slow: DataFrame, min_messages: int = MIN_SLOW_MESSAGES, slice_minutes: int = SLICE_MINUTES
+    slow: DataFrame,
+    min_messages: int = MIN_SLOW_MESSAGES,
+    slice_minutes: int = SLICE_MINUTES,
+    max_piece_rows: int = MAX_PIECE_ROWS,
 ) -> DataFrame:
     """Distance travelled by each dwelling vessel over its slow messages."""
-    vessels = vessel_tracks(slow, slice_minutes).filter(dwells(min_messages))
+    vessels = vessel_tracks(slow, slice_minutes, max_piece_rows).filter(dwells(min_messages))
     return vessels.select("mmsi", "total_distance_km").dropna()
 
 
@@ -182,9 +70,10 @@ def stationary_vessels(
     min_messages: int = MIN_SLOW_MESSAGES,
     max_distance_km: float = MAX_DISTANCE_KM,
     slice_minutes: int = SLICE_MINUTES,
+    max_piece_rows: int = MAX_PIECE_ROWS,
 ) -> DataFrame:
     """Dwelling vessels that travelled less than ``max_distance_km``."""
-    return vessel_distance(slow, min_messages, slice_minutes).filter(stays_near(max_distance_km))
+    return vessel_distance(slow, min_messages, slice_minutes, max_piece_rows).filter(stays_near(max_distance_km))
 
 
 def stationary_positions(
@@ -193,11 +82,16 @@ def stationary_positions(
     min_messages: int = MIN_SLOW_MESSAGES,
     max_distance_km: float = MAX_DISTANCE_KM,
     slice_minutes: int = SLICE_MINUTES,
+    max_piece_rows: int = MAX_PIECE_ROWS,
     max_broadcast: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Slow messages of stationary vessels, with the vessel's message count and distance."""
+    """Slow messages of stationary vessels, with the vessel's message count and distance.
+
+    Two narrow passes measure the vessels; the messages themselves are only
+    filtered by a lookup and, unless there are very many vessels, never shuffled.
+    """
     slow = low_speed(positions, slow_knots)
-    vessels = vessel_tracks(slow, slice_minutes)
+    vessels = vessel_tracks(slow, slice_minutes, max_piece_rows)
     keep = dwells(min_messages) & stays_near(max_distance_km)
     return attach(slow, vessels, ["mmsi"], "low_speed_msgs", keep, max_broadcast)
 

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harbor.sources.scratch import materialize
+
 # One text for Spark and for the SQL that checks it.
 POSITIONS_SQL = """
 SELECT 219000000 + user_id AS mmsi,
@@ -31,6 +33,22 @@ def positions_from_events(spark: SparkSession, data_dir: str) -> DataFrame:
     return positions.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+_tables: dict[tuple[str, str], DataFrame] = {}
+
+
+def positions_table(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The derived positions as a table at rest, written once per application.
+
+    This stands for the stored position files of real use: later scans read plain
+    columns, prune them, and push filters into the file reader, where filters over
+    the derivation would evaluate its long expressions many times.
+    """
+    key = (spark.sparkContext.applicationId, data_dir)
+    if key not in _tables:
+        _tables[key] = materialize(positions_from_events(spark, data_dir), "positions")
+    return _tables[key].select("*")
+
+
 def raw_reports(positions: DataFrame) -> DataFrame:
     """Positions in the columns and text time format of a daily position file."""
     return positions.select(
