@@ -93,6 +93,15 @@ def _with(select: str, dbscan: tuple[int, int] | None = None) -> str:
     return f"WITH {'RECURSIVE ' if dbscan else ''}{', '.join(parts)}\n{select}"
 
 
+def on_stored_positions(query: str, table: str) -> str:
+    """The SQL of a query that ends at one of the relations above, reading positions from ``table``."""
+    relation = {"stationary_positions": "stationary", "port_candidates": "candidates"}[query]
+    names = list(CTES)
+    needed = [name for name in names[: names.index(relation) + 1] if name not in ("positions", "raw")]
+    parts = [f"positions AS (SELECT * FROM {table})", *(f"{name} AS (\n{CTES[name]}\n)" for name in needed)]
+    return f"WITH {', '.join(parts)}\nSELECT * FROM {relation}"
+
+
 def _span(table: str, method: str) -> str:
     values = "count(*) AS ports, min(vessel_count) AS min_vessels, max(vessel_count) AS max_vessels"
     largest = f"(SELECT vessel_count FROM {table} ORDER BY vessel_count DESC LIMIT 5)"
