@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 def parse_wall_clock(text: Column, pattern: str) -> Column:
     """Text to timestamp_ntz, null when the text does not match.
 
-    The strict zone-free parser throws on bad text and the tolerant one applies
-    the session zone, which would move times inside a daylight-saving gap. So the
-    tolerant one only decides whether the strict one may run.
+    The tolerant parser yields instants in the session zone, where daylight saving
+    would move some times. So the text is read as UTC, and the seconds since the
+    epoch are put on the zone-free epoch.
     """
-    return F.when(
-        F.try_to_timestamp(text, F.lit(pattern)).isNotNull(),
-        F.to_timestamp_ntz(text, F.lit(pattern)),
-    )
+    instant = F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit(pattern + "X"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("SECOND", F.unix_seconds(instant), epoch)
 
 
 def _minute(ts: Column) -> Column:

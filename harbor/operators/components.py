@@ -16,8 +16,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     returns to the driver.
     """
     roots = nodes.select("id", F.col("id").alias("root"))
-    remaining = edges.select("a", "b").filter("a <> b")
-    remaining = remaining.unionByName(remaining.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both_ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    remaining = edges.filter("a <> b").select(F.inline(both_ways)).distinct()
     remaining = materialize(remaining, "edges")
     for _ in range(max_rounds):
         if remaining.isEmpty():

@@ -95,32 +95,37 @@ def _near_pairs(left: DataFrame, right: DataFrame, lattice: Lattice) -> DataFram
 
 
 def _touching_blocks(core: DataFrame, lattice: Lattice) -> DataFrame:
-    """Pairs of blocks that hold core cells at most eps apart."""
+    """Pairs of blocks that hold core cells at most eps apart.
 
-    def touching(line: str, across: str, sideways: int) -> DataFrame:
-        # Blocks that follow each other along ``across``: per pair of lines, the last
-        # cell of the earlier block and the first cell of the later one are the closest.
-        lines = core.groupBy("block_x", "block_y", "id", line).agg(
-            F.min(across).alias("first"), F.max(across).alias("last")
-        )
-        earlier = (
-            lines.withColumn("step_line", F.explode(F.sequence(F.lit(-sideways), F.lit(sideways))))
-            .withColumn("step_across", F.explode(F.sequence(F.lit(1), F.lit(lattice.block_reach))))
-            .select(
-                F.col("id").alias("from_id"),
-                F.col(line).alias("from_line"),
-                "last",
-                (F.col(f"block_{line}") + F.col("step_line")).alias(f"block_{line}"),
-                (F.col(f"block_{across}") + F.col("step_across")).alias(f"block_{across}"),
-            )
-        )
-        pairs = earlier.join(lines.drop("last"), ["block_x", "block_y"])
-        near = lattice.near(F.col(line) - F.col("from_line"), F.col("first") - F.col("last"))
-        return pairs.filter(near).select(F.col("from_id").alias("a"), F.col("id").alias("b"))
+    Of two blocks, one follows the other northward, or they are level and one
+    follows eastward. Either way, on a pair of lines that run in that direction the
+    last cell of the first block and the first cell of the second are the closest.
+    """
 
-    ahead = touching("x", "y", sideways=lattice.block_reach)
-    beside = touching("y", "x", sideways=0)
-    return ahead.unionByName(beside)
+    def lines(line: str, along: str, sideways: int) -> DataFrame:
+        return core.groupBy(
+            F.lit(sideways).alias("sideways"),
+            F.col(f"block_{line}").alias("block_line"),
+            F.col(f"block_{along}").alias("block_along"),
+            "id",
+            F.col(line).alias("line"),
+        ).agg(F.min(along).alias("first"), F.max(along).alias("last"))
+
+    reach = lattice.block_reach
+    ends = lines("y", "x", reach).unionByName(lines("x", "y", 0))
+    ahead = ends.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(reach))))
+    ahead = ahead.withColumn("aside", F.explode(F.sequence(-F.col("sideways"), "sideways")))
+    ahead = ahead.select(
+        F.col("id").alias("a"),
+        F.col("line").alias("from_line"),
+        "last",
+        "sideways",
+        (F.col("block_line") + F.col("aside")).alias("block_line"),
+        (F.col("block_along") + F.col("step")).alias("block_along"),
+    )
+    pairs = ahead.join(ends.drop("last"), ["sideways", "block_line", "block_along"])
+    near = lattice.near(F.col("line") - F.col("from_line"), F.col("first") - F.col("last"))
+    return pairs.filter(near).select("a", F.col("id").alias("b"))
 
 
 def dbscan_labels(

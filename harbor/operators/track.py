@@ -50,11 +50,11 @@ class Pieces:
 def _heavy_keys(rows: DataFrame, key: list[str], max_rows: int) -> DataFrame | None:
     """Keys with more than ``max_rows`` rows; of very many, those that weigh most."""
     counts = rows.groupBy(key).agg(F.count("*").alias("rows"))
-    heavy = materialize(counts.filter(F.col("rows") > max_rows), "heavy")
-    number, total = heavy.agg(F.count("*"), F.sum("rows")).first()
+    heavy = F.col("rows") > max_rows
+    number, total = counts.filter(heavy).agg(F.count("*"), F.sum("rows")).first()
     if number > MAX_BROADCAST_ROWS:
-        heavy = heavy.filter(F.col("rows") >= total / MAX_BROADCAST_ROWS)
-    return F.broadcast(heavy.select(key)) if number else None
+        heavy = F.col("rows") >= total / MAX_BROADCAST_ROWS
+    return F.broadcast(materialize(counts.filter(heavy).select(key), "heavy")) if number else None
 
 
 def cut_tracks(
