@@ -33,19 +33,10 @@ class Pieces:
     key: list[str]
     crowded: DataFrame | None  # the folded messages of crowded slices, if there are any
 
-    @property
-    def cut(self) -> bool:
-        """Whether any track has more than one piece."""
-        return len(self.key) > 1
-
     def inside(self, *tie_break: str) -> WindowSpec:
         """A piece in path order; place decides between messages of one second."""
         return Window.partitionBy(self.key).orderBy(*PLACE, *tie_break)
 
-    def across(self) -> WindowSpec:
-        """The pieces of a vessel in path order, one row each."""
-        return Window.partitionBy("mmsi").orderBy(self.key[1:])
-
 
 def _heavy_keys(rows: DataFrame, key: list[str], max_rows: int) -> DataFrame | None:
     """Keys with more than ``max_rows`` rows; of very many, those that weigh most."""
@@ -87,54 +78,56 @@ def segment_distance(steps: DataFrame) -> DataFrame:
     )
 
 
+def _along(rows: DataFrame, path: WindowSpec, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """Add where the row before ended, and whether a row comes first or last on ``path``."""
+    steps = rows.withColumns({"prev_lat": F.lag(lat).over(path), "prev_lon": F.lag(lon).over(path)})
+    last = F.lead(lat).over(path).isNull()
+    return segment_distance(steps.withColumns({"first": F.col("prev_lat").isNull(), "last": last}))
+
+
+def _ends(lat: str = "latitude", lon: str = "longitude") -> list[Column]:
+    """Aggregates: where the first row begins and the last row ends."""
+    names = {"latitude": ("first", "latitude"), "longitude": ("first", "longitude")}
+    names |= {"end_lat": ("last", lat), "end_lon": ("last", lon)}
+    return [F.max(F.when(F.col(which), F.col(source))).alias(name) for name, (which, source) in names.items()]
+
+
 def vessel_tracks(
     slow: DataFrame, slice_minutes: int = SLICE_MINUTES, max_piece_rows: int = MAX_PIECE_ROWS
 ) -> DataFrame:
     """One row per vessel: ``low_speed_msgs`` and ``total_distance_km``.
 
     The distance is null for a vessel with a single message. Only the four needed
-    columns are shuffled.
+    columns are shuffled. Pieces are joined up level by level, bands to seconds,
+    seconds to slices and slices to the track, so each level meets few rows.
     """
     pieces = cut_tracks(slow.select("mmsi", *PLACE), slice_minutes, max_piece_rows)
-    inside = pieces.inside()
-    steps = pieces.messages.withColumns(
-        {
-            "prev_lat": F.lag("latitude").over(inside),
-            "prev_lon": F.lag("longitude").over(inside),
-            "next_lat": F.lead("latitude").over(inside),
-        }
-    )
-
-    def at(condition: Column, name: str) -> Column:
-        return F.max(F.when(condition, F.col(name)))
-
-    start, end = F.col("prev_lat").isNull(), F.col("next_lat").isNull()
-    summaries = (
-        segment_distance(steps)
-        .groupBy(pieces.key)
-        .agg(
-            F.sum("copies").alias("messages"),
-            F.sum("segment_km").alias("inside_km"),
-            at(start, "latitude").alias("latitude"),
-            at(start, "longitude").alias("longitude"),
-            at(end, "latitude").alias("end_lat"),
-            at(end, "longitude").alias("end_lon"),
+    kilometres = F.coalesce("segment_km", F.lit(0.0))
+    parts = _along(pieces.messages, pieces.inside()).groupBy(pieces.key)
+    parts = parts.agg(F.sum("copies").alias("messages"), F.sum(kilometres).alias("km"), *_ends())
+    for depth in range(len(pieces.key) - 1, 0, -1):
+        whole = pieces.key[:depth]
+        path = Window.partitionBy(whole).orderBy(pieces.key[depth])
+        parts = _along(parts, path, "end_lat", "end_lon").groupBy(whole)
+        parts = parts.agg(
+            F.sum("messages").alias("messages"),
+            F.sum(F.col("km") + kilometres).alias("km"),
+            *_ends("end_lat", "end_lon"),
         )
-    )
-    travelled = F.coalesce("inside_km", F.lit(0.0))
-    if pieces.cut:
-        across = pieces.across()
-        before = {"prev_lat": F.lag("end_lat").over(across), "prev_lon": F.lag("end_lon").over(across)}
-        summaries = segment_distance(summaries.withColumns(before))
-        travelled = travelled + F.coalesce("segment_km", F.lit(0.0))
-    vessels = summaries.groupBy("mmsi").agg(
-        F.sum("messages").alias("low_speed_msgs"), F.sum(travelled).alias("travelled_km")
-    )
-    return vessels.select(
-        "mmsi",
-        "low_speed_msgs",
-        F.when(F.col("low_speed_msgs") > 1, F.col("travelled_km")).alias("total_distance_km"),
-    )
+    distance = F.when(F.col("messages") > 1, F.col("km"))
+    return parts.select("mmsi", F.col("messages").alias("low_speed_msgs"), distance.alias("total_distance_km"))
+
+
+def _carried(ends: DataFrame, key: list[str]) -> DataFrame:
+    """For each piece, the end of the vessel's piece before it, looked up level by level."""
+    whole = key[:-1]
+    path = Window.partitionBy(whole).orderBy(key[-1])
+    pieces = ends.withColumns({"carried": F.lag("end").over(path), "next": F.lead("end").over(path)})
+    if len(whole) > 1:
+        outer = _carried(pieces.filter(F.col("next").isNull()).select(*whole, "end"), whole)
+        pieces = pieces.join(outer.withColumnRenamed("carried", "earlier"), whole)
+        pieces = pieces.withColumn("carried", F.coalesce("carried", "earlier"))
+    return pieces.select(*key, "carried")
 
 
 def previous_position(
@@ -146,15 +139,12 @@ def previous_position(
     """Each message with the vessel's previous place; a vessel's first message is dropped."""
     pieces = cut_tracks(slow, slice_minutes, max_piece_rows)
     inside = pieces.inside(*[name for name in slow.columns if name not in ("mmsi", *PLACE)])
-
     steps = pieces.messages.withColumns(
         {"prev_lat": F.lag("latitude").over(inside), "prev_lon": F.lag("longitude").over(inside)}
     )
-    if pieces.cut:
-        # Where the vessel was when its previous piece ended.
+    if len(pieces.key) > 1:
         ends = pieces.messages.groupBy(pieces.key).agg(F.max(F.struct(PLACE)).alias("end"))
-        carried = ends.select(*pieces.key, F.lag("end").over(pieces.across()).alias("carried"))
-        steps = steps.join(carried, pieces.key).withColumns(
+        steps = steps.join(_carried(ends, pieces.key), pieces.key).withColumns(
             {
                 "prev_lat": F.coalesce("prev_lat", "carried.latitude"),
                 "prev_lon": F.coalesce("prev_lon", "carried.longitude"),
