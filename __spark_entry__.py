@@ -56,6 +56,11 @@ def stationary(spark: SparkSession, sf: str) -> DataFrame:
     return dwell.stationary_positions(cleaned(spark, sf))
 
 
+def stationary_vessel_days(spark: SparkSession, sf: str) -> DataFrame:
+    by_day = dwell.low_speed(track.with_day(cleaned(spark, sf)))
+    return rounded(dwell.stationary_vessels(by_day, min_messages=2, vessel=track.VESSEL_DAY), "total_distance_km")
+
+
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     return ports.port_candidates(stationary(spark, sf))
 
@@ -144,6 +149,7 @@ def queries() -> dict[str, Query]:
         "vessel_total": lambda s, d: dwell.vessel_total(stationary(s, d)),
         "vessel_distance": lambda s, d: rounded(dwell.vessel_distance(slow(s, d)), "total_distance_km"),
         "stationary_vessels": lambda s, d: rounded(dwell.stationary_vessels(slow(s, d)), "total_distance_km"),
+        "stationary_vessel_days": stationary_vessel_days,
         "ship_type_histogram": lambda s, d: report.ship_type_histogram(stationary(s, d)),
         "mover_exclusion": lambda s, d: dwell.mover_exclusion(cleaned(s, d), FAST_MESSAGES_KEPT),
         # Tracks

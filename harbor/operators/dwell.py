@@ -1,4 +1,9 @@
-"""Vessels that stay in place: many slow messages, little distance travelled."""
+"""Vessels that stay in place: many slow messages, little distance travelled.
+
+The rules judge a vessel over all given messages, as fits one day of them. For a
+longer history add ``with_day`` and pass ``vessel=VESSEL_DAY``: then each vessel is
+judged day by day.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +18,7 @@ from harbor.defaults import (
     SLOW_KNOTS,
 )
 from harbor.operators.lookup import attach
-from harbor.operators.track import vessel_tracks
+from harbor.operators.track import VESSEL, vessel_tracks
 
 
 def low_speed(positions: DataFrame, slow_knots: float = SLOW_KNOTS) -> DataFrame:
@@ -21,9 +26,9 @@ def low_speed(positions: DataFrame, slow_knots: float = SLOW_KNOTS) -> DataFrame
     return positions.filter(F.col("sog") < slow_knots)
 
 
-def low_speed_counts(slow: DataFrame) -> DataFrame:
+def low_speed_counts(slow: DataFrame, vessel: list[str] = VESSEL) -> DataFrame:
     """Slow messages per vessel."""
-    return slow.groupBy("mmsi").agg(F.count("*").alias("low_speed_msgs"))
+    return slow.groupBy(vessel).agg(F.count("*").alias("low_speed_msgs"))
 
 
 def dwells(min_messages: int = MIN_SLOW_MESSAGES) -> Column:
@@ -36,17 +41,22 @@ def stays_near(max_distance_km: float = MAX_DISTANCE_KM) -> Column:
     return F.col("total_distance_km") < max_distance_km
 
 
-def dwelling_vessels(slow: DataFrame, min_messages: int = MIN_SLOW_MESSAGES) -> DataFrame:
+def dwelling_vessels(
+    slow: DataFrame, min_messages: int = MIN_SLOW_MESSAGES, vessel: list[str] = VESSEL
+) -> DataFrame:
     """Vessels with enough slow messages."""
-    return low_speed_counts(slow).filter(dwells(min_messages))
+    return low_speed_counts(slow, vessel).filter(dwells(min_messages))
 
 
 def slow_positions(
-    slow: DataFrame, min_messages: int = MIN_SLOW_MESSAGES, max_broadcast: int = MAX_BROADCAST_ROWS
+    slow: DataFrame,
+    min_messages: int = MIN_SLOW_MESSAGES,
+    max_broadcast: int = MAX_BROADCAST_ROWS,
+    vessel: list[str] = VESSEL,
 ) -> DataFrame:
     """Slow messages of dwelling vessels, with the vessel's ``low_speed_msgs``."""
-    counts = low_speed_counts(slow)
-    return attach(slow, counts, ["mmsi"], "low_speed_msgs", dwells(min_messages), max_broadcast)
+    counts = low_speed_counts(slow, vessel)
+    return attach(slow, counts, vessel, "low_speed_msgs", dwells(min_messages), max_broadcast)
 
 
 def vessel_total(positions: DataFrame) -> DataFrame:
@@ -59,10 +69,11 @@ def vessel_distance(
     min_messages: int = MIN_SLOW_MESSAGES,
     slice_minutes: int = SLICE_MINUTES,
     max_piece_rows: int = MAX_PIECE_ROWS,
+    vessel: list[str] = VESSEL,
 ) -> DataFrame:
     """Distance travelled by each dwelling vessel over its slow messages."""
-    vessels = vessel_tracks(slow, slice_minutes, max_piece_rows).filter(dwells(min_messages))
-    return vessels.select("mmsi", "total_distance_km").dropna()
+    vessels = vessel_tracks(slow, slice_minutes, max_piece_rows, vessel).filter(dwells(min_messages))
+    return vessels.select(*vessel, "total_distance_km").dropna()
 
 
 def stationary_vessels(
@@ -71,9 +82,11 @@ def stationary_vessels(
     max_distance_km: float = MAX_DISTANCE_KM,
     slice_minutes: int = SLICE_MINUTES,
     max_piece_rows: int = MAX_PIECE_ROWS,
+    vessel: list[str] = VESSEL,
 ) -> DataFrame:
     """Dwelling vessels that travelled less than ``max_distance_km``."""
-    return vessel_distance(slow, min_messages, slice_minutes, max_piece_rows).filter(stays_near(max_distance_km))
+    distances = vessel_distance(slow, min_messages, slice_minutes, max_piece_rows, vessel)
+    return distances.filter(stays_near(max_distance_km))
 
 
 def stationary_positions(
@@ -84,6 +97,7 @@ def stationary_positions(
     slice_minutes: int = SLICE_MINUTES,
     max_piece_rows: int = MAX_PIECE_ROWS,
     max_broadcast: int = MAX_BROADCAST_ROWS,
+    vessel: list[str] = VESSEL,
 ) -> DataFrame:
     """Slow messages of stationary vessels, with the vessel's message count and distance.
 
@@ -91,9 +105,9 @@ def stationary_positions(
     filtered by a lookup and, unless there are very many vessels, never shuffled.
     """
     slow = low_speed(positions, slow_knots)
-    vessels = vessel_tracks(slow, slice_minutes, max_piece_rows)
+    vessels = vessel_tracks(slow, slice_minutes, max_piece_rows, vessel)
     keep = dwells(min_messages) & stays_near(max_distance_km)
-    return attach(slow, vessels, ["mmsi"], "low_speed_msgs", keep, max_broadcast)
+    return attach(slow, vessels, vessel, "low_speed_msgs", keep, max_broadcast)
 
 
 def mover_exclusion(
@@ -101,10 +115,11 @@ def mover_exclusion(
     max_fast_messages: int = MAX_FAST_MESSAGES,
     slow_knots: float = SLOW_KNOTS,
     max_broadcast: int = MAX_BROADCAST_ROWS,
+    vessel: list[str] = VESSEL,
 ) -> DataFrame:
     """All messages of vessels with at most ``max_fast_messages`` fast ones."""
-    vessels = positions.groupBy("mmsi").agg(
+    vessels = positions.groupBy(vessel).agg(
         F.count("*").alias("messages"), F.count_if(F.col("sog") >= slow_knots).alias("fast_msgs")
     )
     keep = F.col("fast_msgs") <= max_fast_messages
-    return attach(positions, vessels, ["mmsi"], "messages", keep, max_broadcast).drop("messages")
+    return attach(positions, vessels, vessel, "messages", keep, max_broadcast).drop("messages")

@@ -23,6 +23,9 @@ from harbor.functions.moments import time_second, time_slice
 from harbor.sources.scratch import materialize
 
 PLACE = ["ts", "latitude", "longitude"]
+# Whose track it is: a vessel's, or that of a vessel on one day of a longer history.
+VESSEL = ["mmsi"]
+VESSEL_DAY = ["mmsi", "day"]
 
 
 @dataclass(frozen=True)
@@ -48,18 +51,26 @@ def _heavy_keys(rows: DataFrame, key: list[str], max_rows: int) -> DataFrame | N
     return F.broadcast(materialize(counts.filter(heavy).select(key), "heavy")) if number else None
 
 
+def with_day(positions: DataFrame) -> DataFrame:
+    """Add ``day``, for use with ``VESSEL_DAY``."""
+    return positions.withColumn("day", F.to_date("ts"))
+
+
 def cut_tracks(
-    slow: DataFrame, slice_minutes: int = SLICE_MINUTES, max_piece_rows: int = MAX_PIECE_ROWS
+    slow: DataFrame,
+    slice_minutes: int = SLICE_MINUTES,
+    max_piece_rows: int = MAX_PIECE_ROWS,
+    vessel: list[str] = VESSEL,
 ) -> Pieces:
     """Cut the tracks of ``slow`` into pieces small enough for one task."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    busy = _heavy_keys(slow, ["mmsi"], max_piece_rows)
+    busy = _heavy_keys(slow, vessel, max_piece_rows)
     if busy is None:
-        return Pieces(slow.withColumn("copies", one), ["mmsi"], None)
+        return Pieces(slow.withColumn("copies", one), vessel, None)
 
     moment = F.when(F.col("busy"), time_slice(F.col("ts"), slice_minutes)).otherwise(none)
-    sliced = slow.join(busy.withColumn("busy", F.lit(True)), "mmsi", "left").withColumn("slice", moment)
-    key = ["mmsi", "slice"]
+    sliced = slow.join(busy.withColumn("busy", F.lit(True)), vessel, "left").withColumn("slice", moment)
+    key = [*vessel, "slice"]
     crowded = _heavy_keys(sliced.filter("busy"), key, max_piece_rows)
     sliced = sliced.select(*slow.columns, "slice")
     if crowded is None:
@@ -86,14 +97,24 @@ def _along(rows: DataFrame, path: WindowSpec, lat: str = "latitude", lon: str =
 
 
 def _ends(lat: str = "latitude", lon: str = "longitude") -> list[Column]:
-    """Aggregates: where the first row begins and the last row ends."""
-    names = {"latitude": ("first", "latitude"), "longitude": ("first", "longitude")}
-    names |= {"end_lat": ("last", lat), "end_lon": ("last", lon)}
-    return [F.max(F.when(F.col(which), F.col(source))).alias(name) for name, (which, source) in names.items()]
+    """Aggregates: where the first row begins and where the last row ends."""
+
+    def at(which: str, name: str) -> Column:
+        return F.max(F.when(F.col(which), F.col(name)))
+
+    return [
+        at("first", "latitude").alias("latitude"),
+        at("first", "longitude").alias("longitude"),
+        at("last", lat).alias("end_lat"),
+        at("last", lon).alias("end_lon"),
+    ]
 
 
 def vessel_tracks(
-    slow: DataFrame, slice_minutes: int = SLICE_MINUTES, max_piece_rows: int = MAX_PIECE_ROWS
+    slow: DataFrame,
+    slice_minutes: int = SLICE_MINUTES,
+    max_piece_rows: int = MAX_PIECE_ROWS,
+    vessel: list[str] = VESSEL,
 ) -> DataFrame:
     """One row per vessel: ``low_speed_msgs`` and ``total_distance_km``.
 
@@ -101,11 +122,11 @@ def vessel_tracks(
     columns are shuffled. Pieces are joined up level by level, bands to seconds,
     seconds to slices and slices to the track, so each level meets few rows.
     """
-    pieces = cut_tracks(slow.select("mmsi", *PLACE), slice_minutes, max_piece_rows)
+    pieces = cut_tracks(slow.select(*vessel, *PLACE), slice_minutes, max_piece_rows, vessel)
     kilometres = F.coalesce("segment_km", F.lit(0.0))
     parts = _along(pieces.messages, pieces.inside()).groupBy(pieces.key)
     parts = parts.agg(F.sum("copies").alias("messages"), F.sum(kilometres).alias("km"), *_ends())
-    for depth in range(len(pieces.key) - 1, 0, -1):
+    for depth in range(len(pieces.key) - 1, len(vessel) - 1, -1):
         whole = pieces.key[:depth]
         path = Window.partitionBy(whole).orderBy(pieces.key[depth])
         parts = _along(parts, path, "end_lat", "end_lon").groupBy(whole)
@@ -115,16 +136,16 @@ def vessel_tracks(
             *_ends("end_lat", "end_lon"),
         )
     distance = F.when(F.col("messages") > 1, F.col("km"))
-    return parts.select("mmsi", F.col("messages").alias("low_speed_msgs"), distance.alias("total_distance_km"))
+    return parts.select(*vessel, F.col("messages").alias("low_speed_msgs"), distance.alias("total_distance_km"))
 
 
-def _carried(ends: DataFrame, key: list[str]) -> DataFrame:
+def _carried(ends: DataFrame, key: list[str], vessel: list[str]) -> DataFrame:
     """For each piece, the end of the vessel's piece before it, looked up level by level."""
     whole = key[:-1]
     path = Window.partitionBy(whole).orderBy(key[-1])
     pieces = ends.withColumns({"carried": F.lag("end").over(path), "next": F.lead("end").over(path)})
-    if len(whole) > 1:
-        outer = _carried(pieces.filter(F.col("next").isNull()).select(*whole, "end"), whole)
+    if whole != vessel:
+        outer = _carried(pieces.filter(F.col("next").isNull()).select(*whole, "end"), whole, vessel)
         pieces = pieces.join(outer.withColumnRenamed("carried", "earlier"), whole)
         pieces = pieces.withColumn("carried", F.coalesce("carried", "earlier"))
     return pieces.select(*key, "carried")
@@ -135,16 +156,17 @@ def previous_position(
     slice_minutes: int = SLICE_MINUTES,
     max_piece_rows: int = MAX_PIECE_ROWS,
     chunk: int = COPIES_PER_CHUNK,
+    vessel: list[str] = VESSEL,
 ) -> DataFrame:
     """Each message with the vessel's previous place; a vessel's first message is dropped."""
-    pieces = cut_tracks(slow, slice_minutes, max_piece_rows)
-    inside = pieces.inside(*[name for name in slow.columns if name not in ("mmsi", *PLACE)])
+    pieces = cut_tracks(slow, slice_minutes, max_piece_rows, vessel)
+    inside = pieces.inside(*[name for name in slow.columns if name not in (*vessel, *PLACE)])
     steps = pieces.messages.withColumns(
         {"prev_lat": F.lag("latitude").over(inside), "prev_lon": F.lag("longitude").over(inside)}
     )
-    if len(pieces.key) > 1:
+    if pieces.key != vessel:
         ends = pieces.messages.groupBy(pieces.key).agg(F.max(F.struct(PLACE)).alias("end"))
-        steps = steps.join(_carried(ends, pieces.key), pieces.key).withColumns(
+        steps = steps.join(_carried(ends, pieces.key, vessel), pieces.key).withColumns(
             {
                 "prev_lat": F.coalesce("prev_lat", "carried.latitude"),
                 "prev_lon": F.coalesce("prev_lon", "carried.longitude"),
@@ -177,4 +199,4 @@ def _unfold_rest(folded: DataFrame, chunk: int) -> DataFrame:
     starts = F.sequence(F.lit(chunk + 1).cast("long"), F.col("copies"), F.lit(chunk).cast("long"))
     chunks = folded.filter(F.col("copies") > chunk).withColumn("start", F.explode(starts))
     end = F.least("copies", F.col("start") + (chunk - 1))
-    return chunks.repartition("mmsi", "ts", "start").withColumn("copy", F.explode(F.sequence("start", end)))
+    return chunks.repartition("mmsi", *PLACE, "start").withColumn("copy", F.explode(F.sequence("start", end)))

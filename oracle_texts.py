@@ -145,6 +145,16 @@ def texts() -> dict[str, str]:
         "vessel_total": _with("SELECT count(DISTINCT mmsi) AS vessels FROM stationary"),
         "vessel_distance": _with("SELECT mmsi, round(total_distance_km, 6) AS total_distance_km FROM distance"),
         "stationary_vessels": _with("SELECT mmsi, round(total_distance_km, 6) AS total_distance_km FROM near"),
+        "stationary_vessel_days": _with(
+            """SELECT mmsi, day, round(sum(segment_km), 6) AS total_distance_km FROM (
+                SELECT mmsi, day, 2 * 6371 * asin(sqrt(least(1.0E0,
+                    power(sin(radians(latitude - prev_lat) / 2), 2) + cos(radians(prev_lat)) * cos(radians(latitude))
+                    * power(sin(radians(longitude - prev_lon) / 2), 2)))) AS segment_km
+                FROM (SELECT *, CAST(ts AS DATE) AS day, lag(latitude) OVER w AS prev_lat, lag(longitude) OVER w AS prev_lon
+                      FROM slow WINDOW w AS (PARTITION BY mmsi, CAST(ts AS DATE) ORDER BY ts, latitude, longitude))
+                WHERE prev_lat IS NOT NULL)
+            GROUP BY mmsi, day HAVING sum(segment_km) < 10.0"""
+        ),
         "ship_type_histogram": _with(
             """SELECT ship_type, count(*) AS "count" FROM stationary GROUP BY ship_type
             ORDER BY count(*) DESC, ship_type"""

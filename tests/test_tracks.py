@@ -77,6 +77,21 @@ def test_previous_position(spark, minutes, max_rows, chunk):
     assert len(expected) <= len(steps)
 
 
+@pytest.mark.parametrize("minutes,max_rows", CUTS)
+def test_day_by_day(spark, minutes, max_rows):
+    rows = messages(5)
+    expected = {}
+    for day in {row[1].date() for row in rows}:
+        for row, place in walk([r for r in rows if r[1].date() == day]):
+            expected[row[0], day] = expected.get((row[0], day), 0.0) + haversine(*place, row[2], row[3])
+    assert len({day for _, day in expected}) == 2
+    slow = track.with_day(spark.createDataFrame(rows, SCHEMA))
+    found = track.vessel_tracks(slow, minutes, max_rows, track.VESSEL_DAY).dropna().collect()
+    assert {(r.mmsi, r.day): pytest.approx(r.total_distance_km, abs=1e-9) for r in found} == expected
+    steps = track.previous_position(slow, minutes, max_rows, vessel=track.VESSEL_DAY)
+    assert steps.count() == sum(len(list(walk([r for r in rows if r[1].date() == d]))) for d in {k[1] for k in expected})
+
+
 def test_single_message_has_no_distance(spark):
     slow = spark.createDataFrame([(1, datetime(2025, 4, 20), 55.0, 12.0, 0.1, "Cargo")], SCHEMA)
     assert track.vessel_tracks(slow).collect() == [(1, 1, None)]
