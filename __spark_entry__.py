@@ -109,6 +109,30 @@ def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.agg(F.count("*").alias("clusters"), F.sum("n").alias("messages"))
 
 
+def three_means(spark: SparkSession, sf: str) -> tuple[centers.KMeansModel, DataFrame]:
+    """Three centres for the three far-apart ports: the one case where every start ends alike."""
+    rows = stationary(spark, sf)
+    return centers.kmeans_fit(centers.weighted_places(rows), 3, weight="weight"), rows
+
+
+def kmeans_three_summary(spark: SparkSession, sf: str) -> DataFrame:
+    summary = centers.kmeans_summary(centers.kmeans_assign(*three_means(spark, sf)))
+    return rounded(summary, "lat_bin", "lon_bin").drop("cluster_id")
+
+
+def kmeans_three_cost(spark: SparkSession, sf: str) -> DataFrame:
+    places = centers.weighted_places(stationary(spark, sf))
+    costs = centers.elbow_costs(places, clusters=(3,), weight="weight")
+    return costs.select("k", F.round("wssse", 3).alias("wssse"))
+
+
+def map_features_written(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch.scratch_path(spark, "map")
+    features = report.map_features(candidates(spark, sf))
+    reports.write_map_features(features, path)
+    return spark.read.schema(features.schema).json(path)
+
+
 def port_size_range(spark: SparkSession, sf: str) -> DataFrame:
     found = detection.grid_report(cleaned(spark, sf))
     by_center = centers.kmeans_summary(centers.assign_to_centers(found.stationary, GIVEN_CENTERS))
@@ -186,6 +210,8 @@ def queries() -> dict[str, Query]:
             centers.kmeans_summary(fitted_assignment(s, d)), label_clusters=True
         ),
         "elbow_costs": lambda s, d: centers.elbow_costs(centers.weighted_places(stationary(s, d)), weight="weight"),
+        "kmeans_three_summary": kmeans_three_summary,
+        "kmeans_three_cost": kmeans_three_cost,
         "assign_to_centers": lambda s, d: rounded(on_given_centers(s, d), "total_distance_km", "d2"),
         "wssse_for_centers": lambda s, d: rounded(
             centers.wssse_for_centers(stationary(s, d), GIVEN_CENTERS), "wssse"
@@ -201,6 +227,8 @@ def queries() -> dict[str, Query]:
         "port_size_range": port_size_range,
         "map_center": lambda s, d: rounded(report.map_center(candidates(s, d)), "center_lat", "center_lon"),
         "map_features": lambda s, d: report.map_features(candidates(s, d)),
+        "map_features_written": map_features_written,
+        "geojson_features": lambda s, d: report.geojson_features(report.map_features(candidates(s, d))),
     }
 
 

@@ -116,6 +116,8 @@ def texts() -> dict[str, str]:
     report_columns = "mmsi, timestamp_text, latitude, longitude, sog, ship_type"
     stationary_columns = """mmsi, ts, latitude, longitude, sog, ship_type, low_speed_msgs,
         round(total_distance_km, 6) AS total_distance_km"""
+    bubbles = """SELECT lat_bin AS lat, lon_bin AS lon, CAST(least(vessel_count, 20) AS INTEGER) AS radius,
+        'Vessels: ' || vessel_count AS popup FROM candidates"""
     dense = (100, 1)
     sparse = (1, SPARSE_MIN_SAMPLES)
     return {
@@ -203,6 +205,13 @@ def texts() -> dict[str, str]:
         ),
         "feature_vectors": _with("SELECT mmsi, ts, longitude AS feature_0, latitude AS feature_1 FROM stationary"),
         "kmeans_fit": _with("SELECT CAST(7 AS BIGINT) AS clusters, count(*) AS messages FROM stationary"),
+        "kmeans_three_summary": _with(
+            "SELECT vessel_count, round(lat_bin, 6) AS lat_bin, round(lon_bin, 6) AS lon_bin FROM summary"
+        ),
+        "kmeans_three_cost": _with(
+            """SELECT 3 AS k, round(sum(spread), 3) AS wssse FROM (
+                SELECT (var_pop(latitude) + var_pop(longitude)) * count(*) AS spread FROM assigned GROUP BY prediction)"""
+        ),
         "assign_to_centers": _with(
             f"SELECT {stationary_columns}, prediction, round(d2, 6) AS d2 FROM assigned"
         ),
@@ -237,8 +246,11 @@ def texts() -> dict[str, str]:
         "map_center": _with(
             "SELECT round(avg(lat_bin), 6) AS center_lat, round(avg(lon_bin), 6) AS center_lon FROM candidates"
         ),
-        "map_features": _with(
-            """SELECT lat_bin AS lat, lon_bin AS lon, CAST(least(vessel_count, 20) AS INTEGER) AS radius,
-            'Vessels: ' || vessel_count AS popup FROM candidates"""
+        "map_features": _with(bubbles),
+        "map_features_written": _with(bubbles),
+        "geojson_features": _with(
+            """SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || lon_bin || ',' || lat_bin
+            || ']},"properties":{"radius":' || least(vessel_count, 20) || ',"popup":"Vessels: ' || vessel_count || '"}}'
+            AS feature FROM candidates"""
         ),
     }
