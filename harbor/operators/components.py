@@ -1,34 +1,56 @@
 """Connected components of a graph held in DataFrames."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harbor.defaults import MAX_BROADCAST_ROWS
+from harbor.operators.lookup import attach
 from harbor.sources.scratch import materialize
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(
+    nodes: DataFrame, edges: DataFrame, max_rounds: int = 100, max_broadcast: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
     """Give every node of ``nodes(id)`` the smallest id of its component as ``root``.
 
-    ``edges(a, b)`` are undirected. Each round hangs every node on its smallest
-    neighbour, shortens the resulting chains, and contracts the graph: edges inside
-    a contracted node vanish and parallel ones merge. Only what remains is written
-    for the next round, so rounds get cheaper fast. Nothing but "is an edge left"
-    returns to the driver.
+    ``edges(a, b)`` are undirected. Each round ranks the nodes anew by a hash, hangs
+    every node on its neighbour of lowest rank, and contracts the graph: edges inside
+    a contracted node vanish and parallel ones merge. At least half of the nodes are
+    expected to hang on another one whatever the shape of the graph, so the number
+    of rounds grows with the logarithm of its size; ranks by id would creep along a
+    chain of rising ids. Only what remains is written for the next round, and nothing
+    but "is an edge left" returns to the driver.
     """
     roots = nodes.select("id", F.col("id").alias("root"))
     both_ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     remaining = edges.filter("a <> b").select(F.inline(both_ways)).distinct()
     remaining = materialize(remaining, "edges")
-    for _ in range(max_rounds):
+    for number in range(max_rounds):
         if remaining.isEmpty():
-            return roots
-        hung = remaining.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("up"))
-        above = hung.select(F.col("a").alias("up"), F.col("up").alias("top"))
-        hung = materialize(hung.join(above, "up").select(F.col("a").alias("root"), "top"), "hung")
+            break
+        hung = materialize(_hang(remaining, number), "hung")
         roots = roots.join(hung, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
         for end in ("a", "b"):
-            moved = hung.select(F.col("root").alias(end), F.col("top").alias(f"top_{end}"))
-            remaining = remaining.join(moved, end)
+            remaining = remaining.join(hung.select(F.col("root").alias(end), F.col("top").alias(f"top_{end}")), end)
         remaining = remaining.select(F.col("top_a").alias("a"), F.col("top_b").alias("b"))
         remaining = materialize(remaining.filter("a <> b").distinct(), "edges")
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+    else:
+        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+
+    roots = materialize(roots, "roots")
+    names = roots.groupBy("root").agg(F.min("id").alias("smallest"), F.count("*").alias("size"))
+    named = attach(roots, names, ["root"], "size", max_broadcast=max_broadcast)
+    return named.select("id", F.col("smallest").alias("root"))
+
+
+def _hang(edges: DataFrame, number: int) -> DataFrame:
+    """Each node as ``root`` with the node two steps down the ranks as ``top``."""
+
+    def rank(name: str) -> Column:
+        return F.xxhash64(F.col(name), F.lit(number))
+
+    lowest = edges.groupBy("a").agg(F.min_by("b", rank("b")).alias("low"))
+    below = lowest.select("a", F.when(rank("low") < rank("a"), F.col("low")).otherwise(F.col("a")).alias("low"))
+    return below.select(F.col("a").alias("root"), F.col("low").alias("a")).join(below, "a").select(
+        "root", F.col("low").alias("top")
+    )

@@ -133,7 +133,7 @@ def dbscan_labels(
     eps: float = DBSCAN_EPS,
     min_samples: int = DBSCAN_MIN_SAMPLES,
     decimals: int = FINE_DECIMALS,
-    max_rounds: int = 60,
+    max_rounds: int = 100,
 ) -> DataFrame:
     """Add ``role`` (core, border, noise) and ``cluster`` to each grid cell.
 

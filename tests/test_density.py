@@ -88,14 +88,23 @@ def test_exactly_eps_apart_is_near(spark):
     assert clusters[(5500, 1000)] != clusters[(5500, 1011)]
 
 
-def test_long_chain_settles(spark):
-    edges = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    shuffled = edges.select(*[((F.col(c) * 7919) % 1009).alias(c) for c in "ab"])
-    ends = shuffled.select(F.explode(F.array("a", "b")).alias("id"))
-    nodes = ends.unionByName(spark.createDataFrame([(5000,)], "id long")).distinct()
-    roots = connected_components(nodes, shuffled)
-    assert {r.root for r in roots.collect()} == {0, 5000}
-    assert roots.count() == 402
+@pytest.mark.parametrize("order", ["rising", "mixed"])
+def test_long_chain_settles(spark, order):
+    place = {"rising": lambda c: F.col(c), "mixed": lambda c: (F.col(c) * 7919) % 100_003}[order]
+    edges = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    edges = edges.select(place("a").alias("a"), place("b").alias("b"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id"))
+    nodes = ends.unionByName(spark.createDataFrame([(200_000,)], "id long")).distinct()
+    for max_broadcast in (1, 1000):
+        roots = connected_components(nodes, edges, max_rounds=25, max_broadcast=max_broadcast).collect()
+        assert {r.root for r in roots} == {0, 200_000}
+        assert len(roots) == 3002
+
+
+def test_star_settles(spark):
+    edges = spark.range(1, 500).select(F.lit(1000).cast("long").alias("a"), F.col("id").alias("b"))
+    nodes = spark.range(1, 500).unionByName(spark.createDataFrame([(1000,)], "id long"))
+    assert {r.root for r in connected_components(nodes, edges, max_rounds=12).collect()} == {1}
 
 
 def test_too_few_rounds_is_an_error(spark):
