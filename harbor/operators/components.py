@@ -3,15 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harbor.defaults import MAX_BROADCAST_ROWS
-from harbor.operators.lookup import attach
 from harbor.sources.scratch import materialize
 
 
-def connected_components(
-    nodes: DataFrame, edges: DataFrame, max_rounds: int = 100, max_broadcast: int = MAX_BROADCAST_ROWS
-) -> DataFrame:
-    """Give every node of ``nodes(id)`` the smallest id of its component as ``root``.
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """Give every node of ``nodes(id)`` one node of its component, the same for all, as ``root``.
 
     ``edges(a, b)`` are undirected. Each round ranks the nodes anew by a hash, hangs
     every node on its neighbour of lowest rank, and contracts the graph: edges inside
@@ -27,20 +23,14 @@ def connected_components(
     remaining = materialize(remaining, "edges")
     for number in range(max_rounds):
         if remaining.isEmpty():
-            break
+            return materialize(roots, "roots")
         hung = materialize(_hang(remaining, number), "hung")
         roots = roots.join(hung, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
         for end in ("a", "b"):
             remaining = remaining.join(hung.select(F.col("root").alias(end), F.col("top").alias(f"top_{end}")), end)
         remaining = remaining.select(F.col("top_a").alias("a"), F.col("top_b").alias("b"))
         remaining = materialize(remaining.filter("a <> b").distinct(), "edges")
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
-
-    roots = materialize(roots, "roots")
-    names = roots.groupBy("root").agg(F.min("id").alias("smallest"), F.count("*").alias("size"))
-    named = attach(roots, names, ["root"], "size", max_broadcast=max_broadcast)
-    return named.select("id", F.col("smallest").alias("root"))
+    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
 def _hang(edges: DataFrame, number: int) -> DataFrame:

@@ -21,9 +21,10 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harbor.defaults import DBSCAN_EPS, DBSCAN_MIN_SAMPLES, FINE_DECIMALS
+from harbor.defaults import DBSCAN_EPS, DBSCAN_MIN_SAMPLES, FINE_DECIMALS, MAX_BROADCAST_ROWS
 from harbor.functions.geo import cell_index
 from harbor.operators.components import connected_components
+from harbor.operators.lookup import attach
 from harbor.operators.ports import CELL, top_ports
 from harbor.sources.scratch import materialize
 
@@ -58,7 +59,7 @@ class Lattice:
         return (self.bucket - 1) // self.block + 1
 
     def number(self, x: Column, y: Column) -> Column:
-        """Number of a cell, growing with (x, y)."""
+        """Number of a cell, growing with (x, y); blocks are numbered alike."""
         per_degree = 10**self.decimals
         return (x + 90 * per_degree) * (360 * per_degree + 1) + (y + 180 * per_degree)
 
@@ -94,6 +95,12 @@ def _near_pairs(left: DataFrame, right: DataFrame, lattice: Lattice) -> DataFram
     return pairs.filter(lattice.near(F.col("other_x") - F.col("x"), F.col("other_y") - F.col("y")))
 
 
+def _blocks(core: DataFrame, lattice: Lattice) -> DataFrame:
+    """Core cells with the position and number ``id`` of their block."""
+    placed = core.withColumns({f"block_{name}": F.floor(F.col(name) / lattice.block) for name in "xy"})
+    return placed.withColumn("id", lattice.number(F.col("block_x"), F.col("block_y")))
+
+
 def _touching_blocks(core: DataFrame, lattice: Lattice) -> DataFrame:
     """Pairs of blocks that hold core cells at most eps apart.
 
@@ -134,6 +141,7 @@ def dbscan_labels(
     min_samples: int = DBSCAN_MIN_SAMPLES,
     decimals: int = FINE_DECIMALS,
     max_rounds: int = 100,
+    max_broadcast: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Add ``role`` (core, border, noise) and ``cluster`` to each grid cell.
 
@@ -147,18 +155,16 @@ def dbscan_labels(
     if min_samples > 1:
         degrees = _near_pairs(place, place, lattice).groupBy("point").agg(F.count("*").alias("degree"))
         dense = degrees.filter(F.col("degree") >= min_samples).select("point")
-        core = place.join(dense, "point")
+        core = materialize(place.join(dense, "point"), "core")
     else:
         core = place
-
-    # A block goes by the number of its smallest core cell, so the smallest number in a
-    # component of blocks is the smallest core cell of the cluster.
-    block = [F.floor(F.col(name) / lattice.block).alias(f"block_{name}") for name in "xy"]
-    core = core.select("point", "x", "y", *block)
-    names = core.groupBy("block_x", "block_y").agg(F.min("point").alias("id"))
-    core = materialize(core.join(names, ["block_x", "block_y"]), "core")
+    core = _blocks(core, lattice)
     roots = connected_components(core.select("id").distinct(), _touching_blocks(core, lattice), max_rounds)
-    labels = core.join(roots, "id").select("point", F.col("root").alias("cluster"), F.lit("core").alias("role"))
+
+    rooted = core.join(roots, "id").select("point", "root")
+    names = rooted.groupBy("root").agg(F.min("point").alias("cluster"), F.count("*").alias("size"))
+    labels = attach(rooted, names, ["root"], "size", max_broadcast=max_broadcast)
+    labels = labels.select("point", "cluster", F.lit("core").alias("role"))
 
     if min_samples > 1:
         labels = materialize(labels, "labels")
