@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harbor.sources.scratch import materialize
+from harbor.sources.scratch import scratch_path
 
 # One text for Spark and for the SQL that checks it.
 POSITIONS_SQL = """
@@ -33,7 +33,8 @@ def positions_from_events(spark: SparkSession, data_dir: str) -> DataFrame:
     return positions.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-_tables: dict[tuple[str, str], DataFrame] = {}
+POSITION_SCHEMA = "mmsi long, ts timestamp_ntz, latitude double, longitude double, sog double, ship_type string"
+_stored: dict[tuple[str, str], str] = {}
 
 
 def positions_table(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -44,9 +45,11 @@ def positions_table(spark: SparkSession, data_dir: str) -> DataFrame:
     the derivation would evaluate its long expressions many times.
     """
     key = (spark.sparkContext.applicationId, data_dir)
-    if key not in _tables:
-        _tables[key] = materialize(positions_from_events(spark, data_dir), "positions")
-    return _tables[key].select("*")
+    if key not in _stored:
+        path = scratch_path(spark, "positions")
+        positions_from_events(spark, data_dir).write.parquet(path)
+        _stored[key] = path
+    return spark.read.schema(POSITION_SCHEMA).parquet(_stored[key])
 
 
 def raw_reports(positions: DataFrame) -> DataFrame:
