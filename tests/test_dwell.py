@@ -79,3 +79,19 @@ def test_same_result_on_any_partitioning(spark, partitions):
     found = dwell.stationary_positions(many, **limits, max_piece_rows=3, max_broadcast=2)
     assert spark_rows(found.drop("total_distance_km")) == spark_rows(expected)
     assert found.count() > 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_messages_are_looked_up_not_shuffled(spark):
+    positions = spark.createDataFrame(messages(2), SCHEMA)
+    plan = plan_of(dwell.stationary_positions(positions))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_light_keys_only_are_shuffled(spark):
+    positions = spark.createDataFrame(messages(2), SCHEMA)
+    plan = plan_of(dwell.stationary_positions(positions, max_broadcast=1))
+    assert "LeftAnti" in plan and "Union" in plan
