@@ -20,6 +20,13 @@ from harbor.operators import centers, clean, density, dwell, ports, report, trac
 from harbor.plans import detection  # noqa: E402
 from harbor.sources import events, reports, scratch  # noqa: E402
 
+try:  # the text operators may be absent
+    import corpus_pipeline
+    from harbor.llm import oracles as text_oracles
+    from harbor.llm import queries as text_queries
+except ImportError:
+    corpus_pipeline = text_oracles = text_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 GIVEN_CENTERS = oracle_texts.GIVEN_CENTERS
@@ -150,6 +157,14 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One entry per operator."""
+    return position_queries() | (_text_queries() if text_queries else {})
+
+
+def _text_queries() -> dict[str, Query]:
+    return text_queries.queries() | {"pipeline": corpus_pipeline.run}
+
+
+def position_queries() -> dict[str, Query]:
     return {
         # Sources, projections and filters
         "ais_scan": ais_scan,
@@ -241,4 +256,9 @@ def _features_as_columns(vectors: DataFrame) -> DataFrame:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for every query whose result does not depend on a random start."""
-    return oracle_texts.texts()
+    texts = oracle_texts.texts()
+    if text_queries:
+        texts |= text_oracles.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            texts["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return texts
