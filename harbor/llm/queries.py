@@ -2,17 +2,44 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harbor.llm import exact_dedup
+from harbor.llm import exact_dedup, sentencepieces, token_counts, token_store
 from harbor.llm.common import ROW, table
+from harbor.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+END_ID = 2  # closes each document in the token store
+TOKEN_LIMIT = 4096
+
+
+def op1_token_store(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_store.write_token_store(table(spark, sf, "documents"), path, BYTE_BPE, END_ID)
+    return token_store.token_digests(token_store.read_token_store(spark, path))
+
 
 def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf, "documents")).drop(ROW)
 
 
+def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    encoded = sentencepieces.encode_texts(table(spark, sf, "documents"), PIECE_BPE)
+    return sentencepieces.decode_ids(encoded, PIECE_BPE)
+
+
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf, "documents"), PIECE_BPE, TOKEN_LIMIT)
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_exact_dedup": op2_exact_dedup}
+    return {
+        "op1_token_store": op1_token_store,
+        "op2_exact_dedup": op2_exact_dedup,
+        "op3_sentencepiece": op3_sentencepiece,
+        "op9_token_counts": op9_token_counts,
+    }
