@@ -75,15 +75,17 @@ def exact_duplicates(
     id is below all others; of rows that repeat id and text the last read one stays.
     An empty table gives no rows. Other columns are not read.
 
-    Groups are counted before they move, one row per recipe. The join back to the
-    rows has one row per recipe on one side, so a recipe that many rows share is
-    split among tasks by the engine's skew handling.
+    Groups are counted before they move, one row per recipe, and those of several rows
+    are written. The join of the rows with that table stands alone in its stage, so
+    the engine's skew handling can split a recipe that many rows share.
     """
     rows = materialize(chunk_recipes(docs, doc_id, text, identifier), "recipes")
     last = F.max(F.struct("doc_id", ROW))
     groups = rows.groupBy("recipe").agg(last.alias("last"), F.count("*").alias("group_size"))
-    return rows.join(groups, "recipe").select(
-        "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size",
+    groups = materialize(groups.filter("group_size > 1"), "groups")
+    own = F.struct("doc_id", ROW)
+    return rows.join(groups, "recipe", "left").withColumn("last", F.coalesce("last", own)).select(
+        "doc_id", F.col("last.doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
         (F.col(ROW) == F.col(f"last.{ROW}")).alias("kept"), "text_sha256", ROW,
     )
 
