@@ -4,8 +4,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from harbor.llm import exact_dedup, sentencepieces, token_counts, token_store
+from harbor.llm import (
+    exact_dedup,
+    language_id,
+    personal_data,
+    sentencepieces,
+    sharding,
+    token_counts,
+    token_store,
+)
 from harbor.llm.common import ROW, table
 from harbor.sources.scratch import scratch_path
 
@@ -15,6 +24,8 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2  # closes each document in the token store
 TOKEN_LIMIT = 4096
+HELD_OUT = 2  # fold of documents that language ID never learns from
+SHARDS = 16
 
 
 def op1_token_store(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,14 +43,35 @@ def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return sentencepieces.decode_ids(encoded, PIECE_BPE)
 
 
+def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_data.personal_data_digest(personal_data.find_personal_data(table(spark, sf, "documents")))
+
+
+def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    part = language_id.part_of(F.col("doc_id"))
+    model = language_id.fit_languages(docs.filter(part != HELD_OUT))
+    texts = docs.select("doc_id", F.coalesce(part == HELD_OUT, F.lit(False)).alias("held_out"), "text")
+    return language_id.predict_languages(texts, model).drop("text")
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf, "documents"), PIECE_BPE, TOKEN_LIMIT)
 
 
+def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf, "documents"), SHARDS)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_store": op1_token_store,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_personal_data": op4_personal_data,
+        "op7_language_id": op7_language_id,
         "op9_token_counts": op9_token_counts,
+        "op10_sharding": op10_sharding,
     }
