@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harbor.llm import (
+    decontamination,
     exact_dedup,
     language_id,
     personal_data,
@@ -55,6 +56,11 @@ def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.predict_languages(texts, model).drop("text")
 
 
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontamination.find_benchmark_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.drop(ROW)
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf, "documents"), PIECE_BPE, TOKEN_LIMIT)
 
@@ -72,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_personal_data": op4_personal_data,
         "op7_language_id": op7_language_id,
+        "op8_decontamination": op8_decontamination,
         "op9_token_counts": op9_token_counts,
         "op10_sharding": op10_sharding,
     }
