@@ -10,6 +10,7 @@ from harbor.llm import (
     decontamination,
     exact_dedup,
     language_id,
+    near_dedup,
     personal_data,
     sentencepieces,
     sharding,
@@ -48,6 +49,10 @@ def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data.personal_data_digest(personal_data.find_personal_data(table(spark, sf, "documents")))
 
 
+def op6_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf, "documents")).drop(ROW)
+
+
 def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     part = language_id.part_of(F.col("doc_id"))
@@ -77,6 +82,7 @@ def queries() -> dict[str, Query]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_personal_data": op4_personal_data,
+        "op6_near_dedup": op6_near_dedup,
         "op7_language_id": op7_language_id,
         "op8_decontamination": op8_decontamination,
         "op9_token_counts": op9_token_counts,
