@@ -11,6 +11,7 @@ from harbor.llm import (
     exact_dedup,
     language_id,
     near_dedup,
+    page_text,
     personal_data,
     sentencepieces,
     sharding,
@@ -49,6 +50,10 @@ def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data.personal_data_digest(personal_data.find_personal_data(table(spark, sf, "documents")))
 
 
+def op5_page_text(spark: SparkSession, sf: str) -> DataFrame:
+    return page_text.extract_pages(table(spark, sf, "pages"))
+
+
 def op6_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf, "documents")).drop(ROW)
 
@@ -82,6 +87,7 @@ def queries() -> dict[str, Query]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_personal_data": op4_personal_data,
+        "op5_page_text": op5_page_text,
         "op6_near_dedup": op6_near_dedup,
         "op7_language_id": op7_language_id,
         "op8_decontamination": op8_decontamination,
