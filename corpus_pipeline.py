@@ -1,26 +1,62 @@
 """A training corpus from ``documents``, stage by stage.
 
 Each stage works on all that its predecessor kept. Its result is written as
-Parquet and read again as the documents of the next one.
+Parquet and read again as the documents of the next one. Stages before the last
+return the columns of ``documents``, extra ones included.
 """
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from harbor.llm import decontamination, language_id, sentencepieces
 from harbor.llm.common import table
 from harbor.llm.exact_dedup import drop_exact_duplicates
+from harbor.llm.near_dedup import drop_near_duplicates
 from harbor.sources.scratch import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+HELD_OUT = 2  # fold of documents that language ID never learns from
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: null texts and texts without a letter."""
+    model = language_id.fit_languages(docs.filter(language_id.part_of(F.col("doc_id")) != HELD_OUT))
+    predicted = language_id.predict_languages(docs, model)
+    return predicted.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, the one with the largest id."""
     return drop_exact_duplicates(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near-duplicates stays, the one with the least id."""
+    return drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and the text that they decode to."""
+    return sentencepieces.decode_ids(sentencepieces.encode_texts(docs, PIECES), PIECES)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("sentencepiece", encode),
+]
 
 # The language model of the first stage and the signatures of the third are not SQL.
 ORACLE_SQL = None
