@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROW = "__row"
+ROW = "__harbor_row"  # no column of a table is called so
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

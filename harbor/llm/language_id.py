@@ -170,16 +170,18 @@ def count_phrases(codes: np.ndarray, sizes: np.ndarray, steps: list[np.ndarray])
     return out
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score`` added, one row for each.
+def predict_languages(
+    docs: DataFrame, model: LanguageModel, text: str = "text", label: str = "lang_pred", score: str = "score"
+) -> DataFrame:
+    """All columns of ``docs`` with ``label`` and ``score`` added, one row for each.
 
     ``und`` with score 0 for a null text, one without a letter, and where nothing was
     learned. The score is the share by which the best estimate is below the second
-    best, 1 with one language; the first name wins a tie. Columns of these names in
+    best, 1 with one language; the first name wins a tie. Columns of the two names in
     ``docs`` are replaced.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop(label, score)
     place = kept.columns.index(text)
     coders: list[TextCoder] = []
 
@@ -204,9 +206,9 @@ def predict_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_
                 for n in np.flatnonzero(letters):
                     names[a + n], scores[a + n] = known.languages[best[n]], certain[n]
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, label, score])
 
-    schema = kept.selectExpr("*", "'' AS lang_pred", "0D AS score").schema
+    schema = kept.select("*", F.lit("").alias(label), F.lit(0.0).alias(score)).schema
     for field in schema.fields:
         field.nullable = True
     return kept.mapInArrow(predict, schema)

@@ -132,16 +132,25 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     roots = connected_components(candidates.withColumnRenamed("node", "id"), found)
 
     # One test of each node with each other class that it meets joins most of what belongs together.
-    for _ in range(DECIDING_ROUNDS):
-        members = _rooted(members, roots)
-        pairs = _pairs_with_heads(_with_bound(_open(members), sets))
-        found = materialize(found.unionByName(links(pairs, sets)), "links")
-        roots = connected_components(candidates.withColumnRenamed("node", "id"), found)
-
-    rest = _open(_with_bound(_open(_rooted(members, roots)), sets))
-    rest = materialize(_with_bound(rest, sets).join(banded, "node"), "open")
-    found = found.unionByName(links(materialize(_open_pairs(rest), "pairs"), sets))
-    roots = connected_components(candidates.withColumnRenamed("node", "id"), found)
+    rounds = DECIDING_ROUNDS
+    while True:
+        members = materialize(_open(_rooted(members, roots)), "open")
+        if members.isEmpty():
+            break
+        bounded = _with_bound(members, sets)
+        if rounds:
+            pairs = _pairs_with_heads(bounded)
+        else:
+            bounded = _with_bound(_open(bounded), sets)
+            pairs = _open_pairs(bounded.join(banded, "node"))
+        new = materialize(links(pairs, sets), "links")
+        linked = not new.isEmpty()
+        if linked:
+            found = found.unionByName(new)
+            roots = connected_components(candidates.withColumnRenamed("node", "id"), found)
+        if not rounds:
+            break
+        rounds = rounds - 1 if linked else 0
 
     classed = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left")
     classed = materialize(classed.select("key", F.coalesce("root", "node").alias("root")), "classed")

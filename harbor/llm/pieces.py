@@ -21,9 +21,7 @@ import sentencepiece
 MARK = "▁"  # stands for a blank inside pieces
 UNIGRAM, BYTE_PAIR = 1, 2
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHED_WORDS = 300_000  # words that a worker remembers
-CACHED_LENGTH = 64  # longest word remembered
-CACHED_PAIRS = 1_000_000
+REMEMBERED_PAIRS = 300_000
 
 
 def _fields(data: bytes) -> dict[int, list]:
@@ -118,7 +116,7 @@ class PieceModel:
     def _may_follow(self, left: int, token: int) -> bool:
         known = self.apart.get((left, token))
         if known is None:
-            if len(self.apart) >= CACHED_PAIRS:
+            if len(self.apart) >= REMEMBERED_PAIRS:
                 self.apart.clear()
             a, b = self._string(left), self._string(token)
             known = self.apart[left, token] = self.merged(a + b) == [a, b]

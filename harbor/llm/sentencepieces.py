@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harbor.llm.common import whole_text
-from harbor.llm.pieces import CACHED_LENGTH, CACHED_WORDS, PieceModel, piece_model
+from harbor.llm.pieces import PieceModel, piece_model
+from harbor.llm.recent import RecentWords
 from harbor.llm.token_store import slices
 
 
@@ -19,18 +20,13 @@ class WordIds:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.known: dict[str, bytes] = {}
+        self.words = RecentWords(lambda words: [array("i", model.word_ids(word)).tobytes() for word in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native 32-bit integers."""
         split = [self.model.words(text) for text in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        missing = set().union(*split) - self.known.keys()
-        found = {word: array("i", self.model.word_ids(word)).tobytes() for word in missing}
-        self.known.update((word, ids) for word, ids in found.items() if len(word) <= CACHED_LENGTH)
-        known = self.known
-        return [b"".join([known.get(word) or found[word] for word in words]) for words in split]
+        known = self.words.of(set().union(*split))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 _encoders: dict[str, WordIds] = {}

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harbor.llm.common import whole_text
-from harbor.llm.pieces import CACHED_LENGTH, CACHED_WORDS, PieceModel, piece_model
+from harbor.llm.pieces import PieceModel, piece_model
+from harbor.llm.recent import RecentWords
+from harbor.llm.token_store import slices
 
 
 class PrefixCounts:
@@ -24,42 +26,30 @@ class PrefixCounts:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.known: dict[str, array] = {}
-
-    def tables(self, words: list[str]) -> list[array]:
-        """For each word the number of tokens of its prefixes of 0, 1, ... characters."""
-        known, out = self.known, []
-        for word in words:
-            table = known.get(word)
-            if table is None:
-                table = array("i", self.model.lattice(word)[1])
-                if len(word) <= CACHED_LENGTH:
-                    if len(known) >= CACHED_WORDS:
-                        known.clear()
-                    known[word] = table
-            out.append(table)
-        return out
-
-    def counts(self, text: str) -> list[int]:
-        """The number of tokens of every prefix of ``text``, of 0, 1, ... all its characters."""
+        self.words = RecentWords(lambda words: [array("i", model.lattice(word)[1]) for word in words])
+
+    def tables(self, texts: list[str]) -> list[list[array]]:
+        """For each word of each text the number of tokens of its prefixes of 0, 1, ... characters."""
+        split = [self.model.words(text) for text in texts]
+        known = self.words.of(set().union(*split))
+        return [[known[word] for word in words] for words in split]
+
+    def counts(self, tables: list[array]) -> list[int]:
+        """The number of tokens of every prefix of a text, of 0, 1, ... all its characters."""
         out, before = [], 0
-        for table in self.tables(self.model.words(text)):
+        for table in tables:
             out.extend(before + n for n in table[1:])
             before += table[-1]
         return [0] + out[len(self.model.prefix) :]
 
-    def total_and_cut(self, text: str, budget: int) -> tuple[int, int]:
-        """The number of tokens of ``text``, and the length of its longest prefix of at most ``budget`` tokens."""
-        tables = self.tables(self.model.words(text))
-        total = sum([table[-1] for table in tables])
-        if total <= budget:
-            return total, len(text)
+    def cut(self, tables: list[array], budget: int) -> int:
+        """The length of the longest prefix of at most ``budget`` tokens, of a text that has more."""
         sums = list(accumulate(table[-1] for table in tables))
         whole = bisect_right(sums, budget)  # words that fit whole
         left = budget - (sums[whole - 1] if whole else 0)
         within = max(i for i, n in enumerate(tables[whole]) if n <= left)
         length = sum(len(table) - 1 for table in tables[:whole]) + within
-        return total, max(0, length - len(self.model.prefix))
+        return max(0, length - len(self.model.prefix))
 
 
 _counters: dict[str, PrefixCounts] = {}
@@ -87,14 +77,19 @@ def count_tokens(
         counter = prefix_counter(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found = [counter.total_and_cut(text, limit) for text in texts]
-            totals = [total for total, _ in found]
+            totals, cuts, prefix_counts = [], [], []
+            for a, b in slices(texts):
+                for text, tables in zip(texts[a:b], counter.tables(texts[a:b]), strict=True):
+                    totals.append(sum([table[-1] for table in tables]))
+                    cuts.append(len(text) if totals[-1] <= limit else counter.cut(tables, limit))
+                    if prefixes:
+                        prefix_counts.append(counter.counts(tables))
             columns = [
                 batch.column(0), batch.column(2), pa.array(totals, pa.int64()),
-                pa.array([total > limit for total in totals], pa.bool_()), pa.array([cut for _, cut in found], pa.int64()),
+                pa.array([total > limit for total in totals], pa.bool_()), pa.array(cuts, pa.int64()),
             ]
             if prefixes:
-                columns.append(pa.array([counter.counts(text) for text in texts], pa.list_(pa.int32())))
+                columns.append(pa.array(prefix_counts, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(kinds))
 
     body = whole_text(text)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harbor.llm.common import whole_text
+from harbor.llm.recent import RecentWords
 
 STORE_SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
 LAYOUT = {
@@ -34,9 +35,7 @@ LAYOUT = {
     "parquet.enable.dictionary#first": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-BATCH_CHARS = 4_000_000  # text encoded at once
-CACHED_WORDS = 300_000  # words whose ids a worker keeps
-CACHED_LENGTH = 64  # longest word kept
+BATCH_CHARS = 1_000_000  # text encoded at once
 
 
 class TextEncoder:
@@ -62,7 +61,7 @@ class TextEncoder:
             and not splitter.get("add_prefix_space", True)
         )
         self.whole = ["  "] + [token["content"] for token in described.get("added_tokens", [])]
-        self.words: dict[str, bytes] = {}
+        self.words = RecentWords(lambda words: self._library([" " + word for word in words]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -70,19 +69,10 @@ class TextEncoder:
         split = [None if any(mark in text for mark in self.whole) else text.split(" ") for text in texts]
         wholes = iter(self._library([text for text, words in zip(texts, split, strict=True) if words is None]))
         firsts = iter(self._library([words[0] for words in split if words is not None]))
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        known = self.words
-        missing = list(set().union(*(words[1:] for words in split if words)) - known.keys())
-        found = dict(zip(missing, self._library([" " + word for word in missing]), strict=True))
-        known.update((word, ids) for word, ids in found.items() if len(word) <= CACHED_LENGTH)
-        out = []
-        for words in split:
-            if words is None:
-                out.append(next(wholes))
-            else:
-                out.append(next(firsts) + b"".join([known.get(w) or found[w] for w in words[1:]]))
-        return out
+        known = self.words.of(set().union(*(words[1:] for words in split if words is not None)))
+        return [
+            next(wholes) if words is None else next(firsts) + b"".join(map(known.__getitem__, words[1:])) for words in split
+        ]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)

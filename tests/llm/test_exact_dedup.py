@@ -1,0 +1,69 @@
+"""Chunk recipes against comparing whole texts."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from harbor.llm import exact_dedup
+from harbor.llm.common import ROW
+from tests.llm.tables import AWKWARD, documents, rows_of
+
+# With four identifiers for all chunks nearly every chunk is doubtful.
+IDENTIFIERS = {"hash": F.xxhash64, "four": lambda chunk: F.pmod(F.xxhash64(chunk), F.lit(4))}
+
+
+def expected(rows):
+    groups = defaultdict(list)
+    for doc_id, text, *_ in rows:
+        groups[text or ""].append(doc_id)
+    out = []
+    for text, ids in groups.items():
+        last = max((i for i in ids if i is not None), default=None)
+        out += [(i, last, len(ids), hashlib.sha256(text.encode()).hexdigest()) for i in ids]
+    return sorted(out, key=repr)
+
+
+LONG = [(100 + n, "Sentence one. " * 500 + str(n % 3) + " and on. " * 700 + str(n % 2), "en") for n in range(12)]
+
+
+@pytest.mark.parametrize("identifier", IDENTIFIERS)
+@pytest.mark.parametrize("rows", [AWKWARD, LONG, AWKWARD[:1], []])
+def test_groups(spark, identifier, rows):
+    found = exact_dedup.exact_duplicates(documents(spark, rows), identifier=IDENTIFIERS[identifier])
+    assert rows_of(found, "doc_id", "keep_id", "group_size", "text_sha256") == expected(rows)
+    kept = found.filter("kept").collect()
+    assert sorted(repr(r.doc_id) for r in kept) == sorted(repr(r.keep_id) for r in kept)
+    assert len(kept) == len({text or "" for _, text, _ in rows})
+
+
+def test_chunks_join_to_the_text(spark):
+    texts = ["", "short", "a b. " * 5000, "x" * 10_000, "line\n" * 4000 + "end", "🎉é" * 3000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for text, chunks in df.select("text", exact_dedup.chunks(F.col("text"))).collect():
+        assert "".join(chunks) == text
+        assert all(len(c) <= exact_dedup.MAX_CHUNK for c in chunks)
+        assert all(len(c) >= exact_dedup.MIN_CHUNK for c in chunks[:-1])
+
+
+def test_chunks_meet_again_after_an_insertion(spark):
+    sentences = [hashlib.sha256(str(n).encode()).hexdigest() + ". " for n in range(300)]
+    whole, longer = "".join(sentences), "inserted words. " + "".join(sentences)
+    df = spark.createDataFrame([(whole,), (longer,)], "text string")
+    a, b = (set(r[0]) for r in df.select(exact_dedup.chunks(F.col("text"))).collect())
+    assert len(a & b) > 0
+
+
+def test_kept_rows_have_all_columns(spark):
+    docs = documents(spark)
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert {r.text or "" for r in kept.collect()} == {t or "" for _, t, _ in AWKWARD}
+    assert kept.count() == len({t or "" for _, t, _ in AWKWARD})
+
+
+def test_no_python(spark):
+    plan = exact_dedup.exact_duplicates(documents(spark)).drop(ROW)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
