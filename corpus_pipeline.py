@@ -26,8 +26,8 @@ HELD_OUT = 2  # fold of documents that language ID never learns from
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null texts and texts without a letter."""
     model = language_id.fit_languages(docs.filter(language_id.part_of(F.col("doc_id")) != HELD_OUT))
-    predicted = language_id.predict_languages(docs, model)
-    return predicted.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    predicted = language_id.predict_languages(docs, model, label="__language", score="__certainty")
+    return predicted.filter(F.col("__language") != language_id.UNKNOWN).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
