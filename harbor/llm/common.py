@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harbor.sources.scratch import materialize
+
 ROW = "__harbor_row"  # no column of a table is called so
 
 
@@ -16,5 +18,15 @@ def whole_text(column: str = "text") -> Column:
 
 
 def with_row(df: DataFrame) -> DataFrame:
-    """Number the rows of a scan; the same files give the same numbers in every pass."""
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    """Number the rows, within one pass."""
+    return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def numbered(df: DataFrame, stored: bool) -> DataFrame:
+    """Number the rows so that every pass gives a row the same number.
+
+    ``stored`` says that ``df`` is read from files and not shuffled since: a scan
+    numbers its rows alike each time. Any other table is written with its numbers.
+    """
+    rows = with_row(df)
+    return rows if stored or ROW in df.columns else materialize(rows, "numbered")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harbor.llm.common import ROW, whole_text, with_row
+from harbor.llm.common import ROW, numbered, whole_text
 from harbor.llm.token_store import slices
 from harbor.llm.words import DIGIT, LETTER, UPPER, Words, mix, words_of
 from harbor.sources.scratch import materialize
@@ -141,7 +141,8 @@ def template_windows(rows: DataFrame, sizes: tuple[int, ...] | None, known: np.n
 
 
 def find_benchmark_items(
-    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+    item_text: str = "text", stored: bool = False,
 ) -> DataFrame:
     """Pairs of a document and an item that it holds: the row's number, doc_id, item_id, windows, coverage, slots, consistent.
 
@@ -152,6 +153,7 @@ def find_benchmark_items(
 
     The benchmark's window hashes go to the tasks to sift the documents' windows if
     there are at most SHIPPED_WINDOWS; else all windows enter the same join.
+    ``stored``: see ``numbered``.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("key"), whole_text(item_text).alias("text"))
     items = materialize(template_windows(items, None, None).withColumnRenamed("key", "item_id"), "items")
@@ -160,7 +162,7 @@ def find_benchmark_items(
     known = None
     if hashes.count() <= SHIPPED_WINDOWS:
         known = np.sort(np.array([row[0] for row in hashes.collect()], np.int64).view(np.uint64))
-    rows = with_row(docs)
+    rows = numbered(docs, stored)
     found = template_windows(rows.select(F.col(ROW).alias("key"), whole_text(text).alias("text")), sizes or (WINDOW,), known)
     found = found.select(F.col("key").alias(ROW), F.col("place").alias("doc_place"), "window", F.col("slots").alias("doc_slots"))
     matches = found.join(items, "window").withColumn("shift", F.col("doc_place") - F.col("place"))
@@ -184,7 +186,10 @@ def find_benchmark_items(
     return ids.join(judged, ROW).select(ROW, "doc_id", "item_id", "windows", "coverage", "slots", "consistent")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", stored: bool = False
+) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    found = materialize(find_benchmark_items(docs, benchmark, doc_id, text).select(ROW).distinct(), "contaminated")
-    return with_row(docs).join(found, ROW, "left_anti").drop(ROW)
+    rows = numbered(docs, stored)
+    found = materialize(find_benchmark_items(rows, benchmark, doc_id, text).select(ROW).distinct(), "contaminated")
+    return rows.join(found, ROW, "left_anti").drop(ROW)

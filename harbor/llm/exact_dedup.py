@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harbor.llm.common import ROW, whole_text, with_row
+from harbor.llm.common import ROW, numbered, whole_text, with_row
 from harbor.sources.scratch import materialize
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096  # code points
@@ -90,7 +90,8 @@ def exact_duplicates(
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_duplicates(docs, doc_id, text).filter(~F.col("kept")).select(ROW)
-    return with_row(docs).join(materialize(dropped, "dropped"), ROW, "left_anti").drop(ROW)
+def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stored: bool = False) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns. ``stored``: see ``numbered``."""
+    rows = numbered(docs, stored)
+    dropped = exact_duplicates(rows, doc_id, text).filter(~F.col("kept")).select(ROW)
+    return rows.join(materialize(dropped, "dropped"), ROW, "left_anti").drop(ROW)

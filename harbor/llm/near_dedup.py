@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harbor.llm.common import ROW, whole_text, with_row
+from harbor.llm.common import ROW, numbered, whole_text
 from harbor.llm.dart_minhash import bands, in_parts
 from harbor.llm.token_store import slices
 from harbor.llm.words import shingles, words_of
@@ -104,7 +104,7 @@ def _with_bound(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.drop("size", "shared").join(materialize(hopeful, "hopeful"), "node")
 
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stored: bool = False) -> DataFrame:
     """One row for every row of ``docs``: its number, doc_id, class_id, kept.
 
     Two texts are linked if their sets of runs of five lower-case words have a Jaccard
@@ -112,9 +112,10 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     links connect, named by its least doc_id; the row with that id stays, the first
     read one of several. Equal texts are always in one class, also those without words.
     A null text is empty; a null id comes after all others. An empty table gives no rows.
+    ``stored``: see ``numbered``.
     """
     body = whole_text(text)
-    texts = with_row(docs).select(ROW, F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("key"), body.alias("text"))
+    texts = numbered(docs, stored).select(ROW, F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("key"), body.alias("text"))
     signed = materialize(band_keys(texts), "signed")
     nodes = materialize(signed.groupBy("key").agg(F.min(ROW).alias("node")), "nodes")
     banded = signed.join(nodes.select(F.col("node").alias(ROW)), ROW).select(F.col(ROW).alias("node"), "bands")
@@ -195,7 +196,8 @@ def _open_pairs(members: DataFrame) -> DataFrame:
     return left.join(right, (left["bucket"] == right["bucket"]) & may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stored: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
-    dropped = materialize(near_classes(docs, doc_id, text).filter(~F.col("kept")).select(ROW), "dropped")
-    return with_row(docs).join(dropped, ROW, "left_anti").drop(ROW)
+    rows = numbered(docs, stored)
+    dropped = materialize(near_classes(rows, doc_id, text).filter(~F.col("kept")).select(ROW), "dropped")
+    return rows.join(dropped, ROW, "left_anti").drop(ROW)
