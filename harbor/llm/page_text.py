@@ -96,7 +96,9 @@ def _marks_other(names: str) -> bool:
 
 
 def _label(tag: str, classes: list[str]) -> str:
-    """Tag and classes; digits become one mark and names that look generated are left out."""
+    """Tag and classes; digits become one mark and names that look generated are left out, as are those of a whole page."""
+    if tag in ("html", "body"):
+        return tag
     general = {re.sub(r"\d+", "#", name) for name in classes if len(re.findall(r"\d", name)) < 3}
     return ".".join([tag, *sorted(general)])
 

@@ -1,0 +1,59 @@
+"""Items in documents, copied, changed in their slots, or merely alike."""
+
+import pytest
+
+from harbor.llm import decontamination
+from harbor.llm.common import table
+from tests.llm.tables import AWKWARD, PROSE, documents, rows_of
+
+ITEM = "Today Tom has 5 apples and Mary gives Tom 6 more apples for 2 euros; how many apples does Tom have now?"
+ITEMS = "item_id long, text string, window string, slots int"
+DOCS = [
+    (1, "Well, today Anna has 7 apples and Bert gives Anna 9 more apples for 3 dollars; how many apples does Anna have now?", "en"),
+    (2, "before " * 50 + ITEM + " after" * 50, "en"), (3, ITEM.replace("gives Tom", "gives Sue").replace("does Tom", "does Zoe"), "en"),
+    (4, "Today   TODAY " + ITEM.lower(), "en"), (5, "Today Tom has 5 apples.", "en"), (6, ITEM + " " + ITEM, "en"),
+]
+
+
+def benchmark(spark, texts):
+    return spark.createDataFrame([(n, t, "x", 1) for n, t in enumerate(texts)], ITEMS)
+
+
+@pytest.mark.parametrize("shipped", [0, decontamination.SHIPPED_WINDOWS])
+def test_slots(spark, monkeypatch, shipped):
+    monkeypatch.setattr(decontamination, "SHIPPED_WINDOWS", shipped)
+    items = benchmark(spark, [ITEM, None, "", "three short words", "five 5 km 6 kg", PROSE])
+    found = decontamination.find_benchmark_items(documents(spark, DOCS + AWKWARD), items)
+    pairs = rows_of(found, "doc_id", "item_id")
+    prose = [(i, 5) for i, text, _ in AWKWARD if text and PROSE.lower() in text.lower()]
+    assert [p for p in pairs if p[1] == 0] == [(1, 0), (2, 0), (6, 0)]
+    assert sorted(map(repr, (p for p in pairs if p[1] == 5))) == sorted(map(repr, prose))
+    assert {p[1] for p in pairs} == {0, 5}
+    assert all(r.consistent >= 0.8 and r.coverage >= 0.3 for r in found.collect())
+
+
+def test_empty_tables(spark):
+    items, docs = benchmark(spark, [ITEM]), documents(spark, DOCS)
+    assert decontamination.find_benchmark_items(docs.limit(0), items).count() == 0
+    assert decontamination.find_benchmark_items(docs, items.limit(0)).count() == 0
+    assert decontamination.drop_contaminated(docs, items.limit(0)).count() == len(DOCS)
+
+
+def test_clean_documents_stay(spark):
+    docs = documents(spark, DOCS + AWKWARD)
+    kept = decontamination.drop_contaminated(docs, benchmark(spark, [ITEM]))
+    assert kept.columns == docs.columns
+    assert rows_of(kept, "doc_id") == sorted(((i,) for i, *_ in DOCS + AWKWARD if (i, *_) not in [DOCS[0], DOCS[1], DOCS[5]]), key=repr)
+
+
+def test_given_tables_against_whole_text_search(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+
+    def plain(text):
+        return " ".join(text.lower().split())
+
+    texts = {r.doc_id: plain(r.text) for r in docs.collect()}
+    expected = {(i, r.item_id) for r in items.collect() for i, text in texts.items() if plain(r.text).rstrip(".") in text}
+    found = decontamination.find_benchmark_items(docs, items, stored=True)
+    assert set(rows_of(found, "doc_id", "item_id")) == expected and expected
