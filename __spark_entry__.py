@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_texts  # noqa: E402
+from harbor.defaults import MIN_PORT_VESSELS  # noqa: E402
 from harbor.operators import centers, clean, density, dwell, ports, report, track  # noqa: E402
 from harbor.plans import detection  # noqa: E402
 from harbor.sources import events, reports, scratch  # noqa: E402
@@ -33,6 +35,7 @@ GIVEN_CENTERS = oracle_texts.GIVEN_CENTERS
 FAST_MESSAGES_KEPT = oracle_texts.FAST_MESSAGES_KEPT
 SPARSE_EPS, SPARSE_MIN_SAMPLES = oracle_texts.SPARSE_EPS, oracle_texts.SPARSE_MIN_SAMPLES
 FITTED_CLUSTERS = 7
+REPORTED_CLUSTERS = (7, 15, 20)
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,15 +83,6 @@ def on_given_centers(spark: SparkSession, sf: str) -> DataFrame:
     return centers.assign_to_centers(stationary(spark, sf), GIVEN_CENTERS)
 
 
-def fitted(spark: SparkSession, sf: str) -> tuple[centers.KMeansModel, DataFrame]:
-    rows = stationary(spark, sf)
-    return centers.kmeans_fit(centers.weighted_places(rows), FITTED_CLUSTERS, weight="weight"), rows
-
-
-def fitted_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    return centers.kmeans_assign(*fitted(spark, sf))
-
-
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({name: F.round(name, 6) for name in columns})
 
@@ -101,7 +95,7 @@ def ais_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 def coarse_port_vessels(spark: SparkSession, sf: str) -> DataFrame:
     binned = ports.fine_bins(stationary(spark, sf))
-    cells = ports.bin_vessel_counts(binned).filter(F.col("vessel_count") >= 5)
+    cells = ports.bin_vessel_counts(binned).filter(F.col("vessel_count") >= MIN_PORT_VESSELS)
     labelled = ports.coarse_bins(scratch.materialize(cells, "candidates"))
     return ports.distinct_port_vessels(binned, labelled, ["lat_bin_ports", "lon_bin_ports"])
 
@@ -111,19 +105,77 @@ def dbscan_port_vessels(spark: SparkSession, sf: str) -> DataFrame:
     return ports.distinct_port_vessels(ports.fine_bins(found.stationary), found.labels, ["cluster"])
 
 
-def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = fitted_assignment(spark, sf).groupBy("prediction").agg(F.count("*").alias("n"))
-    return sizes.agg(F.count("*").alias("clusters"), F.sum("n").alias("messages"))
-
-
 def three_means(spark: SparkSession, sf: str) -> tuple[centers.KMeansModel, DataFrame]:
     """Three centres for the three far-apart ports: the one case where every start ends alike."""
     rows = stationary(spark, sf)
     return centers.kmeans_fit(centers.weighted_places(rows), 3, weight="weight"), rows
 
 
+def by_longitude(model: centers.KMeansModel, cluster: str) -> Column:
+    """Clusters are numbered by chance; here by their centre from west to east."""
+    places = [lon for lon, _ in centers.model_centers(model)]
+    return F.array(*(F.lit(sorted(places).index(lon)) for lon in places))[F.col(cluster)]
+
+
+def three_assigned(spark: SparkSession, sf: str) -> DataFrame:
+    model, rows = three_means(spark, sf)
+    assigned = centers.kmeans_assign(model, rows).drop("features")
+    return assigned.withColumn("prediction", by_longitude(model, "prediction"))
+
+
+def kmeans_centers(spark: SparkSession, sf: str) -> DataFrame:
+    model, _ = three_means(spark, sf)
+    found = rounded(centers.kmeans_centers(spark, model), "longitude", "latitude")
+    return found.withColumn("cluster_id", by_longitude(model, "cluster_id"))
+
+
+def fit_facts(assigned: DataFrame, places: centers.Centers, k: int) -> DataFrame:
+    """What holds for any fit: all messages are in some of k clusters, each in that of its nearest centre."""
+    near = centers.assign_to_centers(assigned.withColumnRenamed("prediction", "cluster"), places)
+    own = F.array(*(F.struct(F.lit(lon).alias("lon"), F.lit(lat).alias("lat")) for lon, lat in places))[F.col("cluster")]
+    d2 = F.pow(F.col("longitude") - own["lon"], 2) + F.pow(F.col("latitude") - own["lat"], 2)
+    return near.agg(
+        F.lit(k).alias("k"), F.count("*").alias("messages"), F.count_distinct("mmsi").alias("vessels"),
+        F.count_distinct("cluster").between(1, k).alias("clusters_within"),
+        F.every(d2 <= F.col("d2") + 1e-6).alias("nearest"),
+    )
+
+
+def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stationary(spark, sf)
+    model = centers.kmeans_fit(centers.weighted_places(rows), FITTED_CLUSTERS, weight="weight")
+    return fit_facts(centers.kmeans_assign(model, rows), centers.model_centers(model), FITTED_CLUSTERS)
+
+
+def kmeans_reports(spark: SparkSession, sf: str) -> DataFrame:
+    facts = []
+    for k, found in detection.kmeans_reports(stationary(spark, sf), REPORTED_CLUSTERS, min_vessels=1).items():
+        places = [(r.longitude, r.latitude) for r in found.centers.orderBy("cluster_id").collect()]
+        facts.append(fit_facts(found.assigned, places, k))
+    return reduce(DataFrame.unionByName, facts)
+
+
+def kmeans_message_fit(spark: SparkSession, sf: str) -> DataFrame:
+    costs = centers.elbow_costs(centers.feature_vectors(stationary(spark, sf)), clusters=(3,))
+    return costs.select("k", F.round("wssse", 3).alias("wssse"))
+
+
+def elbow_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """The costs reported for 2 to 9 clusters against those of their centres over all messages.
+
+    A fit reports the cost before its last step, which can only lower it.
+    """
+    rows = stationary(spark, sf)
+    models = centers.elbow_models(centers.weighted_places(rows), weight="weight")
+    reported = F.create_map(*(F.lit(x) for k, m in models.items() for x in (k, float(m.summary.trainingCost))))[F.col("k")]
+    costs = centers.costs_for_centers(rows, {k: centers.model_centers(m) for k, m in models.items()})
+    agrees = F.col("wssse").between(0.8 * reported, reported * (1 + 1e-9))
+    three = F.when(F.col("k") == 3, F.round("wssse", 3))
+    return costs.select("k", "messages", agrees.alias("agrees"), three.alias("wssse_of_three"))
+
+
 def kmeans_three_summary(spark: SparkSession, sf: str) -> DataFrame:
-    summary = centers.kmeans_summary(centers.kmeans_assign(*three_means(spark, sf)))
+    summary = centers.kmeans_summary(three_assigned(spark, sf))
     return rounded(summary, "lat_bin", "lon_bin").drop("cluster_id")
 
 
@@ -149,9 +201,9 @@ def port_size_range(spark: SparkSession, sf: str) -> DataFrame:
     return spans.unionByName(report.port_size_range(by_center, "given centers"))
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    """Fine-grid ports of the smallest data set, largest first."""
-    found = ports.port_candidates(stationary(spark, "/root/testdata/sf0.001"), min_vessels=2)
+def entry(spark: SparkSession, folder: str = "/root/testdata/sf0.001") -> DataFrame:
+    """Fine-grid ports of the tables in ``folder``, largest first."""
+    found = ports.port_candidates(stationary(spark, folder), min_vessels=2)
     return found.orderBy(F.desc("vessel_count"), "lat_bin", "lon_bin")
 
 
@@ -214,17 +266,22 @@ def position_queries() -> dict[str, Query]:
         "dbscan_ports": lambda s, d: rounded(dbscan_ports(s, d), "lat_bin", "lon_bin"),
         "top_dbscan_ports": lambda s, d: rounded(density.top_dbscan_ports(dbscan_ports(s, d)), "lat_bin", "lon_bin"),
         "dbscan_port_vessels": dbscan_port_vessels,
-        # k-means: fitted centres depend on partitioning, so exact checks use given centres
+        # k-means: fitted centres depend on partitioning; checked are given centres, the one fit that
+        # does not (three far-apart ports), and what holds for every fit
         "feature_vectors": lambda s, d: _features_as_columns(centers.feature_vectors(stationary(s, d))),
         "kmeans_fit": kmeans_fit,
-        "kmeans_centers": lambda s, d: centers.kmeans_centers(s, fitted(s, d)[0]),
-        "kmeans_assign": lambda s, d: fitted_assignment(s, d).drop("features"),
-        "kmeans_cluster_counts": lambda s, d: centers.kmeans_cluster_counts(fitted_assignment(s, d)),
-        "kmeans_summary": lambda s, d: centers.kmeans_summary(fitted_assignment(s, d)),
-        "kmeans_map_features": lambda s, d: report.map_features(
-            centers.kmeans_summary(fitted_assignment(s, d)), label_clusters=True
+        "kmeans_reports": kmeans_reports,
+        "kmeans_message_fit": kmeans_message_fit,
+        "kmeans_centers": kmeans_centers,
+        "kmeans_assign": lambda s, d: rounded(three_assigned(s, d), "total_distance_km"),
+        "kmeans_cluster_counts": lambda s, d: centers.kmeans_cluster_counts(three_assigned(s, d)),
+        "kmeans_summary": lambda s, d: rounded(
+            centers.kmeans_summary(three_assigned(s, d)), "lat_bin", "lon_bin"
+        ),
+        "kmeans_map_features": lambda s, d: rounded(
+            report.map_features(centers.kmeans_summary(three_assigned(s, d)), label_clusters=True), "lat", "lon"
         ),
-        "elbow_costs": lambda s, d: centers.elbow_costs(centers.weighted_places(stationary(s, d)), weight="weight"),
+        "elbow_costs": elbow_costs,
         "kmeans_three_summary": kmeans_three_summary,
         "kmeans_three_cost": kmeans_three_cost,
         "assign_to_centers": lambda s, d: rounded(on_given_centers(s, d), "total_distance_km", "d2"),
@@ -255,7 +312,7 @@ def _features_as_columns(vectors: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for every query whose result does not depend on a random start."""
+    """SQL for every query that SQL can express."""
     texts = oracle_texts.texts()
     if text_queries:
         texts |= text_oracles.oracle_sql()

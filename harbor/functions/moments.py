@@ -25,6 +25,7 @@ def time_slice(ts: Column, minutes: int) -> Column:
     return F.floor(_minute(ts) / minutes)
 
 
-def time_second(ts: Column) -> Column:
-    """Number of the second that holds ``ts``; grows with time."""
-    return _minute(ts) * 60 + F.second(ts)
+def time_micros(ts: Column) -> Column:
+    """Microseconds of ``ts``, to its full precision; grows with time."""
+    seconds = F.extract(F.lit("SECONDS"), ts)
+    return _minute(ts) * 60_000_000 + (seconds * 1_000_000).cast("long")

@@ -1,5 +1,8 @@
 """k-means on message positions, fitted by MLlib, and the same steps on given centres."""
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,16 +19,30 @@ def feature_vectors(positions: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=["longitude", "latitude"], outputCol="features").transform(positions)
 
 
-def weighted_places(positions: DataFrame) -> DataFrame:
+def weighted_places(positions: DataFrame, decimals: int | None = None) -> DataFrame:
     """Distinct places with their number of messages, written once for repeated fits.
 
     Vessels that lie still report the same place over and over. k-means on places
-    weighted by messages minimises the same cost as k-means on the messages.
+    weighted by messages minimises the same cost as k-means on the messages. Where
+    receivers jitter few places repeat exactly; ``decimals`` rounds coordinates so that
+    they do, and the cost is then that of the rounded places.
     """
+    if decimals is not None:
+        positions = positions.withColumns({name: F.round(name, decimals) for name in ("longitude", "latitude")})
     places = positions.groupBy("longitude", "latitude").agg(F.count("*").cast("double").alias("weight"))
     return feature_vectors(materialize(places, "places"))
 
 
+@contextmanager
+def held(features: DataFrame) -> Iterator[DataFrame]:
+    """Keep ``features`` in the executors while several models are fitted."""
+    features.persist()
+    try:
+        yield features
+    finally:
+        features.unpersist()
+
+
 def kmeans_fit(features: DataFrame, k: int, seed: int = KMEANS_SEED, weight: str | None = None) -> KMeansModel:
     """Fit ``k`` centres to ``features``, each row counting ``weight`` times."""
     kmeans = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="prediction")
@@ -45,14 +62,28 @@ def kmeans_centers(spark: SparkSession, model: KMeansModel) -> DataFrame:
     return spark.createDataFrame(rows, "k int, cluster_id int, longitude double, latitude double")
 
 
+def elbow_models(
+    features: DataFrame, clusters: tuple[int, ...] = ELBOW_CLUSTERS, seed: int = KMEANS_SEED, weight: str | None = None
+) -> dict[int, KMeansModel]:
+    """A model for each number of clusters; ``features`` are read once for all fits."""
+    with held(features) as kept:
+        return {k: kmeans_fit(kept, k, seed, weight) for k in clusters}
+
+
 def elbow_costs(
     features: DataFrame, clusters: tuple[int, ...] = ELBOW_CLUSTERS, seed: int = KMEANS_SEED, weight: str | None = None
 ) -> DataFrame:
     """Training cost for each number of clusters."""
-    rows = [(k, float(kmeans_fit(features, k, seed, weight).summary.trainingCost)) for k in clusters]
+    models = elbow_models(features, clusters, seed, weight)
+    rows = [(k, float(model.summary.trainingCost)) for k, model in models.items()]
     return features.sparkSession.createDataFrame(rows, "k int, wssse double")
 
 
+def model_centers(model: KMeansModel) -> Centers:
+    """The centres of a model as (longitude, latitude)."""
+    return [(float(lon), float(lat)) for lon, lat in model.clusterCenters()]
+
+
 def _nearest(centers: Centers) -> Column:
     """Struct of squared distance and number of the nearest centre; the lower number wins ties."""
 
@@ -81,6 +112,17 @@ def wssse_for_centers(positions: DataFrame, centers: Centers) -> DataFrame:
     )
 
 
+def costs_for_centers(positions: DataFrame, centers: dict[int, Centers]) -> DataFrame:
+    """Messages and summed squared distance to the nearest centre, for several sets of centres in one pass."""
+    costs = F.array(
+        *(
+            F.struct(F.lit(k).alias("k"), F.count("*").alias("messages"), F.sum(_nearest(places)["d2"]).alias("wssse"))
+            for k, places in centers.items()
+        )
+    )
+    return positions.agg(costs.alias("costs")).select(F.inline("costs"))
+
+
 def kmeans_cluster_counts(assigned: DataFrame) -> DataFrame:
     """Distinct vessels per cluster."""
     return assigned.groupBy("prediction").agg(F.count_distinct("mmsi").alias("ship_count"))

@@ -1,9 +1,11 @@
 """Connected components of a graph held in DataFrames."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harbor.sources.scratch import materialize
+from harbor.sources.scratch import materialize, materialize_counted
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -14,23 +16,35 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     a contracted node vanish and parallel ones merge. At least half of the nodes are
     expected to hang on another one whatever the shape of the graph, so the number
     of rounds grows with the logarithm of its size; ranks by id would creep along a
-    chain of rising ids. Only what remains is written for the next round, and nothing
-    but "is an edge left" returns to the driver.
+    chain of rising ids. A round writes one table, the edges that remain, and counts
+    them while it does. In the end the rounds' steps are followed from the last to
+    the first, among nodes that have edges, and looked up once for all nodes.
     """
-    roots = nodes.select("id", F.col("id").alias("root"))
     both_ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     remaining = edges.filter("a <> b").select(F.inline(both_ways)).distinct()
-    remaining = materialize(remaining, "edges")
+    steps: list[DataFrame] = []
     for number in range(max_rounds):
-        if remaining.isEmpty():
-            return materialize(roots, "roots")
-        hung = materialize(_hang(remaining, number), "hung")
-        roots = roots.join(hung, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+        remaining, left = materialize_counted(remaining, "edges")
+        if not left:
+            break
+        hung = _hang(remaining, number)
+        steps.append(hung)
         for end in ("a", "b"):
             remaining = remaining.join(hung.select(F.col("root").alias(end), F.col("top").alias(f"top_{end}")), end)
-        remaining = remaining.select(F.col("top_a").alias("a"), F.col("top_b").alias("b"))
-        remaining = materialize(remaining.filter("a <> b").distinct(), "edges")
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+        remaining = remaining.select(F.col("top_a").alias("a"), F.col("top_b").alias("b")).filter("a <> b").distinct()
+    else:
+        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+    if not steps:
+        return nodes.select("id", F.col("id").alias("root"))
+    top = reduce(_follow, reversed(steps))
+    found = nodes.select("id").join(top.withColumnRenamed("root", "id"), "id", "left")
+    return materialize(found.select("id", F.coalesce("top", "id").alias("root")), "roots")
+
+
+def _follow(later: DataFrame, step: DataFrame) -> DataFrame:
+    """One step and then the later ones."""
+    then = later.select(F.col("root").alias("top"), F.col("top").alias("last"))
+    return step.join(then, "top", "left").select("root", F.coalesce("last", "top").alias("top"))
 
 
 def _hang(edges: DataFrame, number: int) -> DataFrame:

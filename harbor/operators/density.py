@@ -5,7 +5,9 @@ whole numbers and the number of neighbours of a cell is bounded by eps, not by t
 data. Clusters are found in three steps:
 
 1. A cell is a core cell when enough cells, itself included, lie within eps. With
-   ``min_samples=1`` every cell is.
+   ``min_samples=1`` every cell is, and so is every cell of a block (below) that holds
+   enough cells. For the others the cells within reach are counted row by row from
+   running counts, without listing pairs.
 2. Core cells are gathered in square blocks small enough that all cells of a block
    are within eps of each other. Two blocks touch when some core cell of one is
    within eps of one of the other; for that only the outermost cells of each row
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 from decimal import Decimal
 from math import isqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harbor.defaults import DBSCAN_EPS, DBSCAN_MIN_SAMPLES, FINE_DECIMALS, MAX_BROADCAST_ROWS
@@ -96,11 +98,40 @@ def _near_pairs(left: DataFrame, right: DataFrame, lattice: Lattice) -> DataFram
 
 
 def _blocks(core: DataFrame, lattice: Lattice) -> DataFrame:
-    """Core cells with the position and number ``id`` of their block."""
+    """Cells with the position and number ``id`` of their block."""
     placed = core.withColumns({f"block_{name}": F.floor(F.col(name) / lattice.block) for name in "xy"})
     return placed.withColumn("id", lattice.number(F.col("block_x"), F.col("block_y")))
 
 
+def core_cells(place: DataFrame, lattice: Lattice, min_samples: int) -> DataFrame:
+    """The cells of ``place(point, x, y)`` with at least ``min_samples`` cells within reach.
+
+    Rows made: two for each lattice row within reach of each cell in a sparse block.
+    """
+    placed = _blocks(place, lattice)
+    sizes = placed.groupBy("id").agg(F.count("*").alias("cells"))
+    placed = placed.join(sizes, "id")
+    dense = placed.filter(F.col("cells") >= min_samples).select("point", "x", "y")
+    sparse = placed.filter(F.col("cells") < min_samples).select("point", "x", "y")
+
+    reach = lattice.bucket
+    half_widths = F.array(*(F.lit(isqrt(lattice.reach2 - step * step)) for step in range(-reach, reach + 1)))
+    rows = sparse.select("point", "x", "y", F.posexplode(half_widths).alias("step", "half"))
+    ends = F.array(
+        F.struct((F.col("y") + F.col("half")).alias("upto"), F.lit(1).alias("sign")),
+        F.struct((F.col("y") - F.col("half") - 1).alias("upto"), F.lit(-1).alias("sign")),
+    )
+    asked = rows.select("point", (F.col("x") + F.col("step") - reach).alias("row"), F.inline(ends))
+    there = place.select(
+        F.lit(None).cast("long").alias("point"), F.col("x").alias("row"), F.col("y").alias("upto"), F.lit(0).alias("sign")
+    )
+    along = Window.partitionBy("row").orderBy("upto").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = there.unionByName(asked).withColumn("before", F.count_if(F.col("sign") == 0).over(along))
+    degrees = counted.filter("sign <> 0").groupBy("point").agg(F.sum(F.col("before") * F.col("sign")).alias("degree"))
+    enough = degrees.filter(F.col("degree") >= min_samples).select("point")
+    return dense.unionByName(sparse.join(enough, "point"))
+
+
 def _touching_blocks(core: DataFrame, lattice: Lattice) -> DataFrame:
     """Pairs of blocks that hold core cells at most eps apart.
 
@@ -142,28 +173,26 @@ def dbscan_labels(
     decimals: int = FINE_DECIMALS,
     max_rounds: int = 100,
     max_broadcast: int = MAX_BROADCAST_ROWS,
+    written: bool = False,
 ) -> DataFrame:
     """Add ``role`` (core, border, noise) and ``cluster`` to each grid cell.
 
     ``cells`` has distinct cells of a grid with ``decimals`` places and any further
     columns. A cluster is named by the number of its smallest core cell, noise is
-    -1. A border cell near several clusters takes the smallest name.
+    -1. A border cell near several clusters takes the smallest name. The cells are
+    written first, unless ``written`` says that they are a table at rest; so are the
+    core cells, the rounds of the components and the names of the clusters.
     """
     lattice = Lattice(decimals, eps)
-    points = _points(materialize(cells, "cells"), lattice)
+    points = _points(cells if written else materialize(cells, "cells"), lattice)
     place = points.select("point", "x", "y")
-    if min_samples > 1:
-        degrees = _near_pairs(place, place, lattice).groupBy("point").agg(F.count("*").alias("degree"))
-        dense = degrees.filter(F.col("degree") >= min_samples).select("point")
-        core = materialize(place.join(dense, "point"), "core")
-    else:
-        core = place
+    core = materialize(core_cells(place, lattice, min_samples), "core") if min_samples > 1 else place
     core = _blocks(core, lattice)
     roots = connected_components(core.select("id").distinct(), _touching_blocks(core, lattice), max_rounds)
 
     rooted = core.join(roots, "id").select("point", "root")
-    names = rooted.groupBy("root").agg(F.min("point").alias("cluster"), F.count("*").alias("size"))
-    labels = attach(rooted, names, ["root"], "size", max_broadcast=max_broadcast)
+    names = rooted.groupBy("root").agg(F.min("point").alias("cluster"))
+    labels = attach(rooted, names, ["root"], max_broadcast=max_broadcast)
     labels = labels.select("point", "cluster", F.lit("core").alias("role"))
 
     if min_samples > 1:

@@ -56,7 +56,7 @@ def slow_positions(
 ) -> DataFrame:
     """Slow messages of dwelling vessels, with the vessel's ``low_speed_msgs``."""
     counts = low_speed_counts(slow, vessel)
-    return attach(slow, counts, vessel, "low_speed_msgs", dwells(min_messages), max_broadcast)
+    return attach(slow, counts, vessel, dwells(min_messages), max_broadcast)
 
 
 def vessel_total(positions: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def stationary_positions(
     slow = low_speed(positions, slow_knots)
     vessels = vessel_tracks(slow, slice_minutes, max_piece_rows, vessel)
     keep = dwells(min_messages) & stays_near(max_distance_km)
-    return attach(slow, vessels, vessel, "low_speed_msgs", keep, max_broadcast)
+    return attach(slow, vessels, vessel, keep, max_broadcast)
 
 
 def mover_exclusion(
@@ -118,8 +118,5 @@ def mover_exclusion(
     vessel: list[str] = VESSEL,
 ) -> DataFrame:
     """All messages of vessels with at most ``max_fast_messages`` fast ones."""
-    vessels = positions.groupBy(vessel).agg(
-        F.count("*").alias("messages"), F.count_if(F.col("sog") >= slow_knots).alias("fast_msgs")
-    )
-    keep = F.col("fast_msgs") <= max_fast_messages
-    return attach(positions, vessels, vessel, "messages", keep, max_broadcast).drop("messages")
+    vessels = positions.groupBy(vessel).agg(F.count_if(F.col("sog") >= slow_knots).alias("fast_msgs"))
+    return attach(positions, vessels, vessel, F.col("fast_msgs") <= max_fast_messages, max_broadcast)

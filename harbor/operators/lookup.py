@@ -3,33 +3,25 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harbor.defaults import MAX_BROADCAST_ROWS
-from harbor.sources.scratch import materialize
+from harbor.defaults import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS
+from harbor.sources.scratch import materialize_counted, written_bytes
 
 
 def attach(
     rows: DataFrame,
     table: DataFrame,
     on: list[str],
-    weight: str,
     keep: Column | None = None,
     max_broadcast: int = MAX_BROADCAST_ROWS,
+    max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """Inner join of ``rows`` with the rows of ``table`` that meet ``keep``.
+    """Inner join of ``rows`` with the rows of ``table`` that meet ``keep``. Writes ``table``.
 
-    ``table`` has one row per key, and its column ``weight`` counts the rows of
-    that key in ``rows``. It is written once and measured. Up to ``max_broadcast``
-    rows it is broadcast, so ``rows`` is not shuffled at all. Above that, the keys
-    that hold at least 1/max_broadcast of all rows are broadcast: there are at
-    most ``max_broadcast`` of them. The remaining keys are all light and take a
-    shuffle join, into which no heavy key enters.
+    ``table`` has one row per key. What is kept of it is written once and measured:
+    up to ``max_broadcast`` rows and ``max_bytes`` at rest it is broadcast, so that
+    ``rows`` is not shuffled at all. Beyond that it is a join of two plain tables,
+    whose skewed keys the engine splits among tasks, as one side has a row per key.
     """
-    keep = F.lit(True) if keep is None else keep
-    table = materialize(table, "lookup")
-    kept, total = table.agg(F.count_if(keep), F.sum(weight)).first()
-    if kept <= max_broadcast:
-        return rows.join(F.broadcast(table.filter(keep)), on)
-    heavy = F.col(weight) >= total / max_broadcast
-    head = rows.join(F.broadcast(table.filter(heavy & keep)), on)
-    light_rows = rows.join(F.broadcast(table.filter(heavy).select(on)), on, "left_anti")
-    return head.unionByName(light_rows.join(table.filter(~heavy & keep), on))
+    kept, number = materialize_counted(table if keep is None else table.filter(keep), "lookup")
+    small = number <= max_broadcast and written_bytes(kept) <= max_bytes
+    return rows.join(F.broadcast(kept) if small else kept, on)

@@ -83,9 +83,9 @@ def distinct_port_vessels(
     """True number of vessels per port, beside the sum of its cells' counts.
 
     ``labelled`` has one row per candidate cell: the cell, its ``vessel_count`` and
-    the columns ``port`` that name its port.
+    the columns ``port`` that name its port. Writes the cells with their ports.
     """
-    members = attach(cell_members(binned), labelled, CELL, "vessel_count", max_broadcast=max_broadcast)
+    members = attach(cell_members(binned), labelled.select(*CELL, *port), CELL, max_broadcast=max_broadcast)
     vessels = members.groupBy(port).agg(F.count_distinct("mmsi").alias("distinct_vessels"))
     sums = labelled.groupBy(port).agg(F.sum("vessel_count").alias("vessel_count"))
     return sums.join(vessels, port)

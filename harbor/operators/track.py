@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from harbor.defaults import COPIES_PER_CHUNK, MAX_BROADCAST_ROWS, MAX_PIECE_ROWS, SLICE_MINUTES
 from harbor.functions.geo import haversine_km
-from harbor.functions.moments import time_second, time_slice
-from harbor.sources.scratch import materialize
+from harbor.functions.moments import time_micros, time_slice
+from harbor.sources.scratch import materialize_counted
 
 PLACE = ["ts", "latitude", "longitude"]
 # Whose track it is: a vessel's, or that of a vessel on one day of a longer history.
 VESSEL = ["mmsi"]
 VESSEL_DAY = ["mmsi", "day"]
+BANDS_PER_DEGREE = 1000
 
 
 @dataclass(frozen=True)
@@ -37,18 +38,17 @@ class Pieces:
     crowded: DataFrame | None  # the folded messages of crowded slices, if there are any
 
     def inside(self, *tie_break: str) -> WindowSpec:
-        """A piece in path order; place decides between messages of one second."""
+        """A piece in path order; place decides between messages of one time."""
         return Window.partitionBy(self.key).orderBy(*PLACE, *tie_break)
 
 
 def _heavy_keys(rows: DataFrame, key: list[str], max_rows: int) -> DataFrame | None:
-    """Keys with more than ``max_rows`` rows; of very many, those that weigh most."""
+    """Keys with more than ``max_rows`` rows, for a join; broadcast if they are few."""
     counts = rows.groupBy(key).agg(F.count("*").alias("rows"))
-    heavy = F.col("rows") > max_rows
-    number, total = counts.filter(heavy).agg(F.count("*"), F.sum("rows")).first()
-    if number > MAX_BROADCAST_ROWS:
-        heavy = F.col("rows") >= total / MAX_BROADCAST_ROWS
-    return F.broadcast(materialize(counts.filter(heavy).select(key), "heavy")) if number else None
+    heavy, number = materialize_counted(counts.filter(F.col("rows") > max_rows).select(key), "heavy")
+    if not number:
+        return None
+    return F.broadcast(heavy) if number <= MAX_BROADCAST_ROWS else heavy
 
 
 def with_day(positions: DataFrame) -> DataFrame:
@@ -76,10 +76,17 @@ def cut_tracks(
     if crowded is None:
         return Pieces(sliced.withColumn("copies", one), key, None)
 
-    roomy = sliced.join(crowded, key, "left_anti").withColumns({"copies": one, "second": none, "band": none})
+    place = {
+        "moment": time_micros(F.col("ts")),
+        "band": F.floor(F.col("latitude") * BANDS_PER_DEGREE),
+        "parallel": F.col("latitude"),
+        "stretch": F.floor(F.col("longitude") * BANDS_PER_DEGREE),
+    }
+    whole = {name: (none if name != "parallel" else F.lit(0.0)) for name in place}
+    roomy = sliced.join(crowded, key, "left_anti").withColumn("copies", one).withColumns(whole)
     folded = sliced.join(crowded, key, "left_semi").groupBy(sliced.columns).agg(F.count("*").alias("copies"))
-    folded = folded.withColumns({"second": time_second(F.col("ts")), "band": F.floor(F.col("latitude") * 1000)})
-    return Pieces(roomy.unionByName(folded), [*key, "second", "band"], folded)
+    folded = folded.withColumns(place)
+    return Pieces(roomy.unionByName(folded), [*key, *place], folded)
 
 
 def segment_distance(steps: DataFrame) -> DataFrame:
@@ -119,8 +126,8 @@ def vessel_tracks(
     """One row per vessel: ``low_speed_msgs`` and ``total_distance_km``.
 
     The distance is null for a vessel with a single message. Only the four needed
-    columns are shuffled. Pieces are joined up level by level, bands to seconds,
-    seconds to slices and slices to the track, so each level meets few rows.
+    columns are shuffled. Pieces are joined up level by level, stretches to parallels,
+    those to bands, bands to moments, moments to slices and slices to the track.
     """
     pieces = cut_tracks(slow.select(*vessel, *PLACE), slice_minutes, max_piece_rows, vessel)
     kilometres = F.coalesce("segment_km", F.lit(0.0))

@@ -48,7 +48,7 @@ def grid_report(
     """
     stationary = stationary_positions(positions, **dwell)
     candidates = materialize(ports.port_candidates(stationary, min_vessels), "candidates")
-    labels = materialize(density.dbscan_labels(candidates, eps, min_samples), "labels")
+    labels = materialize(density.dbscan_labels(candidates, eps, min_samples, written=True), "labels")
     return GridReport(
         stationary=stationary,
         candidates=candidates,
@@ -65,17 +65,17 @@ def kmeans_reports(
     min_vessels: int = MIN_CLUSTER_VESSELS,
 ) -> dict[int, KMeansReport]:
     """One report per number of clusters; all fits share one written table of weighted places."""
-    places = c.weighted_places(stationary)
     reports = {}
-    for k in clusters:
-        model = c.kmeans_fit(places, k, seed, weight="weight")
-        assigned = c.kmeans_assign(model, stationary)
-        summary = c.kmeans_summary(assigned, min_vessels)
-        reports[k] = KMeansReport(
-            centers=c.kmeans_centers(stationary.sparkSession, model),
-            assigned=assigned,
-            counts=c.kmeans_cluster_counts(assigned),
-            summary=summary,
-            features=map_features(summary, label_clusters=True),
-        )
+    with c.held(c.weighted_places(stationary)) as places:
+        for k in clusters:
+            model = c.kmeans_fit(places, k, seed, weight="weight")
+            assigned = c.kmeans_assign(model, stationary)
+            summary = c.kmeans_summary(assigned, min_vessels)
+            reports[k] = KMeansReport(
+                centers=c.kmeans_centers(stationary.sparkSession, model),
+                assigned=assigned,
+                counts=c.kmeans_cluster_counts(assigned),
+                summary=summary,
+                features=map_features(summary, label_clusters=True),
+            )
     return reports

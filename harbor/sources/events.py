@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harbor.sources.reports import POSITION_SCHEMA
 from harbor.sources.scratch import scratch_path
 
 # One text for Spark and for the SQL that checks it.
@@ -33,7 +34,6 @@ def positions_from_events(spark: SparkSession, data_dir: str) -> DataFrame:
     return positions.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-POSITION_SCHEMA = "mmsi long, ts timestamp_ntz, latitude double, longitude double, sog double, ship_type string"
 _stored: dict[tuple[str, str], str] = {}
 
 

@@ -1,37 +1,68 @@
-"""Small intermediate tables written to the shared folder of the cluster."""
+"""Intermediate tables written to the shared folder of the cluster."""
 
+import re
 import tempfile
 import uuid
-from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+FOLDER = "harbor"
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="harbor-")
 
+def _root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, else the checkpoint folder that the session's owner has set.
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``.
-
-    Without that setting a temporary folder serves a local session. On a cluster
-    such a folder is invisible to other machines, so it is refused there.
+    Where neither is set, a session on a single machine gets a folder of its own as
+    its checkpoint folder. A cluster is refused: its executors would not see it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _local_folder()
-    return f"{root.rstrip('/')}/harbor/{name}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="harbor-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{FOLDER}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return the written table.
 
     The result has no lineage, survives lost executors, and the planner knows its
-    size. Meant for tables of one row per vessel, cell or cluster.
+    size. The table stays until ``release`` is called.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``materialize`` and the number of rows, counted while they are written."""
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return table, seen.get.get("rows", 0)  # nothing is seen of what is known to be empty
+
+
+def written_bytes(table: DataFrame) -> int:
+    """Size at rest of a written table."""
+    spark = table.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    size = 0
+    for file in table.inputFiles():
+        path = hadoop.Path(file)
+        size += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return size
+
+
+def release(spark: SparkSession) -> bool:
+    """Delete every table written below ``spark.checkpoint.dir`` so far.
+
+    For the owner of the session, once no result that was built on them is needed.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -95,7 +95,12 @@ def _with(select: str, dbscan: tuple[int, int] | None = None) -> str:
 
 def on_stored_positions(query: str, table: str) -> str:
     """The SQL of a query that ends at one of the relations above, reading positions from ``table``."""
-    relation = {"stationary_positions": "stationary", "port_candidates": "candidates"}[query]
+    relation = {
+        "stationary_positions": "stationary",
+        "port_candidates": "candidates",
+        "vessel_distance": "distance",
+        "previous_position": "steps",
+    }[query]
     names = list(CTES)
     needed = [name for name in names[: names.index(relation) + 1] if name not in ("positions", "raw")]
     parts = [f"positions AS (SELECT * FROM {table})", *(f"{name} AS (\n{CTES[name]}\n)" for name in needed)]
@@ -118,6 +123,10 @@ def texts() -> dict[str, str]:
         round(total_distance_km, 6) AS total_distance_km"""
     bubbles = """SELECT lat_bin AS lat, lon_bin AS lon, CAST(least(vessel_count, 20) AS INTEGER) AS radius,
         'Vessels: ' || vessel_count AS popup FROM candidates"""
+    fit_facts = """count(*) AS messages, count(DISTINCT mmsi) AS vessels, TRUE AS clusters_within,
+        TRUE AS nearest"""
+    three_cost = """(SELECT round(sum(spread), 3) FROM (
+        SELECT (var_pop(latitude) + var_pop(longitude)) * count(*) AS spread FROM assigned GROUP BY prediction))"""
     dense = (100, 1)
     sparse = (1, SPARSE_MIN_SAMPLES)
     return {
@@ -204,7 +213,33 @@ def texts() -> dict[str, str]:
             dense,
         ),
         "feature_vectors": _with("SELECT mmsi, ts, longitude AS feature_0, latitude AS feature_1 FROM stationary"),
-        "kmeans_fit": _with("SELECT CAST(7 AS BIGINT) AS clusters, count(*) AS messages FROM stationary"),
+        "kmeans_fit": _with(f"SELECT 7 AS k, {fit_facts} FROM stationary"),
+        "kmeans_reports": _with(
+            f"SELECT k, {fit_facts} FROM stationary CROSS JOIN (VALUES (7), (15), (20)) AS t(k) GROUP BY k"
+        ),
+        "kmeans_message_fit": _with(f"SELECT 3 AS k, {three_cost} AS wssse"),
+        "kmeans_centers": _with(
+            """SELECT 3 AS k, prediction AS cluster_id, round(avg(longitude), 6) AS longitude,
+            round(avg(latitude), 6) AS latitude FROM assigned GROUP BY prediction"""
+        ),
+        "kmeans_assign": _with(f"SELECT {stationary_columns}, prediction FROM assigned"),
+        "kmeans_cluster_counts": _with(
+            "SELECT prediction, count(DISTINCT mmsi) AS ship_count FROM assigned GROUP BY prediction"
+        ),
+        "kmeans_summary": _with(
+            """SELECT cluster_id, vessel_count, round(lat_bin, 6) AS lat_bin, round(lon_bin, 6) AS lon_bin
+            FROM summary"""
+        ),
+        "kmeans_map_features": _with(
+            """SELECT round(lat_bin, 6) AS lat, round(lon_bin, 6) AS lon,
+            CAST(least(vessel_count, 20) AS INTEGER) AS radius,
+            'Vessels: ' || vessel_count || ', Cluster: ' || cluster_id AS popup FROM summary"""
+        ),
+        "elbow_costs": _with(
+            f"""SELECT k, (SELECT count(*) FROM stationary) AS messages, TRUE AS agrees,
+            CASE WHEN k = 3 THEN {three_cost} END AS wssse_of_three
+            FROM (VALUES (2), (3), (4), (5), (6), (7), (8), (9)) AS t(k)"""
+        ),
         "kmeans_three_summary": _with(
             "SELECT vessel_count, round(lat_bin, 6) AS lat_bin, round(lon_bin, 6) AS lon_bin FROM summary"
         ),

@@ -15,14 +15,11 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _kind(value) -> str:
-    return type(value).__name__
-
-
 def _value(value):
+    """A value with its type, so that 1 and 1.0 differ."""
     if isinstance(value, float):
-        return "NaN" if math.isnan(value) else value + 0.0
-    return value
+        value = "NaN" if math.isnan(value) else value + 0.0
+    return type(value).__name__, value
 
 
 def normalized(columns, rows):

@@ -125,3 +125,25 @@ def test_port_totals(spark):
     ports = density.dbscan_ports(density.dbscan_labels(cells))
     found = [(round(r.lat_bin, 6), round(r.lon_bin, 6), r.vessel_count) for r in density.top_dbscan_ports(ports).collect()]
     assert found == [(57.0, 10.0, 40), (55.01, 12.02, 12)]
+
+
+@pytest.mark.parametrize("eps", [0.02, 0.1, 0.3])
+@pytest.mark.parametrize("min_samples", [2, 5, 40, 300])
+def test_core_cells_count_neighbours(spark, eps, min_samples):
+    rng = random.Random(min_samples)
+    cells = {(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(300)} | {(x, y) for x in range(12) for y in range(12)}
+    lattice = density.Lattice(2, eps)
+    place = spark.createDataFrame([(100 * x + y, x, y) for x, y in cells], "point long, x long, y long")
+    found = {r.point for r in density.core_cells(place, lattice, min_samples).collect()}
+    near = {c: sum((c[0] - d[0]) ** 2 + (c[1] - d[1]) ** 2 <= lattice.reach2 for d in cells) for c in cells}
+    assert found == {100 * x + y for (x, y), n in near.items() if n >= min_samples}
+
+
+def test_dense_lattice_lists_no_pairs(spark):
+    """60 by 60 cells at eps 0.3 have six million near pairs; all are core without one."""
+    place = spark.range(3600).selectExpr("id AS point", "id DIV 60 AS x", "id % 60 AS y")
+    lattice = density.Lattice(2, 0.3)
+    asked = density._blocks(place, lattice).groupBy("id").count().filter("count < 5").count()
+    assert asked == 0 and density.core_cells(place, lattice, 5).count() == 3600
+    plan = density.core_cells(place, lattice, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bx" not in plan

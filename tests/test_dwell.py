@@ -60,13 +60,21 @@ def test_attach_equals_join(spark, max_broadcast):
     table = rows.groupBy("mmsi").agg(F.count("*").alias("n"), F.max("latitude").alias("north"))
     keep = F.col("n") >= 4
     expected = spark_rows(rows.join(table.filter(keep), "mmsi"))
-    assert spark_rows(attach(rows, table, ["mmsi"], "n", keep, max_broadcast)) == expected
+    assert spark_rows(attach(rows, table, ["mmsi"], keep, max_broadcast)) == expected
+
+
+def test_attach_by_bytes(spark):
+    rows = spark.createDataFrame(messages(3), SCHEMA).repartition(4)
+    table = rows.groupBy("mmsi").agg(F.count("*").alias("n"))
+    plain = attach(rows, table, ["mmsi"], max_bytes=1)
+    assert "rightHint" not in plain._jdf.queryExecution().analyzed().toString()
+    assert spark_rows(plain) == spark_rows(attach(rows, table, ["mmsi"]))
 
 
 def test_attach_to_nothing(spark):
     rows = spark.createDataFrame([], SCHEMA)
     table = rows.groupBy("mmsi").agg(F.count("*").alias("n"))
-    assert attach(rows, table, ["mmsi"], "n").count() == 0
+    assert attach(rows, table, ["mmsi"]).count() == 0
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 7])
@@ -91,7 +99,8 @@ def test_messages_are_looked_up_not_shuffled(spark):
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
-def test_light_keys_only_are_shuffled(spark):
+def test_many_vessels_are_not_broadcast(spark):
     positions = spark.createDataFrame(messages(2), SCHEMA)
-    plan = plan_of(dwell.stationary_positions(positions, max_broadcast=1))
-    assert "LeftAnti" in plan and "Union" in plan
+    few, many = (dwell.stationary_positions(positions, max_broadcast=n) for n in (1000, 1))
+    assert "rightHint=(strategy=broadcast)" in few._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint" not in many._jdf.queryExecution().optimizedPlan().toString()

@@ -8,7 +8,7 @@ import pytest
 from harbor.operators import centers, ports, report
 from harbor.plans import detection
 from harbor.sources.events import positions_from_events
-from harbor.sources.reports import write_map_features
+from harbor.sources.reports import read_positions, write_map_features, write_positions
 from harbor.operators.clean import clean_typed
 
 SCHEMA = "mmsi long, ts timestamp_ntz, latitude double, longitude double, sog double, ship_type string"
@@ -78,13 +78,13 @@ def test_grid_report(positions):
 
 def test_kmeans_reports(positions):
     stationary = detection.grid_report(positions).stationary
-    made = detection.kmeans_reports(stationary, (3, 7), min_vessels=1)
+    made = detection.kmeans_reports(stationary, (3, 7, 15, 20), min_vessels=1)
     for k, found in made.items():
         assert found.centers.count() == k
         assert found.assigned.count() == 3718
-        assert found.counts.count() == k
+        assert 1 <= found.counts.count() <= k
         popups = [r.popup for r in found.features.collect()]
-        assert len(popups) == k and all(", Cluster: " in p and "." not in p for p in popups)
+        assert len(popups) == found.counts.count() and all(", Cluster: " in p and "." not in p for p in popups)
 
 
 def test_weighted_places_cost_the_same(positions):
@@ -104,3 +104,30 @@ def test_elbow_falls(positions):
     assert [r.k for r in costs] == list(range(2, 10))
     assert all(b.wssse <= a.wssse * 1.2 for a, b in zip(costs, costs[1:]))
     assert costs[-1].wssse < costs[0].wssse
+
+
+def test_elbow_reads_the_places_once(spark, positions):
+    places = centers.weighted_places(detection.grid_report(positions).stationary)
+    with centers.held(places) as kept:
+        assert kept.storageLevel.useMemory
+        centers.kmeans_fit(kept, 3, weight="weight")
+    assert not places.storageLevel.useMemory
+
+
+def test_rounded_places_hold_all_messages(positions):
+    stationary = detection.grid_report(positions).stationary
+    exact, coarse = centers.weighted_places(stationary), centers.weighted_places(stationary, decimals=3)
+    assert coarse.count() < exact.count()
+    assert coarse.agg({"weight": "sum"}).first() == exact.agg({"weight": "sum"}).first()
+
+
+def test_positions_by_day(spark, positions, tmp_path):
+    path = str(tmp_path / "positions")
+    write_positions(positions, path)
+    stored = read_positions(spark, path)
+    assert sorted(stored.drop("day").collect(), key=repr) == sorted(positions.collect(), key=repr)
+    day = stored.selectExpr("min(day)").first()[0]
+    one = stored.filter(stored.day == day)
+    assert one.count() == positions.filter(f"to_date(ts) = DATE'{day}'").count() > 0
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan

@@ -1,34 +1,47 @@
 """Where intermediate tables go."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from harbor.sources.scratch import materialize, scratch_path
+from harbor.sources import scratch
+from harbor.sources.scratch import materialize, materialize_counted, scratch_path, written_bytes
 
 
 class Settings:
     """A stand-in for a session of which only the settings are read."""
 
-    def __init__(self, **settings):
-        self.conf = self
+    def __init__(self, folder=None, **settings):
+        self.conf = self.sparkContext = self
+        self.folder = folder
         self.settings = {name.replace("_", "."): value for name, value in settings.items()}
 
     def get(self, name, default):
         return self.settings.get(name, default)
 
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
 
 def test_shared_folder_of_the_session():
     spark = Settings(spark_checkpoint_dir="hdfs://shared/tmp/", spark_master="yarn")
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert first.startswith("hdfs://shared/tmp/harbor/x-") and first != second
+    assert scratch_path(Settings("hdfs://own", spark_master="yarn"), "x").startswith("hdfs://own/harbor/x-")
 
 
-def test_cluster_without_shared_folder_is_refused():
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[2,1,1024]", "spark://host:7077"])
+def test_cluster_without_shared_folder_is_refused(master):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_path(Settings(spark_master="yarn"), "x")
+        scratch_path(Settings(spark_master=master), "x")
 
 
-def test_local_session_needs_no_setting():
-    assert "/harbor-" in scratch_path(Settings(spark_master="local[2]"), "x")
+@pytest.mark.parametrize("master", ["local", "local[2]", "local[*]"])
+def test_single_machine_gets_a_folder_once(master):
+    spark = Settings(spark_master=master)
+    assert scratch_path(spark, "x").startswith(spark.folder) and scratch_path(spark, "y").startswith(spark.folder)
 
 
 def test_written_table_keeps_rows_and_types(spark):
@@ -37,3 +50,18 @@ def test_written_table_keeps_rows_and_types(spark):
     assert table.schema.simpleString() == df.schema.simpleString()
     assert sorted(table.collect()) == sorted(df.collect())
     assert materialize(df.filter("id < 0"), "test").count() == 0
+
+
+def test_rows_are_counted_while_written(spark):
+    table, rows = materialize_counted(spark.range(7).filter("id > 2"), "test")
+    assert rows == table.count() == 4 and written_bytes(table) > 0
+    assert materialize_counted(spark.range(7).filter("id > 9"), "test")[1] == 0
+    assert materialize_counted(spark.range(7).filter(F.lit(False)), "test")[1] == 0
+    assert materialize_counted(spark.createDataFrame([], "id long"), "test")[1] == 0
+
+
+def test_release(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "FOLDER", "harbor-release-test")
+    path = materialize(spark.range(3), "test").inputFiles()[0]
+    assert "harbor-release-test" in path
+    assert scratch.release(spark) and not scratch.release(spark)
