@@ -22,6 +22,8 @@ MARK = "▁"  # stands for a blank inside pieces
 UNIGRAM, BYTE_PAIR = 1, 2
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 REMEMBERED_PAIRS = 300_000
+PAIR = 1 << 24  # above all ids
+UNMARKED = "\ud800"  # no valid text holds it
 
 
 def _fields(data: bytes) -> dict[int, list]:
@@ -87,8 +89,7 @@ class PieceModel:
         for piece, number in self.piece_id.items():
             self.automaton.add_word(piece, number)
         self.automaton.make_automaton()
-        self.alone: dict[int, bool] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
 
     # Characters outside the vocabulary are held as negative numbers below all ids.
     def _string(self, token: int) -> str:
@@ -108,39 +109,62 @@ class PieceModel:
             at = -max(scores)[1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _may_begin(self, token: int) -> bool:
-        if token not in self.alone:
-            self.alone[token] = len(self.merged(self._string(token))) == 1
-        return self.alone[token]
-
-    def _may_follow(self, left: int, token: int) -> bool:
-        known = self.apart.get((left, token))
-        if known is None:
-            if len(self.apart) >= REMEMBERED_PAIRS:
-                self.apart.clear()
-            a, b = self._string(left), self._string(token)
-            known = self.apart[left, token] = self.merged(a + b) == [a, b]
+    def _apart(self, left: int, token: int) -> bool:
+        """Whether merging leaves ``left`` and ``token`` as they are; 0 for ``left`` is the begin of a word."""
+        if len(self.apart) >= REMEMBERED_PAIRS:
+            self.apart.clear()
+        parts = [self._string(left)] * (left != 0) + [self._string(token)]
+        known = self.apart[left * PAIR + token] = self.merged("".join(parts)) == parts
         return known
 
     def lattice(self, word: str) -> tuple[list[int], list[int]]:
         """For every prefix of ``word``, by its length: its last token and its number of tokens."""
-        size = len(word)
+        return self._merge_lattice(word) if self.kind == BYTE_PAIR else self._score_lattice(word)
+
+    def _merge_lattice(self, word: str) -> tuple[list[int], list[int]]:
+        size, known, length = len(word), self.apart, self.length
+        last, count = [0] * (size + 1), [0] * (size + 1)
+        for at, token in self.automaton.iter(word):  # by place, longer pieces first
+            end = at + 1
+            if last[end]:
+                continue
+            begin = end - length[token]
+            left = last[begin]
+            if begin and not left:
+                self._fill(word, begin, last, count)
+                left = last[begin]
+            apart = known.get(left * PAIR + token)
+            if apart is None:
+                apart = self._apart(left, token)
+            if apart:
+                last[end] = token
+                count[end] = count[begin] + 1
+        if not last[size]:
+            self._fill(word, size, last, count)
+        return last, count
+
+    @staticmethod
+    def _fill(word: str, end: int, last: list[int], count: list[int]) -> None:
+        """Prefixes up to ``end`` that no piece ends have a character outside the vocabulary last, written as its bytes."""
+        for place in range(1, end + 1):
+            if not last[place]:
+                char = word[place - 1]
+                last[place], count[place] = -ord(char), count[place - 1] + len(char.encode())
+
+    def _score_lattice(self, word: str) -> tuple[list[int], list[int]]:
+        size, length, score = len(word), self.length, self.score
         last, count = [0] * (size + 1), [0] * (size + 1)
         best: list[float | None] = [0.0] + [None] * size
-        settled, length, score = 0, self.length, self.score
+        settled = 0
         for at, token in self.automaton.iter(word):
             end = at + 1
             while settled < at:
                 settled += 1
                 self._settle(word, settled, last, count, best)
             begin = end - length[token]
-            if self.kind == BYTE_PAIR:
-                if best[end] is None and (self._may_follow(last[begin], token) if begin else self._may_begin(token)):
-                    last[end], count[end], best[end] = token, count[begin] + 1, 0.0
-            else:
-                total = best[begin] + score[token]
-                if best[end] is None or total > best[end]:
-                    last[end], count[end], best[end] = token, count[begin] + 1, total
+            total = best[begin] + score[token]
+            if best[end] is None or total > best[end]:
+                last[end], count[end], best[end] = token, count[begin] + 1, total
         while settled < size:
             settled += 1
             self._settle(word, settled, last, count, best)
@@ -148,14 +172,14 @@ class PieceModel:
 
     def _settle(self, word: str, end: int, last: list[int], count: list[int], best: list) -> None:
         """Let a character outside the vocabulary end a prefix, as its bytes, where that is best or the only way."""
-        if best[end] is not None and (self.kind == BYTE_PAIR or word[end - 1] in self.piece_id):
-            return
-        total = best[end - 1] + self.unknown_score
-        if best[end] is None or total > best[end]:
-            char = word[end - 1]
-            last[end], count[end], best[end] = -ord(char), count[end - 1] + len(char.encode()), total
+        char = word[end - 1]
+        if best[end] is None or char not in self.piece_id:
+            total = best[end - 1] + self.unknown_score
+            if best[end] is None or total > best[end]:
+                last[end], count[end], best[end] = -ord(char), count[end - 1] + len(char.encode()), total
 
     def word_ids(self, word: str) -> list[int]:
+        """The ids of a word as it stands in the marked text."""
         last, _ = self.lattice(word)
         out: list[int] = []
         end = len(word)
@@ -171,16 +195,22 @@ class PieceModel:
         return out
 
     def words(self, text: str) -> list[str]:
-        """The text cut before each mark that follows another character; joined they are the marked text."""
+        """The words of a text: cut before each mark that follows another character, the first mark left out.
+
+        A word that has no mark in front begins with UNMARKED.
+        """
         if not text:
             return []
+        if self.by_word and self.prefix and "  " not in text and MARK not in text and text[0] != " ":
+            return text.split(" ")
         marked = self.prefix + text.replace(" ", MARK)
-        if not self.by_word:
-            return [marked]
-        if MARK + MARK in marked:
-            return WORDS.findall(marked)
-        first, *rest = marked.split(MARK)
-        return [first] * bool(first) + [MARK + word for word in rest]
+        parts = WORDS.findall(marked) if self.by_word else [marked]
+        return [word[1:] if word[0] == MARK else UNMARKED + word for word in parts]
+
+    @staticmethod
+    def marked(word: str) -> str:
+        """A word of ``words`` as it stands in the marked text."""
+        return word[1:] if word[:1] == UNMARKED else MARK + word
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""

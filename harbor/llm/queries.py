@@ -42,8 +42,7 @@ def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
-    encoded = sentencepieces.encode_texts(table(spark, sf, "documents"), PIECE_BPE)
-    return sentencepieces.decode_ids(encoded, PIECE_BPE)
+    return sentencepieces.encode_texts(table(spark, sf, "documents"), PIECE_BPE, decoded=True)
 
 
 def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from collections.abc import Callable, Iterable
 from typing import Any
 
-REMEMBERED = 200_000  # words of a generation; two are held
+REMEMBERED = 300_000  # words of a generation; two are held
 LONGEST = 64  # longer words are forgotten after use
 
 
@@ -20,16 +20,22 @@ class RecentWords:
         self.old: dict[str, Any] = {}
         self.long: list[str] = []
 
-    def of(self, words: set[str]) -> dict[str, Any]:
-        """A table that holds all of ``words``, until the next call."""
+    def of(self, texts: list[list[str]]) -> list[list[Any]]:
+        """The value of every word of every text."""
         for word in self.long:
-            del self.new[word]
+            self.new.pop(word, None)
         if len(self.new) > self.size:
             self.old, self.new = self.new, {}
-        unknown = words - self.new.keys()
-        again = unknown & self.old.keys()
-        self.new.update((word, self.old[word]) for word in again)
-        unknown = list(unknown - again)
-        self.new.update(zip(unknown, self.make(unknown), strict=True))
+        known = self.new
+        values = [list(map(known.get, words)) for words in texts]
+        gaps = [[at for at, value in enumerate(found) if value is None] for found in values]
+        unknown = {words[at] for words, places in zip(texts, gaps, strict=True) for at in places}
+        again = {word: self.old[word] for word in unknown if word in self.old}
+        unknown = [word for word in unknown if word not in again]
+        known.update(again)
+        known.update(zip(unknown, self.make(unknown), strict=True))
         self.long = [word for word in unknown if len(word) > LONGEST]
-        return self.new
+        for words, found, places in zip(texts, values, gaps, strict=True):
+            for at in places:
+                found[at] = known[words[at]]
+        return values

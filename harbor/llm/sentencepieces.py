@@ -3,6 +3,7 @@
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,13 +21,11 @@ class WordIds:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.words = RecentWords(lambda words: [array("i", model.word_ids(word)).tobytes() for word in words])
+        self.words = RecentWords(lambda words: [array("i", model.word_ids(model.marked(word))).tobytes() for word in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native 32-bit integers."""
-        split = [self.model.words(text) for text in texts]
-        known = self.words.of(set().union(*split))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [b"".join(ids) for ids in self.words.of([self.model.words(text) for text in texts])]
 
 
 _encoders: dict[str, WordIds] = {}
@@ -39,31 +38,36 @@ def word_ids(path: str) -> WordIds:
     return _encoders[path]
 
 
-def encode_texts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids of the whole text, their number, and their crc32 as little-endian unsigned 32-bit integers.
+def encode_texts(
+    docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False
+) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, ids: the ids of the whole text, their number, and their crc32 as little-endian
+    unsigned 32-bit integers. ``decoded`` adds ``text`` as the ids give it back.
 
     A null or empty text has no ids. Rows repeat as they come; no row moves.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))]
+    schema = pa.schema(fields + [("text", pa.string())] * decoded)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(model)
+        encoder, pieces = word_ids(model), piece_model(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 lists = encoder.encode(texts[a:b])
-                offsets = [0]
-                for ids in lists:
-                    offsets.append(offsets[-1] + len(ids) // 4)
-                values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(lists))])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), pa.array([len(ids) // 4 for ids in lists], pa.int64()),
-                    pa.array([zlib.crc32(ids) for ids in lists], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values),
-                ], schema=schema)
+                sizes = [len(ids) // 4 for ids in lists]
+                offsets = pa.array([0, *accumulate(sizes)], pa.int32())
+                values = pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join(lists))])
+                columns = [
+                    batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()),
+                    pa.array([zlib.crc32(ids) for ids in lists], pa.int64()), pa.ListArray.from_arrays(offsets, values),
+                ]
+                if decoded:
+                    columns.append(pa.array([pieces.decode(array("i", ids)) for ids in lists], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids_crc32 long, ids array<int>")
+    return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids_crc32 long, ids array<int>" + ", text string" * decoded)
 
 
 def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
@@ -76,8 +80,8 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
         pieces = piece_model(model)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("ids"))
-            texts = [None if ids is None else pieces.decode(ids) for ids in lists.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+            texts = [pieces.decode(ids.values.to_pylist()) if ids.is_valid else None for ids in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
     kept = encoded.drop("text")
     return kept.mapInArrow(decode, T.StructType([*kept.schema.fields, T.StructField("text", T.StringType())]))

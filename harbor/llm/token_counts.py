@@ -26,13 +26,11 @@ class PrefixCounts:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.words = RecentWords(lambda words: [array("i", model.lattice(word)[1]) for word in words])
+        self.words = RecentWords(lambda words: [array("i", model.lattice(model.marked(word))[1]) for word in words])
 
     def tables(self, texts: list[str]) -> list[list[array]]:
         """For each word of each text the number of tokens of its prefixes of 0, 1, ... characters."""
-        split = [self.model.words(text) for text in texts]
-        known = self.words.of(set().union(*split))
-        return [[known[word] for word in words] for words in split]
+        return self.words.of([self.model.words(text) for text in texts])
 
     def counts(self, tables: list[array]) -> list[int]:
         """The number of tokens of every prefix of a text, of 0, 1, ... all its characters."""

@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,13 +39,27 @@ LAYOUT = {
 BATCH_CHARS = 1_000_000  # text encoded at once
 
 
+# Fixed value: how byte-level tokenizers split a text before merging.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN_END = "\u0250"  # below it the classes of characters are the same in every Unicode version
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte: itself if it can be printed, else the next one from 256 on."""
+    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [byte for byte in range(256) if byte not in printed]
+    return {byte: chr(byte) for byte in printed} | {byte: chr(256 + n) for n, byte in enumerate(others)}
+
+
 class TextEncoder:
     """Ids of whole texts by the tokenizers library, as little-endian 32-bit integers.
 
     A byte-level tokenizer never joins across a single blank: the blank begins the
-    next word. Words are then encoded by the library once and remembered. Texts with
-    two blanks in a row or with an added token, and all texts of other kinds of
-    tokenizers, are given to the library whole.
+    next word. Words, and the parts that they are split into before merging, are then
+    encoded by the library once and remembered. Texts with two blanks in a row or with
+    an added token, and all texts of other kinds of tokenizers, are given to the
+    library whole.
     """
 
     def __init__(self, path: str):
@@ -56,12 +71,16 @@ class TextEncoder:
         splitter = described.get("pre_tokenizer") or {}
         self.by_word = (
             described.get("normalizer") is None
+            and described["model"]["type"] == "BPE"
             and splitter.get("type") == "ByteLevel"
             and splitter.get("use_regex", True)
             and not splitter.get("add_prefix_space", True)
         )
         self.whole = ["  "] + [token["content"] for token in described.get("added_tokens", [])]
-        self.words = RecentWords(lambda words: self._library([" " + word for word in words]))
+        self.split = regex.compile(BYTE_LEVEL_SPLIT).findall
+        self.characters = _byte_characters()
+        self.words = RecentWords(self._word_ids)
+        self.parts = RecentWords(self._part_ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -69,11 +88,36 @@ class TextEncoder:
         split = [None if any(mark in text for mark in self.whole) else text.split(" ") for text in texts]
         wholes = iter(self._library([text for text, words in zip(texts, split, strict=True) if words is None]))
         firsts = iter(self._library([words[0] for words in split if words is not None]))
-        known = self.words.of(set().union(*(words[1:] for words in split if words is not None)))
+        rests = iter(self.words.of([words[1:] for words in split if words is not None]))
+        return [next(wholes) if words is None else next(firsts) + b"".join(next(rests)) for words in split]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words after a blank."""
+        plain = [word.isascii() or max(word) < LATIN_END for word in words]
+        others = iter(self._library([" " + word for word, own in zip(words, plain, strict=True) if not own]))
+        parts, ends = [], []
+        for word, own in zip(words, plain, strict=True):
+            if own:
+                parts += self._parts(word)
+            ends.append(len(parts))
+        [ids] = self.parts.of([parts])
+        begins = [0, *ends]
         return [
-            next(wholes) if words is None else next(firsts) + b"".join(map(known.__getitem__, words[1:])) for words in split
+            b"".join(ids[a:b]) if own else next(others) for a, b, own in zip(begins, ends, plain, strict=False)
         ]
 
+    def _parts(self, word: str) -> list[str]:
+        """A blank and ``word`` as they are split before merging; letters, and punctuation after them, by themselves."""
+        letters = word.rstrip(PUNCTUATION)
+        if letters.isalpha():
+            return [" " + word] if len(letters) == len(word) else [" " + letters, word[len(letters) :]]
+        return self.split(" " + word)
+
+    def _part_ids(self, parts: list[str]) -> list[bytes]:
+        merge, characters = self.tokenizer.model.tokenize, self.characters
+        spelled = [part.encode().decode("latin-1").translate(characters) for part in parts]
+        return [array("I", [token.id for token in merge(part)]).tobytes() for part in spelled]
+
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [array("I", one.ids).tobytes() for one in encoded]

@@ -145,7 +145,8 @@ def test_unigram_finds_the_best_score():
 
 @pytest.mark.parametrize("rows", [AWKWARD, []])
 def test_encode_and_decode_tables(spark, rows):
-    found = sentencepieces.decode_ids(sentencepieces.encode_texts(documents(spark, rows), PIECE_BPE), PIECE_BPE)
+    found = sentencepieces.encode_texts(documents(spark, rows), PIECE_BPE, decoded=True)
+    assert rows_of(sentencepieces.decode_ids(found, PIECE_BPE)) == rows_of(found)
     expected = []
     for doc_id, text, _ in rows:
         ids = LIBRARY.encode(text or "")
