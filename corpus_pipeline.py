@@ -47,7 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and the text that they decode to."""
-    return sentencepieces.decode_ids(sentencepieces.encode_texts(docs, PIECES), PIECES)
+    return sentencepieces.encode_texts(docs, PIECES, decoded=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
