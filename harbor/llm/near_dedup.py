@@ -33,7 +33,11 @@ SIMILARITY = 0.8
 # A pair of similarity s shares a band with probability 1 - (1 - s ** BAND_ROWS) ** BANDS:
 # all but 8 in a million at 0.8, one in 6,000 at 0.2.
 BANDS, BAND_ROWS = 64, 8
-DECIDING_ROUNDS = 2
+# One bit of each coordinate makes a sketch. Of two sets of similarity 0.8 a tenth of these bits
+# differs on average; more than 5.5 standard deviations above that does not occur.
+COORDINATES = BANDS * BAND_ROWS
+MOST_DIFFERENT = int(0.1 * COORDINATES + 5.5 * (0.09 * COORDINATES) ** 0.5)
+DECIDING_ROUNDS = 1
 
 
 def text_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -41,20 +45,23 @@ def text_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_keys(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``text`` replaced by ``bands``, the band keys of its signature; none for a text without words."""
+    """``rows`` with ``text`` replaced by ``bands`` and ``sketch`` of its signature; a text without words has no bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in slices(texts):
                 doc, found = text_shingles(texts[a:b])
-                keys = bands(in_parts(doc, found, np.ones(len(found)), b - a, BANDS * BAND_ROWS), BAND_ROWS)
+                signature = in_parts(doc, found, np.ones(len(found)), b - a, COORDINATES)
+                keys, bits = bands(signature, BAND_ROWS), np.packbits((signature & np.uint64(1)).astype(bool), axis=1)
                 some = np.bincount(doc, minlength=b - a) > 0
                 offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], lists], [*batch.schema.names[:-1], "bands"])
+                sketches = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), COORDINATES // 64)
+                columns = [*batch.slice(a, b - a).columns[:-1], lists, sketches.cast(pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "bands", "sketch"])
 
-    schema = rows.drop("text").selectExpr("*", "array(0L) AS bands").schema
+    schema = rows.drop("text").selectExpr("*", "array(0L) AS bands", "array(0L) AS sketch").schema
     return rows.mapInArrow(sign, schema)
 
 
@@ -95,7 +102,8 @@ def _open(members: DataFrame) -> DataFrame:
 def _with_bound(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Add to each node of ``members`` its number of shingles and of those that other nodes there have; drop hopeless ones."""
     nodes = sets.join(members.select("node").distinct(), "node", "left_semi")
-    each = nodes.select("node", F.explode("shingles").alias("shingle"))
+    # Half of a hash halves the shuffle; where two meet by chance the bound is only less tight.
+    each = nodes.select("node", F.explode("shingles").alias("shingle")).withColumn("shingle", F.expr("int(shingle & 2147483647)"))
     lone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
     lone = lone.groupBy("node").agg(F.count("*").alias("lone"))
     sizes = nodes.select("node", F.size("shingles").alias("size")).join(lone, "node", "left")
@@ -118,7 +126,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", st
     texts = numbered(docs, stored).select(ROW, F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("key"), body.alias("text"))
     signed = materialize(band_keys(texts), "signed")
     nodes = materialize(signed.groupBy("key").agg(F.min(ROW).alias("node")), "nodes")
-    banded = signed.join(nodes.select(F.col("node").alias(ROW)), ROW).select(F.col(ROW).alias("node"), "bands")
+    copies = signed.select(ROW, "key").join(nodes, "key").filter(F.col(ROW) != F.col("node")).select(ROW)
+    banded = signed.join(materialize(copies, "copies"), ROW, "left_anti")
+    banded = banded.select(F.col(ROW).alias("node"), "bands", "sketch")
 
     each = banded.select("node", F.explode("bands").alias("bucket"))
     heads = each.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
@@ -147,8 +157,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", st
         new = materialize(links(pairs, sets), "links")
         linked = not new.isEmpty()
         if linked:
-            found = found.unionByName(new)
-            roots = connected_components(candidates.withColumnRenamed("node", "id"), found)
+            roots = _merged(roots, new)
         if not rounds:
             break
         rounds = rounds - 1 if linked else 0
@@ -164,6 +173,16 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", st
     )
 
 
+def _merged(roots: DataFrame, new: DataFrame) -> DataFrame:
+    """``roots`` after ``new`` links between nodes: components of the few roots that these join."""
+    edges = new.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a")
+    edges = edges.join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+    edges = materialize(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "joined")
+    joined = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    tops = connected_components(joined, edges).select(F.col("id").alias("root"), F.col("root").alias("top"))
+    return materialize(roots.join(tops, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
+
+
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.drop("root").join(roots.withColumnRenamed("id", "node"), "node")
 
@@ -187,10 +206,13 @@ def _pairs_with_heads(members: DataFrame) -> DataFrame:
 
 def _open_pairs(members: DataFrame) -> DataFrame:
     """All pairs of different classes that share a bucket and may reach the similarity, each from its first shared bucket."""
-    left = members.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "shared", "bands")))
-    right = members.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "size", "shared", "bands")))
+    names = ("node", "root", "size", "shared", "bands", "sketch")
+    left = members.select("bucket", *(F.col(name).alias(f"{name}_a") for name in names))
+    right = members.select("bucket", *(F.col(name).alias(f"{name}_b") for name in names))
     may = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
     may &= _reaches(F.least("shared_a", "shared_b"), F.col("size_a"), F.col("size_b"))
+    different = [F.bit_count(F.get("sketch_a", F.lit(n)).bitwiseXOR(F.get("sketch_b", F.lit(n)))) for n in range(COORDINATES // 64)]
+    may &= sum(different[1:], different[0]) <= MOST_DIFFERENT
     same = F.zip_with("bands_a", "bands_b", lambda a, b: a == b)
     may &= F.get("bands_a", F.array_position(same, True).cast("int") - 1) == left["bucket"]
     return left.join(right, (left["bucket"] == right["bucket"]) & may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
