@@ -24,7 +24,7 @@ SAMPLE_SYMBOLS = 40_000  # symbols of each language in its automaton
 ALL_SYMBOLS = 400_000  # symbols of all languages together; bounds the model
 SYMBOLS = 64  # 0: anything but a letter; 1 to 62: the most frequent letters; 63: any other letter
 SEGMENT = 512  # symbols parsed at a stretch; a phrase ends at the end of a segment
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 def part_of(doc_id: Column) -> Column:

@@ -3,7 +3,7 @@
 from collections.abc import Callable, Iterable
 from typing import Any
 
-REMEMBERED = 300_000  # words of a generation; two are held
+REMEMBERED = 120_000  # words of a generation; two are held
 LONGEST = 64  # longer words are forgotten after use
 
 

@@ -35,9 +35,20 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-@cache
+KEPT_POWERS = 1 << 21
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the factor and of its inverse, of at least ``size`` places."""
+    """Powers of the factor and of its inverse, of at least ``size`` places; kept up to a usual batch."""
+    return _kept_powers() if size <= KEPT_POWERS else _new_powers(size)
+
+
+@cache
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _new_powers(KEPT_POWERS)
+
+
+def _new_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (FACTOR, INVERSE):
         steps = np.full(size, base, np.uint64)
@@ -59,8 +70,7 @@ class Words:
     def hashes(self, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Hash of each word, or of the given spans."""
         begin, end = (self.begin, self.end) if begin is None else (begin, end)
-        size = 1 << max(10, int(len(self.points)).bit_length())
-        powers, inverses = _powers(size)
+        powers, inverses = _powers(len(self.points) + 1)
         sums = np.zeros(len(self.points) + 1, np.uint64)
         np.cumsum((self.points.astype(np.uint64) + np.uint64(1)) * powers[: len(self.points)], out=sums[1:])
         spans = (sums[end] - sums[begin]) * inverses[begin]
