@@ -22,11 +22,9 @@ def with_row(df: DataFrame) -> DataFrame:
     return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def numbered(df: DataFrame, stored: bool) -> DataFrame:
-    """Number the rows so that every pass gives a row the same number.
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows written once with their numbers, so that every pass gives a row the same number.
 
-    ``stored`` says that ``df`` is read from files and not shuffled since: a scan
-    numbers its rows alike each time. Any other table is written with its numbers.
+    A second scan of the same files may cut them elsewhere and number the rows anew.
     """
-    rows = with_row(df)
-    return rows if stored or ROW in df.columns else materialize(rows, "numbered")
+    return df if ROW in df.columns else materialize(with_row(df), "numbered")

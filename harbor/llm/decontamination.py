@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from harbor.llm.common import ROW, numbered, whole_text
+from harbor.llm.common import ROW, numbered, whole_text, with_row
 from harbor.llm.token_store import slices
 from harbor.llm.words import DIGIT, LETTER, UPPER, Words, mix, words_of
 from harbor.sources.scratch import materialize
@@ -100,7 +101,7 @@ def _holder(known: np.ndarray | None):
 
 
 def template_windows(rows: DataFrame, sizes: tuple[int, ...] | None, known: np.ndarray | None) -> DataFrame:
-    """Windows of the templates of ``rows(key, text)``: key, place, window hash, slots.
+    """Windows of the templates of ``rows(key, text, ...)``: key, place, window hash, slots, the other columns of the row.
 
     With ``sizes`` windows of these lengths are made, and of their hashes those in
     ``known`` are kept, all if it is None. Without ``sizes`` each text gets windows of
@@ -109,7 +110,7 @@ def template_windows(rows: DataFrame, sizes: tuple[int, ...] | None, known: np.n
     units = _units()
     shipped = rows.sparkSession.sparkContext.broadcast(known) if known is not None else None
     slot = pa.struct([("at", pa.int32()), ("value", pa.int64())])
-    schema = pa.schema([("key", pa.int64()), ("place", pa.int64()), ("window", pa.int64()), ("slots", pa.list_(slot)), ("windows", pa.int64()), ("size", pa.int32())])
+    names = ["key", "place", "window", "slots", "windows", "size", *rows.columns[2:]]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _holder(shipped.value if shipped else None)
@@ -135,9 +136,11 @@ def template_windows(rows: DataFrame, sizes: tuple[int, ...] | None, known: np.n
                     yield pa.RecordBatch.from_arrays([
                         pa.array(keys[a + text]), pa.array(place), pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(slot)),
                         pa.array(number[text]), pa.array(np.full(len(begin), size, np.int32)),
-                    ], schema=schema)
+                        *(column.take(pa.array(a + text)) for column in batch.columns[2:]),
+                    ], names)
 
-    return rows.mapInArrow(make, SCHEMA)
+    others = rows.drop("key", "text").schema.fields
+    return rows.mapInArrow(make, T.StructType([*T.StructType.fromDDL(SCHEMA).fields, *others]))
 
 
 def find_benchmark_items(
@@ -153,7 +156,8 @@ def find_benchmark_items(
 
     The benchmark's window hashes go to the tasks to sift the documents' windows if
     there are at most SHIPPED_WINDOWS; else all windows enter the same join.
-    ``stored``: see ``numbered``.
+    Row numbers are given in the one pass that writes the documents' windows; ``stored``
+    no longer matters.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("key"), whole_text(item_text).alias("text"))
     items = materialize(template_windows(items, None, None).withColumnRenamed("key", "item_id"), "items")
@@ -162,12 +166,15 @@ def find_benchmark_items(
     known = None
     if hashes.count() <= SHIPPED_WINDOWS:
         known = np.sort(np.array([row[0] for row in hashes.collect()], np.int64).view(np.uint64))
-    rows = numbered(docs, stored)
-    found = template_windows(rows.select(F.col(ROW).alias("key"), whole_text(text).alias("text")), sizes or (WINDOW,), known)
-    found = found.select(F.col("key").alias(ROW), F.col("place").alias("doc_place"), "window", F.col("slots").alias("doc_slots"))
+    rows = with_row(docs).select(F.col(ROW).alias("key"), whole_text(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    found = template_windows(rows, sizes or (WINDOW,), known)
+    found = materialize(
+        found.select(F.col("key").alias(ROW), "doc_id", F.col("place").alias("doc_place"), "window", F.col("slots").alias("doc_slots")),
+        "found",
+    )
     matches = found.join(items, "window").withColumn("shift", F.col("doc_place") - F.col("place"))
     matches = materialize(matches, "matches")
-    held = matches.groupBy(ROW, "item_id").agg(
+    held = matches.groupBy(ROW, "doc_id", "item_id").agg(
         F.count_distinct("place").alias("windows"), (F.count_distinct("place") / F.max("windows")).alias("coverage")
     )
     # Values of each slot of an alignment once, however many windows cover it.
@@ -182,14 +189,11 @@ def find_benchmark_items(
     slots = most.groupBy(ROW, "item_id").agg(F.sum("n").alias("slots"), (F.sum("most") / F.sum("n")).alias("consistent"))
     judged = held.join(slots, [ROW, "item_id"], "left").fillna({"slots": 0, "consistent": 1.0})
     judged = judged.filter((F.col("coverage") >= LEAST_COVERAGE) & (F.col("consistent") >= LEAST_CONSISTENT))
-    ids = rows.select(ROW, F.col(doc_id).alias("doc_id"))
-    return ids.join(judged, ROW).select(ROW, "doc_id", "item_id", "windows", "coverage", "slots", "consistent")
+    return judged.select(ROW, "doc_id", "item_id", "windows", "coverage", "slots", "consistent")
 
 
-def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", stored: bool = False
-) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    rows = numbered(docs, stored)
+    rows = numbered(docs)
     found = materialize(find_benchmark_items(rows, benchmark, doc_id, text).select(ROW).distinct(), "contaminated")
     return rows.join(found, ROW, "left_anti").drop(ROW)

@@ -90,8 +90,8 @@ def exact_duplicates(
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stored: bool = False) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. ``stored``: see ``numbered``."""
-    rows = numbered(docs, stored)
+def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    rows = numbered(docs)
     dropped = exact_duplicates(rows, doc_id, text).filter(~F.col("kept")).select(ROW)
     return rows.join(materialize(dropped, "dropped"), ROW, "left_anti").drop(ROW)

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harbor.llm.common import ROW, numbered, whole_text
+from harbor.llm.common import ROW, numbered, whole_text, with_row
 from harbor.llm.dart_minhash import bands, in_parts
 from harbor.llm.token_store import slices
 from harbor.llm.words import shingles, words_of
 from harbor.operators.components import connected_components
-from harbor.sources.scratch import materialize
+from harbor.sources.scratch import discard, materialize
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -112,7 +112,7 @@ def _with_bound(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.drop("size", "shared").join(materialize(hopeful, "hopeful"), "node")
 
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stored: bool = False) -> DataFrame:
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for every row of ``docs``: its number, doc_id, class_id, kept.
 
     Two texts are linked if their sets of runs of five lower-case words have a Jaccard
@@ -120,11 +120,11 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", st
     links connect, named by its least doc_id; the row with that id stays, the first
     read one of several. Equal texts are always in one class, also those without words.
     A null text is empty; a null id comes after all others. An empty table gives no rows.
-    ``stored``: see ``numbered``.
     """
-    body = whole_text(text)
-    texts = numbered(docs, stored).select(ROW, F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("key"), body.alias("text"))
-    signed = materialize(band_keys(texts), "signed")
+    texts = with_row(docs).select(ROW, F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
+    texts = texts if ROW in docs.columns else materialize(texts, "numbered")
+    keyed = texts.select(ROW, "doc_id", F.unhex(F.sha2("text", 256)).alias("key"), "text")
+    signed = materialize(band_keys(keyed), "signed")
     nodes = materialize(signed.groupBy("key").agg(F.min(ROW).alias("node")), "nodes")
     copies = signed.select(ROW, "key").join(nodes, "key").filter(F.col(ROW) != F.col("node")).select(ROW)
     banded = signed.join(materialize(copies, "copies"), ROW, "left_anti")
@@ -136,6 +136,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", st
     candidates = materialize(members.select("node").distinct(), "candidates")
     sets = texts.select(F.col(ROW).alias("node"), "text").join(candidates, "node", "left_semi")
     sets = materialize(shingle_sets(sets), "sets")
+    if ROW not in docs.columns:
+        discard(texts)
 
     together = members.filter("node <> head").groupBy("node", "head").agg(F.count("*").alias("n"))
     stars = together.groupBy(F.col("node").alias("a")).agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("b"))
@@ -218,8 +220,8 @@ def _open_pairs(members: DataFrame) -> DataFrame:
     return left.join(right, (left["bucket"] == right["bucket"]) & may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stored: bool = False) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
-    rows = numbered(docs, stored)
+    rows = numbered(docs)
     dropped = materialize(near_classes(rows, doc_id, text).filter(~F.col("kept")).select(ROW), "dropped")
     return rows.join(dropped, ROW, "left_anti").drop(ROW)

@@ -54,7 +54,7 @@ def op5_page_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return near_dedup.near_classes(table(spark, sf, "documents"), stored=True).drop(ROW)
+    return near_dedup.near_classes(table(spark, sf, "documents")).drop(ROW)
 
 
 def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs, benchmark = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return decontamination.find_benchmark_items(docs, benchmark, stored=True).drop(ROW)
+    return decontamination.find_benchmark_items(docs, benchmark).drop(ROW)
 
 
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:

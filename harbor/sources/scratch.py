@@ -59,6 +59,14 @@ def written_bytes(table: DataFrame) -> int:
     return size
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``materialize`` once nothing that is still to run reads it."""
+    hadoop = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    for path in {hadoop.Path(file).getParent().toString() for file in table.inputFiles()}:
+        folder = hadoop.Path(path)
+        folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> bool:
     """Delete every table written below ``spark.checkpoint.dir`` so far.
 
