@@ -149,8 +149,10 @@ def find_benchmark_items(
 ) -> DataFrame:
     """Pairs of a document and an item that it holds: the row's number, doc_id, item_id, windows, coverage, slots, consistent.
 
-    ``windows`` of the item's windows are in the document, ``coverage`` as a share;
-    ``consistent`` is the share of ``slots`` whose values agree. A null text is empty and
+    ``windows`` of the item's windows are in the best alignment of the document with the
+    item, ``coverage`` as a share; ``consistent`` is the share of its ``slots`` whose
+    values agree. Words inserted up to the length of the item do not end an alignment;
+    what lies elsewhere in the document adds nothing to it and takes nothing from it. A null text is empty and
     holds nothing; items of fewer than LEAST_WORDS words and windows with more slots
     than other words are no evidence. Empty tables give no rows; equal rows each give theirs.
 
@@ -174,22 +176,33 @@ def find_benchmark_items(
     )
     matches = found.join(items, "window").withColumn("shift", F.col("doc_place") - F.col("place"))
     matches = materialize(matches, "matches")
-    held = matches.groupBy(ROW, "doc_id", "item_id").agg(
-        F.count_distinct("place").alias("windows"), (F.count_distinct("place") / F.max("windows")).alias("coverage")
+    # An alignment is one shift, or the shifts of one of two overlapping rows of spans, each two items long.
+    span = F.greatest(F.lit(WINDOW), F.col("windows"))
+    near = F.floor(F.col("shift") / span)
+    ways = F.array(*(F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at")) for kind, at in ((0, F.col("shift")), (1, near), (1, near - 1))))
+    held = matches.withColumn("way", F.explode(ways)).groupBy(ROW, "doc_id", "item_id", "way").agg(
+        F.count_distinct("place").alias("held"), (F.count_distinct("place") / F.max("windows")).alias("coverage")
     )
-    # Values of each slot of an alignment once, however many windows cover it.
+    # Values of each slot of a shift once, however many windows cover it.
     pairs = F.arrays_zip(F.col("slots").alias("slots"), F.col("doc_slots.value").alias("doc_value"))
-    values = matches.select(ROW, "item_id", "shift", "place", F.explode(pairs).alias("pair"))
+    values = matches.select(ROW, "item_id", "windows", "shift", "place", F.explode(pairs).alias("pair"))
     values = values.select(
-        ROW, "item_id", "shift", (F.col("place") + F.col("pair.slots.at")).alias("at"),
+        ROW, "item_id", "windows", "shift", (F.col("place") + F.col("pair.slots.at")).alias("at"),
         F.col("pair.slots.value").alias("value"), F.col("pair.doc_value").alias("doc_value"),
     ).distinct()
-    agreeing = values.groupBy(ROW, "item_id", "shift", "value", "doc_value").agg(F.count("*").alias("n"))
-    most = agreeing.groupBy(ROW, "item_id", "shift", "value").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-    slots = most.groupBy(ROW, "item_id").agg(F.sum("n").alias("slots"), (F.sum("most") / F.sum("n")).alias("consistent"))
-    judged = held.join(slots, [ROW, "item_id"], "left").fillna({"slots": 0, "consistent": 1.0})
-    judged = judged.filter((F.col("coverage") >= LEAST_COVERAGE) & (F.col("consistent") >= LEAST_CONSISTENT))
-    return judged.select(ROW, "doc_id", "item_id", "windows", "coverage", "slots", "consistent")
+    shifts = (ROW, "item_id", "windows", "shift")
+    agreeing = values.groupBy(*shifts, "value", "doc_value").agg(F.count("*").alias("n"))
+    most = agreeing.groupBy(*shifts, "value").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    slots = most.groupBy(*shifts).agg(F.sum("most").alias("most"), F.sum("n").alias("n"))
+    slots = slots.withColumn("way", F.explode(ways)).groupBy(ROW, "item_id", "way").agg(
+        F.sum("n").alias("slots"), (F.sum("most") / F.sum("n")).alias("consistent")
+    )
+    judged = held.filter(F.col("coverage") >= LEAST_COVERAGE).join(slots, [ROW, "item_id", "way"], "left")
+    judged = judged.fillna({"slots": 0, "consistent": 1.0}).filter(F.col("consistent") >= LEAST_CONSISTENT)
+    best = F.max(F.struct("coverage", "consistent", F.col("held").alias("windows"), "slots")).alias("best")
+    return judged.groupBy(ROW, "doc_id", "item_id").agg(best).select(
+        ROW, "doc_id", "item_id", "best.windows", "best.coverage", "best.slots", "best.consistent"
+    )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

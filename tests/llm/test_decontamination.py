@@ -57,3 +57,16 @@ def test_given_tables_against_whole_text_search(spark):
     expected = {(i, r.item_id) for r in items.collect() for i, text in texts.items() if plain(r.text).rstrip(".") in text}
     found = decontamination.find_benchmark_items(docs, items, stored=True)
     assert set(rows_of(found, "doc_id", "item_id")) == expected and expected
+
+
+VARIANT = ITEM.replace("gives Tom", "gives Sue").replace("does Tom", "does Zoe")  # its values do not agree
+FILL = " ".join(f"filler{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(200))
+
+
+def test_alignments_are_judged_alone(spark):
+    words = ITEM.split()
+    rows = [
+        (1, f" {FILL} ".join([ITEM, *[VARIANT] * 40]), "en"), (2, f"{ITEM} {' '.join([VARIANT] * 40)}", "en"), (3, f" {FILL} ".join([VARIANT] * 40), "en"),
+        (4, " ".join([*words[:10], FILL, *words[12:22]]), "en"), (5, " ".join([*words[:10], "well then", *words[10:]]), "en"),
+    ]
+    assert rows_of(decontamination.find_benchmark_items(documents(spark, rows), benchmark(spark, [ITEM])), "doc_id") == [(1,), (2,), (5,)]
