@@ -6,6 +6,10 @@ hashed and joined. A window that matches lines the item up with the document; th
 values in the slots of that alignment must then be consistent: one value of the item
 must stand for one value of the document throughout, as in a question asked again
 with other parameters, but not in two texts that only share a pattern.
+
+A name is told by its capital, so a copy in other case has other templates. Literal
+windows, of the words without case and without slots, are hashed and joined beside
+the templates; a document holds an item that reaches the coverage by either kind.
 """
 
 from collections.abc import Iterator
@@ -27,7 +31,7 @@ LEAST_COVERAGE = 0.3  # share of an item's windows that a document must hold
 LEAST_CONSISTENT = 0.8  # share of slots that agree with the commonest value for their item value
 SHIPPED_WINDOWS = 2_000_000  # up to so many distinct window hashes of a benchmark are sent to the tasks, 16 MB
 
-NUMBER, NAME, UNIT = (np.uint64(value) for value in (0x4E554D42, 0x4E414D45, 0x554E4954))
+NUMBER, NAME, UNIT, LITERAL = (np.uint64(value) for value in (0x4E554D42, 0x4E414D45, 0x554E4954, 0x4C495445))
 # Units of measure and money.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles g kg mg gram grams kilogram kilograms ton tons pound pounds lb lbs ounce "
@@ -36,7 +40,7 @@ UNITS = (
     "watts kw mb gb byte bytes metro metros meter meters metre metres heure heures jour jours stunde stunden tag tage hora horas"
 ).split()
 
-SCHEMA = "key long, place long, window long, slots array<struct<at:int,value:long>>, windows long, size int"
+SCHEMA = "key long, place long, window long, slots array<struct<at:int,value:long>>, windows long, size int, literal boolean"
 
 
 def _units() -> np.ndarray:
@@ -69,15 +73,18 @@ def templates(texts: list[str], units: np.ndarray) -> tuple[Words, np.ndarray, n
     return Words(words.points, words.kinds, doc, begin, end), template, own
 
 
-def _windows(doc: np.ndarray, template: np.ndarray, own: np.ndarray, size: int, docs: int):
-    """Begin, place in its text and hash of the windows of ``size`` words of which at least half are no slots."""
+def _windows(doc: np.ndarray, template: np.ndarray, own: np.ndarray, size: int, docs: int, literal: bool):
+    """Begin, place in its text and hash of the windows of ``size`` words of which at least half are no slots.
+
+    ``literal`` windows, of the words' own hashes, have no slots; their hashes differ from those of templates.
+    """
     count = max(0, len(doc) - size + 1)
     weights = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
-    hashes = np.full(count, size, np.uint64)
+    hashes = np.full(count, np.uint64(size) ^ (LITERAL if literal else np.uint64(0)))
     for at in range(size):
         hashes += template[at : at + count] * weights[at]
-    literal = np.concatenate([[0], np.cumsum(template == own)])
-    good = (doc[:count] == doc[size - 1 :]) & (2 * (literal[size : size + count] - literal[:count]) >= size) if count else np.zeros(0, bool)
+    plain = np.concatenate([[0], np.cumsum(template == own)])
+    good = (doc[:count] == doc[size - 1 :]) & (2 * (plain[size : size + count] - plain[:count]) >= size) if count else np.zeros(0, bool)
     first = np.searchsorted(doc, np.arange(docs))
     begin = np.flatnonzero(good)
     return begin, begin - first[doc[begin]], mix(hashes[begin])
@@ -101,7 +108,7 @@ def _holder(known: np.ndarray | None):
 
 
 def template_windows(rows: DataFrame, sizes: tuple[int, ...] | None, known: np.ndarray | None) -> DataFrame:
-    """Windows of the templates of ``rows(key, text, ...)``: key, place, window hash, slots, the other columns of the row.
+    """Windows of the templates of ``rows(key, text, ...)``: key, place, window hash, slots, kind, the other columns of the row.
 
     With ``sizes`` windows of these lengths are made, and of their hashes those in
     ``known`` are kept, all if it is None. Without ``sizes`` each text gets windows of
@@ -110,7 +117,7 @@ def template_windows(rows: DataFrame, sizes: tuple[int, ...] | None, known: np.n
     units = _units()
     shipped = rows.sparkSession.sparkContext.broadcast(known) if known is not None else None
     slot = pa.struct([("at", pa.int32()), ("value", pa.int64())])
-    names = ["key", "place", "window", "slots", "windows", "size", *rows.columns[2:]]
+    names = ["key", "place", "window", "slots", "windows", "size", "literal", *rows.columns[2:]]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _holder(shipped.value if shipped else None)
@@ -120,24 +127,26 @@ def template_windows(rows: DataFrame, sizes: tuple[int, ...] | None, known: np.n
                 words, template, own = templates(texts[a:b], units)
                 counts = np.bincount(words.doc, minlength=b - a)
                 for size in sizes or sorted({min(WINDOW, int(n)) for n in counts if n >= LEAST_WORDS}):
-                    begin, place, hashes = _windows(words.doc, template, own, size, b - a)
-                    if sizes is None:
-                        fit = np.minimum(WINDOW, counts)[words.doc[begin]] == size
-                        begin, place, hashes = begin[fit], place[fit], hashes[fit]
-                    number = np.bincount(words.doc[begin], minlength=b - a)
-                    if held:
-                        found = held(hashes)
-                        begin, place, hashes = begin[found], place[found], hashes[found]
-                    slots = [
-                        [{"at": at, "value": value} for at, value in enumerate(own[n : n + size].view(np.int64).tolist()) if template[n + at] != own[n + at]]
-                        for n in begin.tolist()
-                    ]
-                    text = words.doc[begin]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(keys[a + text]), pa.array(place), pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(slot)),
-                        pa.array(number[text]), pa.array(np.full(len(begin), size, np.int32)),
-                        *(column.take(pa.array(a + text)) for column in batch.columns[2:]),
-                    ], names)
+                    for literal in (False, True):
+                        kind = own if literal else template
+                        begin, place, hashes = _windows(words.doc, kind, own, size, b - a, literal)
+                        if sizes is None:
+                            fit = np.minimum(WINDOW, counts)[words.doc[begin]] == size
+                            begin, place, hashes = begin[fit], place[fit], hashes[fit]
+                        number = np.bincount(words.doc[begin], minlength=b - a)
+                        if held:
+                            found = held(hashes)
+                            begin, place, hashes = begin[found], place[found], hashes[found]
+                        slots = [
+                            [{"at": at, "value": value} for at, value in enumerate(own[n : n + size].view(np.int64).tolist()) if kind[n + at] != own[n + at]]
+                            for n in begin.tolist()
+                        ]
+                        text = words.doc[begin]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(keys[a + text]), pa.array(place), pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(slot)),
+                            pa.array(number[text]), pa.array(np.full(len(begin), size, np.int32)), pa.array(np.full(len(begin), literal)),
+                            *(column.take(pa.array(a + text)) for column in batch.columns[2:]),
+                        ], names)
 
     others = rows.drop("key", "text").schema.fields
     return rows.mapInArrow(make, T.StructType([*T.StructType.fromDDL(SCHEMA).fields, *others]))
@@ -180,7 +189,7 @@ def find_benchmark_items(
     span = F.greatest(F.lit(WINDOW), F.col("windows"))
     near = F.floor(F.col("shift") / span)
     ways = F.array(*(F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at")) for kind, at in ((0, F.col("shift")), (1, near), (1, near - 1))))
-    held = matches.withColumn("way", F.explode(ways)).groupBy(ROW, "doc_id", "item_id", "way").agg(
+    held = matches.withColumn("way", F.explode(ways)).groupBy(ROW, "doc_id", "item_id", "literal", "way").agg(
         F.count_distinct("place").alias("held"), (F.count_distinct("place") / F.max("windows")).alias("coverage")
     )
     # Values of each slot of a shift once, however many windows cover it.
@@ -197,7 +206,7 @@ def find_benchmark_items(
     slots = slots.withColumn("way", F.explode(ways)).groupBy(ROW, "item_id", "way").agg(
         F.sum("n").alias("slots"), (F.sum("most") / F.sum("n")).alias("consistent")
     )
-    judged = held.filter(F.col("coverage") >= LEAST_COVERAGE).join(slots, [ROW, "item_id", "way"], "left")
+    judged = held.filter(F.col("coverage") >= LEAST_COVERAGE).join(slots.withColumn("literal", F.lit(False)), [ROW, "item_id", "literal", "way"], "left")
     judged = judged.fillna({"slots": 0, "consistent": 1.0}).filter(F.col("consistent") >= LEAST_CONSISTENT)
     best = F.max(F.struct("coverage", "consistent", F.col("held").alias("windows"), "slots")).alias("best")
     return judged.groupBy(ROW, "doc_id", "item_id").agg(best).select(

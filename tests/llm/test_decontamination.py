@@ -70,3 +70,8 @@ def test_alignments_are_judged_alone(spark):
         (4, " ".join([*words[:10], FILL, *words[12:22]]), "en"), (5, " ".join([*words[:10], "well then", *words[10:]]), "en"),
     ]
     assert rows_of(decontamination.find_benchmark_items(documents(spark, rows), benchmark(spark, [ITEM])), "doc_id") == [(1,), (2,), (5,)]
+
+
+def test_copies_in_other_case(spark):
+    rows = [(1, f"{FILL} {ITEM.lower()}", "en"), (2, ITEM.title(), "en"), (3, ITEM.upper(), "en"), (4, VARIANT.lower(), "en"), (5, FILL, "en")]
+    assert rows_of(decontamination.find_benchmark_items(documents(spark, rows), benchmark(spark, [ITEM])), "doc_id") == [(1,), (2,), (3,)]
