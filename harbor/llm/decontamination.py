@@ -26,7 +26,7 @@ from harbor.llm.words import DIGIT, LETTER, UPPER, Words, mix, words_of
 from harbor.sources.scratch import materialize
 
 WINDOW = 8  # template words; shorter items are matched whole
-LEAST_WORDS = 4  # items of fewer words are no evidence
+LEAST_WORDS = 4  # templates of fewer words are no evidence; such items are matched word for word
 LEAST_COVERAGE = 0.3  # share of an item's windows that a document must hold
 LEAST_CONSISTENT = 0.8  # share of slots that agree with the commonest value for their item value
 SHIPPED_WINDOWS = 2_000_000  # up to so many distinct window hashes of a benchmark are sent to the tasks, 16 MB
@@ -126,8 +126,8 @@ def template_windows(rows: DataFrame, sizes: tuple[int, ...] | None, known: np.n
             for a, b in slices(texts):
                 words, template, own = templates(texts[a:b], units)
                 counts = np.bincount(words.doc, minlength=b - a)
-                for size in sizes or sorted({min(WINDOW, int(n)) for n in counts if n >= LEAST_WORDS}):
-                    for literal in (False, True):
+                for size in sizes or sorted({min(WINDOW, int(n)) for n in counts if n}):
+                    for literal in (False, True) if size >= LEAST_WORDS else (True,):
                         kind = own if literal else template
                         begin, place, hashes = _windows(words.doc, kind, own, size, b - a, literal)
                         if sizes is None:
@@ -162,8 +162,9 @@ def find_benchmark_items(
     item, ``coverage`` as a share; ``consistent`` is the share of its ``slots`` whose
     values agree. Words inserted up to the length of the item do not end an alignment;
     what lies elsewhere in the document adds nothing to it and takes nothing from it. A null text is empty and
-    holds nothing; items of fewer than LEAST_WORDS words and windows with more slots
-    than other words are no evidence. Empty tables give no rows; equal rows each give theirs.
+    holds nothing. Items of fewer than LEAST_WORDS words and windows with more slots
+    than other words have no templates and are matched by their own words, values
+    included. Empty tables give no rows; equal rows each give theirs.
 
     The benchmark's window hashes go to the tasks to sift the documents' windows if
     there are at most SHIPPED_WINDOWS; else all windows enter the same join.

@@ -75,3 +75,11 @@ def test_alignments_are_judged_alone(spark):
 def test_copies_in_other_case(spark):
     rows = [(1, f"{FILL} {ITEM.lower()}", "en"), (2, ITEM.title(), "en"), (3, ITEM.upper(), "en"), (4, VARIANT.lower(), "en"), (5, FILL, "en")]
     assert rows_of(decontamination.find_benchmark_items(documents(spark, rows), benchmark(spark, [ITEM])), "doc_id") == [(1,), (2,), (3,)]
+
+
+def test_items_without_templates(spark):
+    short = ["What is 25% of 80?", "Compute 12 + 7 * 3 - 4", "Anna Bert 7 Carl 9 Dora", "Wer war Kant?", "Rotes Rathaus"]
+    rows = [(n, f"{FILL} {text} {FILL}", "en") for n, text in enumerate(short)]
+    rows += [(10, f"{FILL} What is 25% of 90?", "en"), (11, "compute 12 + 7 * 3 - 5", "en"), (12, "anna bert 7 carl 9 emil", "en"), (13, "rotes haus", "de")]
+    found = decontamination.find_benchmark_items(documents(spark, rows), benchmark(spark, short))
+    assert rows_of(found, "doc_id", "item_id", "coverage") == [(n, n, 1.0) for n in range(len(short))]
