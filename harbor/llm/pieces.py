@@ -91,9 +91,9 @@ class PieceModel:
         self.automaton.make_automaton()
         self.apart: dict[int, bool] = {}
 
-    # Characters outside the vocabulary are held as negative numbers below all ids.
+    # Characters outside the vocabulary are held as -1 - ord: below all ids, and none is 0.
     def _string(self, token: int) -> str:
-        return self.text[token] if token >= 0 else chr(-token)
+        return self.text[token] if token >= 0 else chr(-1 - token)
 
     def merged(self, text: str) -> list[str]:
         """Merging by definition: the best-scored neighbours first, the left ones on a tie."""
@@ -149,7 +149,7 @@ class PieceModel:
         for place in range(1, end + 1):
             if not last[place]:
                 char = word[place - 1]
-                last[place], count[place] = -ord(char), count[place - 1] + len(char.encode())
+                last[place], count[place] = -1 - ord(char), count[place - 1] + len(char.encode())
 
     def _score_lattice(self, word: str) -> tuple[list[int], list[int]]:
         size, length, score = len(word), self.length, self.score
@@ -176,7 +176,7 @@ class PieceModel:
         if best[end] is None or char not in self.piece_id:
             total = best[end - 1] + self.unknown_score
             if best[end] is None or total > best[end]:
-                last[end], count[end], best[end] = -ord(char), count[end - 1] + len(char.encode()), total
+                last[end], count[end], best[end] = -1 - ord(char), count[end - 1] + len(char.encode()), total
 
     def word_ids(self, word: str) -> list[int]:
         """The ids of a word as it stands in the marked text."""
@@ -186,7 +186,7 @@ class PieceModel:
         while end:
             token = last[end]
             if token < 0:
-                out.extend(self.byte_id[byte] for byte in reversed(chr(-token).encode()))
+                out.extend(self.byte_id[byte] for byte in reversed(chr(-1 - token).encode()))
                 end -= 1
             else:
                 out.append(token)

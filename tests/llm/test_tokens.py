@@ -84,6 +84,16 @@ def test_pieces_equal_the_library():
         assert piece_model(PIECE_BPE).decode(ids) == text.replace(MARK, " ")
 
 
+def test_control_characters_equal_the_library():
+    texts = [form.format(chr(code)) for code in [*range(32), *range(127, 160)] for form in ("{0}", "ab{0}cd", "{0}{0} x", "a {0}", "the {0}the")]
+    encoder, counter = sentencepieces.WordIds(piece_model(PIECE_BPE)), token_counts.PrefixCounts(piece_model(PIECE_BPE))
+    assert [list(array("i", one)) for one in encoder.encode(texts)] == LIBRARY.encode(texts)
+    for text in texts:
+        assert counter.counts(counter.tables([text])[0]) == [len(LIBRARY.encode(text[:n])) for n in range(len(text) + 1)]
+    model = PieceModel(unigram({MARK: -1.0, "a": -2.0, "ab": -3.0}))
+    assert model.decode(model.word_ids(MARK + "ab\x00a\x01")) == "ab\x00a\x01"
+
+
 def test_prefix_counts_equal_encoding_each_prefix():
     counter = token_counts.PrefixCounts(piece_model(PIECE_BPE))
     for text in odd_texts(120)[:126]:
