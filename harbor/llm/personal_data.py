@@ -55,9 +55,22 @@ def mod_97(match: Column) -> Column:
     return F.aggregate(characters, F.lit(0), step) == 1
 
 
+def account(head: Column, run: Column) -> Column:
+    """The longest account number that begins with ``head`` and ends with a group of ``run``; null if none passes."""
+    groups = F.split(run, " ")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.concat(head, F.array_join(F.slice(groups, 1, n), " ")))
+    good = F.filter(prefixes, lambda prefix: (F.length(F.regexp_replace(prefix, " ", "")) >= 12) & mod_97(prefix))
+    return F.get(F.reverse(good), F.lit(0))
+
+
 @dataclass(frozen=True)
 class Kind:
-    """``marks`` are characters that every match holds. ``base`` spans stay whatever their score."""
+    """``marks`` are characters that every match holds. ``base`` spans stay whatever their score.
+
+    With ``ahead`` the pattern finds the head of a span only and captures what may follow;
+    ``ahead`` makes the span of both. Heads inside a span are tried too, but spans of a kind
+    do not overlap.
+    """
 
     name: str
     pattern: str
@@ -66,11 +79,13 @@ class Kind:
     context: str
     marks: str = ""
     base: bool = False
+    ahead: Callable[[Column, Column], Column] | None = None
 
 
 # The patterns of the first four kinds and their order. Repetitions that never
 # need to give back are possessive, and a match may not begin inside a run that an earlier
 # begin has already failed on; both leave the matches as they are and keep the time linear.
+# An account number is followed by other words and gives back; it has 35 characters at most.
 # The pattern of cards takes whole runs of 13 to 19 digits only; other runs would fail anyway.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -79,16 +94,18 @@ KINDS = (
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", luhn, 0.7,
          "card|visa|master|credit|karte|carte|tarjeta", base=True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda match: digit_count(match, 9, 15), 0.6, "phone|call|tel|mobile|fax|anruf|appel", "+", base=True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", mod_97, 0.6, "iban|account|konto|compte|cuenta"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))", F.isnotnull, 0.6,
+         "iban|account|konto|compte|cuenta", ahead=account),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda match: ~match.rlike("^(?:000|666|9)"), 0.3, "ssn|social security|identity"),
 )
 
 
-def _proposals(body: Column, kind: Kind, order: int) -> tuple[Column, Column]:
-    """Matches of a pattern and the pieces of text between them; none without the marks of the kind."""
+def _proposals(body: Column, kind: Kind, order: int) -> list[Column]:
+    """Matches of a pattern, what follows them if it counts, and the pieces of text between them; none without the marks of the kind."""
     may = body.contains(kind.marks) if kind.marks else F.lit(True)
     matches = F.when(may, F.regexp_extract_all(body, F.lit(kind.pattern), F.lit(0)))
-    return matches.alias(f"matches_{order}"), F.when(may, F.split(body, kind.pattern, -1)).alias(f"pieces_{order}")
+    runs = [F.when(may, F.regexp_extract_all(body, F.lit(kind.pattern), F.lit(1))).alias(f"runs_{order}")] if kind.ahead else []
+    return [matches.alias(f"matches_{order}"), *runs, F.when(may, F.split(body, kind.pattern, -1)).alias(f"pieces_{order}")]
 
 
 def _spans(kind: Kind, order: int) -> Column:
@@ -96,13 +113,15 @@ def _spans(kind: Kind, order: int) -> Column:
     pieces = F.col(f"pieces_{order}")
 
     def span(match: Column, place: Column) -> Column:
-        near = F.concat_ws(" ", F.right(pieces[place], F.lit(NEARBY)), F.left(pieces[place + 1], F.lit(NEARBY)))
+        whole = kind.ahead(match, F.get(f"runs_{order}", place)) if kind.ahead else match
+        after = F.substring(pieces[place + 1], F.length(whole) - F.length(match) + 1, F.lit(NEARBY)) if kind.ahead else F.left(pieces[place + 1], F.lit(NEARBY))
+        near = F.concat_ws(" ", F.right(pieces[place], F.lit(NEARBY)), after)
         context = F.when(F.lower(near).rlike(kind.context), CONTEXT).otherwise(0.0)
         score = F.least(F.lit(1.0), F.lit(kind.prior) + context)
-        good = kind.confirm(match) & (F.lit(kind.base) | (score >= LEAST_SCORE))
+        good = kind.confirm(whole) & (F.lit(kind.base) | (score >= LEAST_SCORE))
         return F.struct(
             F.lit(order).alias("kind"), place.alias("place"), F.length(pieces[place]).cast("long").alias("gap"),
-            F.length(match).cast("long").alias("size"), F.when(good, match).alias("match"), score.alias("score"),
+            F.length(match).cast("long").alias("size"), F.when(good, whole).alias("match"), score.alias("score"),
         )
 
     return F.coalesce(F.transform(f"matches_{order}", span), F.array())
@@ -113,7 +132,9 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Places are code points, the end exclusive. A null text is empty; a text without
     spans has an empty list; equal rows give equal rows. Matches that fail their
-    check are dropped without another try. Only spans are shuffled, one small row each.
+    check are dropped without another try,
+    but an account number may end at any of its groups. Only spans are shuffled, one
+    small row each.
     """
     body = whole_text(text)
     proposed = [column for order, kind in enumerate(KINDS) for column in _proposals(body, kind, order)]
@@ -122,12 +143,15 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = cut.select(ROW, "doc_id", F.explode_outer(spans).alias("span")).select(ROW, "doc_id", "span.*")
     before = Window.partitionBy(ROW, "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.repartition(ROW).withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before))
+    placed = placed.withColumn("start", F.col("end") - F.col("size")).withColumn("end", F.col("start") + F.length("match"))
+    free = F.coalesce(F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True))
+    placed = placed.withColumn("free", free)
     names = F.array(*(F.lit(kind.name) for kind in KINDS))
     span = F.struct(
-        F.col("kind").alias("order"), (F.col("end") - F.col("size")).alias("start"), "end",
+        F.col("kind").alias("order"), "start", "end",
         names[F.col("kind")].alias("kind"), "match", "score",
     )
-    found = F.sort_array(F.collect_list(F.when(F.col("match").isNotNull(), span)))
+    found = F.sort_array(F.collect_list(F.when(F.col("match").isNotNull() & F.col("free"), span)))
     return placed.groupBy(ROW, "doc_id").agg(found.alias("found")).drop(ROW)
 
 

@@ -82,6 +82,20 @@ def test_checksums_and_context(spark):
     assert scores[0] == [pytest.approx(0.9)] and scores[3] == [pytest.approx(0.6)]
 
 
+def test_account_numbers_end_where_they_pass(spark):
+    austria, spain, germany = "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00"
+    cases = {
+        f"iban {austria} Bank": [austria], f"{spain} Please pay": [spain], f"{austria} BANK": [austria], f"{austria} 2 days": [austria],
+        f"{spain} A": [spain], f"{austria} {germany} {spain}": [austria, germany, spain], f"x{austria} y": [], f"{austria}x": [],
+        f"é {germany} BANK {austria}.": [germany, austria], austria.replace(" ", "") + " BANK AG": [austria.replace(" ", "")],
+        "AT62 1904 3002 3457 3201 BANK": [],
+    }
+    found = personal_data.find_personal_data(documents(spark, [(n, t, None) for n, t in enumerate(cases)])).collect()
+    got = {row.doc_id: [(s.match, s.start, s.end) for s in row.found if s.kind == "iban"] for row in found}
+    assert got == {n: [(m, t.index(m), t.index(m) + len(m)) for m in ms] for n, (t, ms) in enumerate(cases.items())}
+    assert [s.score for s in next(r for r in found if r.doc_id == 0).found] == [pytest.approx(0.9)]
+
+
 def test_long_runs_take_linear_time(spark):
     rows = [(1, "a" * 200_000 + " b@c.d", None), (2, "1" * 200_000, None), (3, "1.1." * 50_000, None), (4, "+1" + "(" * 200_000, None)]
     found = {r.doc_id: r for r in digest(spark, rows)}
