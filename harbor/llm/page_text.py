@@ -76,13 +76,13 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, linked characters
 
 
-def _names(attributes: str) -> tuple[list[str], str, bool]:
-    """Class names, all naming attributes, and whether the element is hidden."""
+def _names(attributes: str) -> tuple[list[str], str, str, bool]:
+    """Class names, class and role, the id, and whether the element is hidden."""
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     bare = ATTRIBUTE.sub(" ", attributes).lower().split()
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in bare or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style
-    return found.get("class", "").split(), " ".join(found.get(k, "") for k in ("class", "id", "role")), hidden
+    return found.get("class", "").split(), " ".join(found.get(k, "") for k in ("class", "role")), found.get("id", ""), hidden
 
 
 def _marks_other(names: str) -> bool:
@@ -189,12 +189,14 @@ def parse(source: str) -> Page:
             flush()
         if tag in VOID:
             continue
-        classes, names, hidden = _names(match[3] or match[6] or "") if (match[3] or match[6]) else ([], "", False)
+        classes, names, own_id, hidden = _names(match[3] or match[6] or "") if (match[3] or match[6]) else ([], "", "", False)
         parent = stack[-1] if stack else -1
         above = elements[parent] if parent >= 0 else None
-        header = tag == "header" or "header" in (part.lower() for part in NAME_PART.findall(names))
+        # Below main or article an id is the article's own: a slug of its heading or section.
+        told = names if any(elements[n].tag in ("main", "article") for n in stack) else f"{names} {own_id}"
+        header = tag == "header" or "header" in (part.lower() for part in NAME_PART.findall(told))
         header = header and tag not in WHOLE and tag not in HEADINGS
-        dropped = bool(above and above.dropped) or tag in NOT_TEXT or hidden or (tag not in WHOLE and _marks_other(names))
+        dropped = bool(above and above.dropped) or tag in NOT_TEXT or hidden or (tag not in WHOLE and _marks_other(told))
         soft = bool(above and above.soft) or header
         elements.append(Element(tag, _label(tag, classes), parent, dropped, soft))
         if tag in RAW:

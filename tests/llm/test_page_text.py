@@ -77,3 +77,15 @@ def test_awkward_pages(spark):
     assert got[5] == "deep" and got[7] == "x & yA"
     assert any(i == 6 and len(t) == 5 * 200_000 - 1 for i, t in found)
     assert page_text.extract_pages(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_ids_in_an_article_drop_nothing(spark):
+    rng = random.Random(6)
+    texts = [sentence(rng, 20) for _ in range(5)]
+    html = (
+        f'<body><div id="cookieNotice"><p>{texts[4]}</p></div><article><h1 id="search">Title</h1><p>{texts[0]}</p><h2 id="related-work">Work</h2>'
+        f'<section id="header-files"><p>{texts[1]}</p></section><div id="social-impact"><h3 id="discussion">Talk</h3><p>{texts[2]}</p></div>'
+        f'<p id="search-results-2020">{texts[3]}</p><div class="comments" id="c"><p>{texts[4]}</p></div></article></body>'
+    )
+    found = page_text.extract_pages(spark.createDataFrame([(1, "http://h/", html, 1, "", "")], PAGES)).first().text
+    assert found == "\n".join(["Title", texts[0], "Work", texts[1], "Talk", *texts[2:4]])
