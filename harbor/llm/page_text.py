@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from harbor.sources.scratch import materialize
 
-HOLDS = 0.6  # share of a page's running text that its container must hold
+HOLDS = 0.6  # share of a page's running text that the core of its container must hold
 LONG_BLOCK = 40  # characters from which a block counts as running text
 LINKED = 0.5  # share of linked characters from which a block does not
 
@@ -230,8 +230,11 @@ def paths(page: Page) -> list[str]:
 
 
 def chosen_container(page: Page) -> int:
-    """The deepest element that holds enough of the running text; -1 where none does.
+    """The element that holds the article: all of the running text, or what is around most of it; -1 where none does.
 
+    It is the deepest element inside the body that holds all running text. Where there is
+    none, what is around the deepest one that holds enough, up to the body, is the article.
+    A main or article around that is taken whole, as headings and leads may stand beside it.
     An element's score is the length of the unlinked long blocks in it; on a page
     without such blocks, of all blocks.
     """
@@ -245,8 +248,19 @@ def chosen_container(page: Page) -> int:
         for element in chain:
             if page.elements[element].tag not in INLINE and page.elements[element].tag not in HEADINGS | {"p", "li", "blockquote", "pre"}:
                 scores[element] = scores.get(element, 0) + size
-    enough = [element for element, score in scores.items() if score >= HOLDS * total]
-    return max(enough, default=-1)
+    choice = max((element for element, score in scores.items() if score >= HOLDS * total), default=-1)
+    around, at = [], choice
+    while at >= 0:
+        if page.elements[at].tag not in ("html", "body"):
+            around.append(at)
+        at = page.elements[at].parent
+    if not around or choice not in around:
+        return choice
+    for tag in ("main", "article"):
+        named = [element for element in around if page.elements[element].tag == tag]
+        if named:
+            return named[-1]
+    return max(around, key=lambda element: scores.get(element, 0))
 
 
 def main_text(page: Page, path: str | None) -> str:

@@ -89,3 +89,21 @@ def test_ids_in_an_article_drop_nothing(spark):
     )
     found = page_text.extract_pages(spark.createDataFrame([(1, "http://h/", html, 1, "", "")], PAGES)).first().text
     assert found == "\n".join(["Title", texts[0], "Work", texts[1], "Talk", *texts[2:4]])
+
+
+def test_whole_articles_of_several_parts(spark):
+    rng = random.Random(7)
+    intro, lead, side, *body = [sentence(rng, 20) for _ in range(6)]
+    parts = f'<div class="intro"><p>{intro}</p></div><div class="content">' + "".join(f"<p>{b}</p>" for b in body) + "</div>"
+    htmls = [
+        f"<body><article>{parts}</article></body>", f'<body><div class="post">{parts}</div></body>',
+        f'<body><main><div class="title"><h1>Title</h1></div>{parts}</main><div class="x"><p>{lead}</p></div></body>',
+        f'<body><div class="all"><div class="post">{parts}</div></div><div class="x"><p>{lead}</p></div></body>',
+        f'<body><article><div class="title"><h1>Title</h1></div><div class="content"><p>{intro}</p><section class="a"><p>{body[0]}</p></section>'
+        f'<section class="b"><p>{body[1]}</p><p>{body[2]}</p></section></div><div class="related"><p>{side}</p></div></article></body>',
+    ]
+    rows = [(10 * n + k, f"http://h{n}/{k}", html, 1, "", "") for n, html in enumerate(htmls) for k in range(3)]
+    found = {r.page_id: r.text for r in page_text.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    whole = "\n".join([intro, *body])
+    expected = [whole, whole, f"Title\n{whole}", whole, f"Title\n{whole}"]
+    assert found == {10 * n + k: text for n, text in enumerate(expected) for k in range(3)}
