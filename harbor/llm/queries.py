@@ -1,7 +1,9 @@
 """Registered queries of the text operators, each over its whole table."""
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from harbor.llm import (
     language_id,
     near_dedup,
     page_text,
+    periodic_runs,
     personal_data,
     sentencepieces,
     sharding,
@@ -80,6 +83,23 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def planted_places(doc_id: int, words: int) -> np.ndarray | None:
+    """One text in ten repeats a stretch of its words from some word on to its end."""
+    seed = zlib.crc32(str(doc_id).encode())
+    if seed % 10:
+        return None
+    begin = seed // 10 % words
+    period = 1 + (words - begin) // (3 + seed // 10 % 8)
+    places = np.arange(words)
+    places[begin:] = begin + (places[begin:] - begin) % period
+    return places
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, sf, "documents"), places=planted_places)
+    return periodic_runs.run_digest(found)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_store": op1_token_store,
@@ -92,4 +112,5 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_token_counts": op9_token_counts,
         "op10_sharding": op10_sharding,
+        "op12_periodic_runs": op12_periodic_runs,
     }

@@ -38,7 +38,7 @@ def mix(values: np.ndarray) -> np.ndarray:
 KEPT_POWERS = 1 << 21
 
 
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the factor and of its inverse, of at least ``size`` places; kept up to a usual batch."""
     return _kept_powers() if size <= KEPT_POWERS else _new_powers(size)
 
@@ -70,9 +70,9 @@ class Words:
     def hashes(self, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Hash of each word, or of the given spans."""
         begin, end = (self.begin, self.end) if begin is None else (begin, end)
-        powers, inverses = _powers(len(self.points) + 1)
+        steps, inverses = powers(len(self.points) + 1)
         sums = np.zeros(len(self.points) + 1, np.uint64)
-        np.cumsum((self.points.astype(np.uint64) + np.uint64(1)) * powers[: len(self.points)], out=sums[1:])
+        np.cumsum((self.points.astype(np.uint64) + np.uint64(1)) * steps[: len(self.points)], out=sums[1:])
         spans = (sums[end] - sums[begin]) * inverses[begin]
         return mix(spans + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
