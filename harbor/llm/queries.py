@@ -18,6 +18,7 @@ from harbor.llm import (
     personal_data,
     sentencepieces,
     sharding,
+    token_alignment,
     token_counts,
     token_store,
 )
@@ -100,6 +101,10 @@ def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return periodic_runs.run_digest(found)
 
 
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return token_alignment.aligned_documents(table(spark, sf, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_store": op1_token_store,
@@ -113,4 +118,5 @@ def queries() -> dict[str, Query]:
         "op9_token_counts": op9_token_counts,
         "op10_sharding": op10_sharding,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_token_alignment": op13_token_alignment,
     }

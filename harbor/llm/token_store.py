@@ -45,7 +45,7 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN_END = "\u0250"  # below it the classes of characters are the same in every Unicode version
 
 
-def _byte_characters() -> dict[int, str]:
+def byte_characters() -> dict[int, str]:
     """The character that stands for each byte: itself if it can be printed, else the next one from 256 on."""
     printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = [byte for byte in range(256) if byte not in printed]
@@ -78,7 +78,7 @@ class TextEncoder:
         )
         self.whole = ["  "] + [token["content"] for token in described.get("added_tokens", [])]
         self.split = regex.compile(BYTE_LEVEL_SPLIT).findall
-        self.characters = _byte_characters()
+        self.characters = byte_characters()
         self.words = RecentWords(self._word_ids)
         self.parts = RecentWords(self._part_ids)
 

@@ -26,7 +26,7 @@ def test_slots(spark, monkeypatch, shipped):
     found = decontamination.find_benchmark_items(documents(spark, DOCS + AWKWARD), items)
     pairs = rows_of(found, "doc_id", "item_id")
     prose = [(i, 5) for i, text, _ in AWKWARD if text and PROSE.lower() in text.lower()]
-    assert [p for p in pairs if p[1] == 0] == [(1, 0), (2, 0), (6, 0)]
+    assert [p for p in pairs if p[1] == 0] == [(1, 0), (2, 0), (4, 0), (6, 0)]  # 4: a copy in lower case
     assert sorted(map(repr, (p for p in pairs if p[1] == 5))) == sorted(map(repr, prose))
     assert {p[1] for p in pairs} == {0, 5}
     assert all(r.consistent >= 0.8 and r.coverage >= 0.3 for r in found.collect())
@@ -43,7 +43,7 @@ def test_clean_documents_stay(spark):
     docs = documents(spark, DOCS + AWKWARD)
     kept = decontamination.drop_contaminated(docs, benchmark(spark, [ITEM]))
     assert kept.columns == docs.columns
-    assert rows_of(kept, "doc_id") == sorted(((i,) for i, *_ in DOCS + AWKWARD if (i, *_) not in [DOCS[0], DOCS[1], DOCS[5]]), key=repr)
+    assert rows_of(kept, "doc_id") == sorted(((i,) for i, *_ in DOCS + AWKWARD if (i, *_) not in [DOCS[0], DOCS[1], DOCS[3], DOCS[5]]), key=repr)
 
 
 def test_given_tables_against_whole_text_search(spark):
