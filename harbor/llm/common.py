@@ -1,5 +1,10 @@
 """Small helpers shared by the text operators."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +33,17 @@ def numbered(df: DataFrame) -> DataFrame:
     A second scan of the same files may cut them elsewhere and number the rows anew.
     """
     return df if ROW in df.columns else materialize(with_row(df), "numbered")
+
+
+SLICE_BYTES = 1_000_000  # text that is worked on at once
+
+
+def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` bytes together, at least one text each. No text is copied."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))
+    begin = 0
+    while begin < len(ends):
+        before = int(ends[begin - 1]) if begin else 0
+        end = min(len(ends), int(np.searchsorted(ends, before + size)) + 1)
+        yield begin, end
+        begin = end

@@ -24,8 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harbor.llm.common import whole_text
-from harbor.llm.token_store import slices
+from harbor.llm.common import text_slices, whole_text
 from harbor.llm.words import mix, powers
 
 LEAST_LENGTH, LEAST_PERIODS = 6, 4
@@ -332,7 +331,7 @@ def periodic_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for a, b in slices(batch.column(1).to_pylist()):
+            for a, b in text_slices(batch.column(1)):
                 words, counts = _words(batch.column(1).slice(a, b - a))
                 coded = words.dictionary_encode()
                 limits = np.append(0, np.cumsum(counts))

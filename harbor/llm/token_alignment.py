@@ -7,8 +7,8 @@ and how often, as bit planes of the number of further links. Bitmaps of the part
 block are merged by OR; blocks hold different documents, so popcounts add up over them
 to a pair's documents and links. These scores go back along the postings to the documents.
 
-Neither tokenizer joins across a single blank between other characters, so words are
-encoded and aligned once while they keep coming back.
+Neither tokenizer joins across a single blank or line feed between other characters, so
+words are encoded and aligned once while they keep coming back.
 """
 
 import hashlib
@@ -24,15 +24,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harbor.llm.common import whole_text
-from harbor.llm.token_store import byte_characters, slices
+from harbor.llm.common import text_slices, whole_text
+from harbor.llm.token_store import byte_characters
 from harbor.sources.scratch import materialize
 
 B_IDS = 20  # bits of an id of the second tokenizer in a pair
 BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 1 << 15  # a block is closed at either
-REMEMBERED = 150_000  # words
+REMEMBERED = 200_000  # words
 WIDE_GROUP = 1 << 16  # groups of more links are counted by distinct ids
-CUT = re.compile(r"(?<=\S) (?=\S)")
+CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+BEFORE = " a"  # stands before words that are encoded in a row
+ROW_WORDS = 64
 
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 BITMAPS = "struct<pairs: array<long>, ends: array<int>, bits: binary>"
@@ -44,11 +46,20 @@ BITMAPS_TYPE = pa.struct([("pairs", pa.list_(pa.int64())), ("ends", pa.list_(pa.
 
 
 def segments(text: str) -> list[str]:
-    """The text cut at single blanks between other characters; the blanks go."""
+    """A blank and the text, cut before each single blank or line feed that stands between other characters.
+
+    The blank that begins a segment is left out unless white space follows it.
+    """
     if not text:
         return []
-    parts = text.split(" ")
-    return parts if text.split() == parts else CUT.split(text)
+    if text.split() == text.replace("\n", " ").split(" "):  # no other white space
+        return text.replace("\n", " \n").split(" ")
+    return [part[1:] if part[0] == " " and not part[1].isspace() else part for part in CUT.split(" " + text)]
+
+
+def written(segment: str) -> str:
+    """A segment with what begins it."""
+    return segment if segment[0] in " \n" else " " + segment
 
 
 # ---------------------------------------------------------------- words of both tokenizers
@@ -63,7 +74,7 @@ class Aligned:
     starts: np.ndarray  # of the links of each word, and their end
     pairs: np.ndarray
     times: np.ndarray
-    groups: list[str]
+    groups: pa.Array
 
 
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +101,12 @@ class Aligner:
             for entry in (entries.get(number, "") for number in range(max(entries) + 1))
         ]
         self.bytes_b = [self._piece_bytes(number) for number in range(self.second.get_piece_size())]
+        pieces = [self.second.id_to_piece(number) for number in range(self.second.get_piece_size())]
+        if any("\n" in piece or "▁" in piece.lstrip("▁") for piece in pieces):
+            raise ValueError("only models whose pieces hold no line feed, and blanks at their begin only")
         self.size_a = np.array(list(map(len, self.bytes_a)), np.int64)
         self.size_b = np.array(list(map(len, self.bytes_b)), np.int64)
-        self.names = [str(number) for number in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.names = pa.array([str(number) for number in range(max(len(self.bytes_a), len(self.bytes_b)))])
         self._forget()
 
     def _piece_bytes(self, number: int) -> bytes:
@@ -102,7 +116,8 @@ class Aligner:
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.known = Aligned(
-            np.zeros(0, bool), np.zeros((4, 0), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+            np.zeros(0, bool), np.zeros((4, 0), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64),
+            pa.array([], pa.string()),
         )
 
     def of(self, words: list[str]) -> tuple[Aligned, np.ndarray]:
@@ -116,29 +131,62 @@ class Aligner:
             self.known = Aligned(
                 np.concatenate([known.changed, more.changed]), np.concatenate([known.counts, more.counts], axis=1),
                 np.concatenate([known.starts, known.starts[-1] + more.starts[1:]]), np.concatenate([known.pairs, more.pairs]),
-                np.concatenate([known.times, more.times]), known.groups + more.groups,
+                np.concatenate([known.times, more.times]), pa.concat_arrays([known.groups, more.groups]),
             )
         return self.known, np.array([self.number[word] for word in words], np.int64)
 
+    def _encoded(self, words: list[str], before: str = BEFORE) -> tuple[list[np.ndarray], list[np.ndarray], list[bool]]:
+        """Ids of ``words`` by both tokenizers, and for each word whether they keep its bytes; of one that they change no ids.
+
+        Words are encoded in rows, each behind ``before``, as neither tokenizer joins them. Where that does
+        not give the bytes back, or a word ends inside a token, fewer are tried, down to single words.
+        """
+        if not words:
+            return [], [], []
+        rows = [before + "".join(words[n : n + ROW_WORDS]) for n in range(0, len(words), ROW_WORDS)]
+        a = [i for one in self.first.encode_batch_fast(rows, add_special_tokens=False) for i in one.ids]
+        b = [i for ids in self.second.encode([row[1:] for row in rows], num_threads=1) for i in ids]
+        raw = "".join(rows).encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b)):
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            sizes = np.array([len(word.encode()) for word in words], np.int64)
+            sizes[::ROW_WORDS] += len(before)
+            ends, firsts = np.cumsum(sizes), (np.cumsum(sizes) - sizes)[::ROW_WORDS]
+            ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+            needed = np.union1d(ends, firsts + len(before)) if before else ends
+            if np.isin(needed, ends_a).all() and np.isin(needed, ends_b).all():
+                a_stays, b_stays = (
+                    at - firsts[np.searchsorted(firsts, at) - 1] > len(before) for at in (ends_a, ends_b)
+                )
+                return [a[a_stays]], [b[b_stays]], [True] * len(words)
+        if len(words) == 1:
+            return [], [], [False]
+        size = ROW_WORDS if len(words) > ROW_WORDS else len(words) // 2
+        parts = [self._encoded(words[n : n + size], before) for n in range(0, len(words), size)]
+        return sum((x for x, _, _ in parts), []), sum((x for _, x, _ in parts), []), sum((x for _, _, x in parts), [])
+
     def align(self, words: list[str]) -> Aligned:
-        """Align words that each stand behind a blank."""
-        a = [one.ids for one in self.first.encode_batch([" " + word for word in words], add_special_tokens=False)]
-        b = self.second.encode(words, num_threads=1)
-        raw = [b" " + word.encode() for word in words]
+        """Align words as ``segments`` gives them."""
+        words = [written(word) for word in words]
+        odd = [n for n, word in enumerate(words) if word[1].isspace() or word[-1].isspace()]
+        plain = sorted(set(range(len(words))).difference(odd))
+        # White space at the ends of a word would run into its neighbours.
+        runs = [self._encoded([words[n] for n in plain])]
+        runs += [self._encoded([words[n]], "" if words[n][0] == " " else BEFORE) for n in odd]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(ids for run in runs for ids in run[side])]) for side in (0, 1))
+        order = np.array(plain + odd, np.int64)
+        kept = np.array([same for run in runs for same in run[2]], bool)
         changed = np.zeros(len(words), bool)
-        for number, (ids_a, ids_b, text) in enumerate(zip(a, b, raw, strict=True)):
-            if b"".join([self.bytes_b[i] for i in ids_b]) != text or b"".join([self.bytes_a[i] for i in ids_a]) != text:
-                changed[number], a[number], b[number], raw[number] = True, [], [], b""
-        n_a, n_b = np.array(list(map(len, a)), np.int64), np.array(list(map(len, b)), np.int64)
-        a, b = np.array([i for ids in a for i in ids], np.int64), np.array([i for ids in b for i in ids], np.int64)
+        changed[order] = ~kept
+        sizes = np.where(kept, [len(words[n].encode()) for n in order], 0)
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        cuts = np.intersect1d(ends_a, ends_b)
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         in_a, in_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
-        word = np.searchsorted(np.cumsum([len(text) for text in raw]), cuts)
-        links = np.zeros(len(words), np.int64)
-        np.add.at(links, word, in_a * in_b)
-        n_groups = np.bincount(word, minlength=len(words))
+        word = order[np.searchsorted(np.cumsum(sizes), cuts)] if len(cuts) else cuts
+        counts = np.zeros((len(COUNTS), len(words)), np.int64)
+        for count, of_group in zip(counts, (in_a, in_b, np.ones(len(cuts), np.int64), in_a * in_b), strict=True):
+            np.add.at(count, word, of_group)
 
         wide = in_a * in_b > WIDE_GROUP
         begin_a, begin_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
@@ -152,22 +200,22 @@ class Aligner:
             times.append((n_left[:, None] * n_right[None, :]).ravel())
             owner.append(np.full(len(pairs[-1]), word[group]))
         pairs, times, owner = np.concatenate(pairs), np.concatenate(times), np.concatenate(owner)
-        if wide.any():
-            order = np.argsort(owner, kind="stable")
-            pairs, times, owner = pairs[order], times[order], owner[order]
-        return Aligned(
-            changed, np.stack([n_a, n_b, n_groups, links]), np.searchsorted(owner, np.arange(len(words) + 1)), pairs, times,
-            self._written(a, b, begin_a, in_a, begin_b, in_b, n_groups),
-        )
+        if odd or wide.any():
+            by_word = np.argsort(owner, kind="stable")
+            pairs, times, owner = pairs[by_word], times[by_word], owner[by_word]
+        starts = np.searchsorted(owner, np.arange(len(words) + 1))
+        return Aligned(changed, counts, starts, pairs, times, self._written(a, b, in_a, in_b, word, counts[2]))
 
-    def _written(self, a, b, begin_a, in_a, begin_b, in_b, n_groups) -> list[str]:
+    def _written(self, a, b, in_a, in_b, word, n_groups) -> pa.Array:
         """The groups of each word as ``a1,a2|b1;a3|b2,b3``."""
-        names = self.names
-        left, right = [names[i] for i in a.tolist()], [names[i] for i in b.tolist()]
-        spans = zip(begin_a.tolist(), (begin_a + in_a).tolist(), begin_b.tolist(), (begin_b + in_b).tolist(), strict=True)
-        groups = [",".join(left[i:j]) + "|" + ",".join(right[k:m]) for i, j, k, m in spans]
-        ends = np.cumsum(n_groups)
-        return [";".join(groups[i:j]) for i, j in zip((ends - n_groups).tolist(), ends.tolist(), strict=True)]
+        left, right = (_joined(self.names.take(pa.array(ids)), sizes, ",") for ids, sizes in ((a, in_a), (b, in_b)))
+        groups = pc.binary_join_element_wise(left, right, "|")
+        return _joined(groups.take(pa.array(np.argsort(word, kind="stable"))), n_groups, ";")
+
+
+def _joined(parts: pa.Array, sizes: np.ndarray, between: str) -> pa.Array:
+    """Strings joined in runs of the given sizes."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), parts), between)
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -186,7 +234,7 @@ class AlignedTexts:
     """Texts in a row: a row each of COUNTS, groups as text, and links as (text, pair, times), not yet summed."""
 
     counts: np.ndarray
-    groups: list[str]
+    groups: pa.Array
     text: np.ndarray
     pairs: np.ndarray
     times: np.ndarray
@@ -205,11 +253,10 @@ def align_texts(by: Aligner, texts: list[str]) -> AlignedTexts:
     counts = np.zeros((len(COUNTS), len(texts)), np.int64)
     for n in range(len(COUNTS)):
         np.add.at(counts[n], text, known.counts[n][row])
-    words = pa.array([known.groups[n] for n in rows.tolist()], pa.string()).take(pa.array(number))
-    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), words), ";")
+    joined = _joined(known.groups.take(pa.array(row)), sizes, ";")
     of, nth = _spread((known.starts[1:] - known.starts[:-1])[row])
     link = known.starts[row[of]] + nth
-    return AlignedTexts(counts, joined.to_pylist(), text[of], known.pairs[link], known.times[link])
+    return AlignedTexts(counts, joined, text[of], known.pairs[link], known.times[link])
 
 
 # ---------------------------------------------------------------- bitmaps
@@ -288,7 +335,7 @@ class Block:
         self.times.append(np.add.reduceat(aligned.times[order], firsts) if len(key) else aligned.times)
         self.doc_ids += doc_ids
         self.counts.append(aligned.counts)
-        self.digests += [hashlib.sha256(text.encode()).hexdigest() if text else "" for text in aligned.groups]
+        self.digests += [hashlib.sha256(text.encode()).hexdigest() if text else "" for text in aligned.groups.to_pylist()]
         self.chars += sum(map(len, texts))
 
     def row(self, number: int) -> pa.RecordBatch:
@@ -317,14 +364,14 @@ def alignment_index(docs: DataFrame, byte_tokenizer: str, piece_model: str, doc_
         by, block = aligner(byte_tokenizer, piece_model), Block()
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in text_slices(batch.column(1)):
                 for c in range(a, b, BLOCK_DOCS // 2):
                     d = min(b, c + BLOCK_DOCS // 2)
                     if len(block.doc_ids) + d - c > BLOCK_DOCS:
                         yield block.row(number)
                         block, number = Block(), number + 1
-                    block.add(ids[c:d], texts[c:d], align_texts(by, texts[c:d]))
+                    ids, texts = (batch.column(n).slice(c, d - c).to_pylist() for n in (0, 1))
+                    block.add(ids, texts, align_texts(by, texts))
                     if block.chars >= BLOCK_CHARS:
                         yield block.row(number)
                         block, number = Block(), number + 1
@@ -427,9 +474,8 @@ def aligned_groups(docs: DataFrame, byte_tokenizer: str, piece_model: str, doc_i
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = aligner(byte_tokenizer, piece_model)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                groups = pa.array(align_texts(by, texts[a:b]).groups, pa.string())
+            for a, b in text_slices(batch.column(1)):
+                groups = align_texts(by, batch.column(1).slice(a, b - a).to_pylist()).groups
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), groups], ["doc_id", "groups"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))

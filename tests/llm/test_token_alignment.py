@@ -70,6 +70,7 @@ def plain_rows(texts):
 
 
 ODD = [
+    "one\ntwo\nthree four", "\none", "one\n", "a\n b", "a\t\nb", "x\ry\r\nz.\r", "a\n▁\nb", "\n\nx\ny", "²³. ²", " \nx \n\ny z\n",
     "a  b", " a", "a ", "  ", " ", "\n", "a \n b", "a\n \nb", "x\n\n\ny  z\t\tq", "▁", "a ▁b", "a▁ b", "<|endoftext|>", "end <|endoftext|> here",
     "<s> <unk> </s> <0x41>", "a\x00b", "don't we'll I'm it's", "naïve café 3.14159 1234567", "😀😀 👩‍👩‍👧", "日本語のテキスト 中文", "　wide　space \xa0nb",
     "a\x1c b\x1d \x1ec", "é ́", "� ﻿", "-----" * 40, "aaaa" * 500, "!?" * 300, "0" * 200, "\r\n\r\n x", "a b c " * 50, "ﬁ ½ Ⅷ",
@@ -80,7 +81,7 @@ ROWS = AWKWARD[:9] + AWKWARD[10:] + [(9, "word " * 500, "en")] + [(100 + n, text
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.sampled_from(ODD + [" ", "  ", "the", "'s", "\n", "\t"]), st.text(max_size=8)), max_size=6).map("".join))
 def test_groups_by_word(text):
-    [written] = token_alignment.align_texts(token_alignment.aligner(A, B), [text]).groups
+    [written] = token_alignment.align_texts(token_alignment.aligner(A, B), [text]).groups.to_pylist()
     assert written == ";".join(",".join(map(str, left)) + "|" + ",".join(map(str, right)) for left, right in plain_groups(text))
 
 
@@ -141,8 +142,8 @@ def test_forgotten_words(monkeypatch):
     monkeypatch.setattr(token_alignment, "REMEMBERED", 3)
     by = token_alignment.Aligner(A, B)
     texts = [f"word{n} the other{n % 3}" for n in range(20)]
-    parts = [token_alignment.align_texts(by, [text]).groups[0] for text in texts]
-    assert parts == token_alignment.align_texts(token_alignment.Aligner(A, B), texts).groups
+    parts = [token_alignment.align_texts(by, [text]).groups[0].as_py() for text in texts]
+    assert parts == token_alignment.align_texts(token_alignment.Aligner(A, B), texts).groups.to_pylist()
 
 
 def test_given_table(spark):
