@@ -13,6 +13,7 @@ from harbor.llm import (
     exact_dedup,
     language_id,
     near_dedup,
+    ngram_join,
     page_text,
     periodic_runs,
     personal_data,
@@ -84,6 +85,10 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op11_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf, "documents"))
+
+
 def planted_places(doc_id: int, words: int) -> np.ndarray | None:
     """One text in ten repeats a stretch of its words from some word on to its end."""
     seed = zlib.crc32(str(doc_id).encode())
@@ -117,6 +122,7 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_token_counts": op9_token_counts,
         "op10_sharding": op10_sharding,
+        "op11_ngram_join": op11_ngram_join,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_token_alignment": op13_token_alignment,
     }
