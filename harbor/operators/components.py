@@ -24,7 +24,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     remaining = edges.filter("a <> b").select(F.inline(both_ways)).distinct()
     steps: list[DataFrame] = []
     for number in range(max_rounds):
-        remaining, left = materialize_counted(remaining, "edges")
+        remaining, left = materialize_counted(remaining, "edges", few=True)
         if not left:
             break
         hung = _hang(remaining, number)
@@ -38,7 +38,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         return nodes.select("id", F.col("id").alias("root"))
     top = reduce(_follow, reversed(steps))
     found = nodes.select("id").join(top.withColumnRenamed("root", "id"), "id", "left")
-    return materialize(found.select("id", F.coalesce("top", "id").alias("root")), "roots")
+    return materialize(found.select("id", F.coalesce("top", "id").alias("root")), "roots", few=True)
 
 
 def _follow(later: DataFrame, step: DataFrame) -> DataFrame:

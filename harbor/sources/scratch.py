@@ -30,21 +30,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+FILES_PER_CORE = 2  # of a table of few files
+
+
+def materialize(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write ``df`` once and return the written table.
 
     The result has no lineage, survives lost executors, and the planner knows its
-    size. The table stays until ``release`` is called.
+    size. The table stays until ``release`` is called. ``few`` bounds the number of its files
+    by the cores, for the many small tables of a loop; the parts of a file are written one after
+    another, so it takes no more memory.
     """
+    if few:
+        df = df.coalesce(max(8, FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+def materialize_counted(df: DataFrame, name: str, few: bool = False) -> tuple[DataFrame, int]:
     """``materialize`` and the number of rows, counted while they are written."""
     seen = Observation()
-    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), name, few)
     return table, seen.get.get("rows", 0)  # nothing is seen of what is known to be empty
 
 
