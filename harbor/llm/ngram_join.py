@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harbor.llm.common import text_slices, whole_text
+from harbor.llm.common import text_slices, trimmed, whole_text
 from harbor.llm.words import mix
 from harbor.operators.components import connected_components
 from harbor.sources.scratch import discard, materialize
@@ -108,7 +108,7 @@ def signed_rows(rows: DataFrame) -> DataFrame:
     """``rows(row, doc_id, text_hash, text)`` with the size of the set, its name and its first elements by hash."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for a, b in text_slices(batch.column(3)):
                 docs, found = shingle_sets(batch.column(3).slice(a, b - a))
                 sizes = np.bincount(docs, minlength=b - a)
@@ -126,7 +126,7 @@ def whole_sets(texts: DataFrame) -> DataFrame:
     """key and shingles of the distinct sets of ``texts(text)``; what repeats within a part comes once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for a, b in text_slices(batch.column(0)):
                 docs, found = shingle_sets(batch.column(0).slice(a, b - a).unique())
                 sizes = np.bincount(docs, minlength=1)
@@ -149,7 +149,7 @@ def _lone(each: DataFrame) -> DataFrame:
 def _hopeful(signed: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes that step 1 leaves: node, key, size, text_hash."""
     copies = signed.select(ROW, "key").join(nodes.select("key", "node"), "key").filter(F.col(ROW) != F.col("node")).select(ROW)
-    single = signed.filter("n_shingles > 0").join(materialize(copies, "copies"), ROW, "left_anti").withColumnRenamed(ROW, "node")
+    single = signed.filter("n_shingles > 0").join(copies, ROW, "left_anti").withColumnRenamed(ROW, "node")
     lone = _lone(single.select("node", F.explode("shown").alias("shingle")))
     sizes = single.select("node", "key", "text_hash", F.col("n_shingles").alias("size"), F.size("shown").alias("n_shown"))
     enough = F.expr(f"n_shown - coalesce(lone, 0) >= {LEAST_COMMON} div {WITNESSES} + 1")
@@ -163,10 +163,10 @@ def ranked_sets(sets: DataFrame) -> DataFrame:
     """
     each = sets.select("node", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    order = materialize(common.orderBy("n", "shingle").select("shingle", F.monotonically_increasing_id().alias("rank")), "order")
+    order = common.orderBy("n", "shingle").select("shingle", F.monotonically_increasing_id().alias("rank"))
     ranks = each.join(order, "shingle").groupBy("node").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
     ranked = sets.select("node", "size").join(ranks, "node").select("node", "size", F.size("ranks").alias("n_shared"), "ranks")
-    return materialize(ranked.filter(f"n_shared >= {LEAST_COMMON}"), "ranked")
+    return materialize(ranked.filter(f"n_shared >= {LEAST_COMMON}"), "ranked", few=True)
 
 
 # ---------------------------------------------------------------- step 3: candidates
@@ -220,7 +220,7 @@ def segments(ranked: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits = np.array(cuts, np.int64)
-        for batch in batches:
+        for batch in trimmed(batches):
             ranks, sizes = np.asarray(batch.column(1).flatten()), np.asarray(batch.column(1).value_lengths())
             row = np.repeat(np.arange(batch.num_rows), sizes)
             fragment = np.searchsorted(limits, ranks, "right")
@@ -235,9 +235,14 @@ def segments(ranked: DataFrame) -> DataFrame:
 
 
 def counted(pairs: DataFrame, cut: DataFrame) -> DataFrame:
-    """``pairs(a, b, size_a, size_b)`` that are linked, with their number of common elements, summed over fragments."""
+    """``pairs(a, b, size_a, size_b)`` that are linked, with their number of common elements, summed over fragments.
+
+    The second sets are looked up first: where they are few, as the centres of large groups are, they
+    are small enough for the engine to send them to the tasks.
+    """
+    wanted = cut.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
     of_a = cut.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("of_a"))
-    of_b = cut.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("of_b"))
+    of_b = wanted.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("of_b"))
     both = pairs.join(of_a, "a").join(of_b, ["b", "fragment"])
     partial = both.select(*PAIR, F.size(F.array_intersect("of_a", "of_b")).alias("n"))
     sums = partial.groupBy(*PAIR).agg(F.sum("n").alias("common"))
@@ -251,10 +256,10 @@ def _merged(roots: DataFrame, new: DataFrame) -> DataFrame:
     """``roots(id, root)`` after ``new`` links: components of the few classes that these join."""
     edges = new.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a")
     edges = edges.join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
-    edges = materialize(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "joined")
+    edges = materialize(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "joined", few=True)
     ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     tops = connected_components(ends, edges).select(F.col("id").alias("root"), F.col("root").alias("top"))
-    return materialize(roots.join(tops, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
+    return materialize(roots.join(tops, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots", few=True)
 
 
 def _open(posts: DataFrame, roots: DataFrame) -> DataFrame:
@@ -266,16 +271,16 @@ def _open(posts: DataFrame, roots: DataFrame) -> DataFrame:
 
 def classes(ranked: DataFrame) -> DataFrame:
     """id and root of every node of ``ranked``: what links connect has one root."""
-    cut = materialize(segments(ranked), "segments")
-    roots = materialize(ranked.select(F.col("node").alias("id"), F.col("node").alias("root")), "roots")
-    posts = materialize(first_ranks(ranked), "posts")
+    cut = materialize(segments(ranked), "segments", few=True)
+    roots = ranked.select(F.col("node").alias("id"), F.col("node").alias("root"))
+    posts = first_ranks(ranked)
     stars = STAR_ROUNDS
     while True:
-        posts = materialize(_open(posts, roots), "open")
+        posts = materialize(_open(posts, roots), "open", few=True)
         if posts.isEmpty():
             return roots
-        pairs = materialize(_stars(posts) if stars else candidates(posts), "pairs")
-        new = materialize(counted(pairs, cut), "links")
+        pairs = materialize(_stars(posts) if stars else candidates(posts), "pairs", few=True)
+        new = materialize(counted(pairs, cut), "links", few=True)
         linked = not new.isEmpty()
         if linked:
             roots = _merged(roots, new)
@@ -290,8 +295,8 @@ def _prepared(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
     rows = rows.select(F.monotonically_increasing_id().alias(ROW), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
     signed = materialize(signed_rows(rows), "signed")
     nodes = signed.filter("n_shingles > 0").groupBy("key").agg(F.min(ROW).alias("node"), F.min("doc_id").alias("least"))
-    nodes = materialize(nodes, "nodes")
-    hopeful = materialize(_hopeful(signed, nodes), "hopeful")
+    nodes = materialize(nodes, "nodes", few=True)
+    hopeful = materialize(_hopeful(signed, nodes), "hopeful", few=True)
     wanted = hopeful.select("text_hash").distinct()
     texts = rows.select("text_hash", "text").join(wanted, "text_hash", "left_semi")
     sets = whole_sets(texts).join(hopeful.select("key", "node", "size"), "key").select("node", "size", "shingles")
@@ -312,10 +317,9 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     signed, nodes, ranked = _prepared(docs, doc_id, text)
     roots = classes(ranked).withColumnRenamed("id", "node")
-    rooted = materialize(roots.join(nodes, "node"), "rooted")
+    rooted = materialize(roots.join(nodes, "node"), "rooted", few=True)
     reached = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
     of_key = nodes.join(reached, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
-    of_key = materialize(of_key, "components")
     rows = signed.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"))
