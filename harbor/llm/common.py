@@ -1,6 +1,8 @@
 """Small helpers shared by the text operators."""
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,3 +49,22 @@ def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int,
         end = min(len(ends), int(np.searchsorted(ends, before + size)) + 1)
         yield begin, end
         begin = end
+
+
+@cache
+def _trim() -> Callable[[int], int] | None:
+    """What makes the C library return freed memory, where it can."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each of them the worker returns the memory that it has freed."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if trim := _trim():
+            trim(0)

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harbor.llm.common import ROW, numbered, whole_text, with_row
-from harbor.llm.token_store import slices
+from harbor.llm.common import ROW, numbered, text_slices, trimmed, whole_text, with_row
 from harbor.llm.words import DIGIT, LETTER, UPPER, Words, mix, words_of
 from harbor.sources.scratch import materialize
 
+BATCH_BYTES = 250_000
 WINDOW = 8  # template words; shorter items are matched whole
 LEAST_WORDS = 4  # templates of fewer words are no evidence; such items are matched word for word
 LEAST_COVERAGE = 0.3  # share of an item's windows that a document must hold
@@ -121,10 +121,10 @@ def template_windows(rows: DataFrame, sizes: tuple[int, ...] | None, known: np.n
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _holder(shipped.value if shipped else None)
-        for batch in batches:
-            keys, texts = np.asarray(batch.column(0)), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                words, template, own = templates(texts[a:b], units)
+        for batch in trimmed(batches):
+            keys, texts = np.asarray(batch.column(0)), batch.column(1)
+            for a, b in text_slices(texts, BATCH_BYTES):
+                words, template, own = templates(texts.slice(a, b - a).to_pylist(), units)
                 counts = np.bincount(words.doc, minlength=b - a)
                 for size in sizes or sorted({min(WINDOW, int(n)) for n in counts if n}):
                     for literal in (False, True) if size >= LEAST_WORDS else (True,):

@@ -11,20 +11,22 @@ of the least estimate wins.
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harbor.llm.common import text_slices, trimmed
+
 UNKNOWN = "und"
 SAMPLE_DOCS = 128  # about as many documents of each language are fetched, and at most four times as many
-SAMPLE_CHARS = 4_000  # of each of them as many characters
-SAMPLE_SYMBOLS = 40_000  # symbols of each language in its automaton
-ALL_SYMBOLS = 400_000  # symbols of all languages together; bounds the model
+SAMPLE_PIECES, PIECE_CHARS = 20, 200  # of a longer text as many pieces, spread evenly from its begin to its end
+SAMPLE_SYMBOLS = 20_000  # symbols of each language in its automaton, about as many from each of its documents
 SYMBOLS = 64  # 0: anything but a letter; 1 to 62: the most frequent letters; 63: any other letter
 SEGMENT = 512  # symbols parsed at a stretch; a phrase ends at the end of a segment
-BATCH_CHARS = 1_000_000
+BATCH_BYTES = 250_000
 
 
 def part_of(doc_id: Column) -> Column:
@@ -79,6 +81,13 @@ def automaton_steps(sample: list[int]) -> np.ndarray:
     return np.where(steps < 0, restart, steps).astype(np.int32).ravel()
 
 
+def _spread(text: Column) -> Column:
+    """A text of up to SAMPLE_PIECES * PIECE_CHARS characters whole, pieces of a longer one."""
+    room = F.length(text) - PIECE_CHARS
+    pieces = [F.substring(text, F.floor(room * n / (SAMPLE_PIECES - 1)).cast("int") + 1, F.lit(PIECE_CHARS)) for n in range(SAMPLE_PIECES)]
+    return F.when(F.length(text) <= SAMPLE_PIECES * PIECE_CHARS, text).otherwise(F.concat_ws(" ", *pieces))
+
+
 def fit_languages(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """A model of the labelled rows. Bounded: see the parameters above; everything else covers all rows.
 
@@ -93,7 +102,7 @@ def fit_languages(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text
     draw = F.xxhash64(F.col(doc_id), F.col(lang))
     uniform = F.pmod(draw, F.lit(1 << 20)) / float(1 << 20)
     fetched = rows.filter(uniform < shares[F.col(lang)])
-    fetched = fetched.select(F.col(lang).alias("lang"), uniform.alias("draw"), F.left(F.col(text), F.lit(SAMPLE_CHARS)).alias("text"))
+    fetched = fetched.select(F.col(lang).alias("lang"), uniform.alias("draw"), _spread(F.col(text)).alias("text"))
     samples: dict[str, list[tuple[float, str]]] = {}
     for row in fetched.limit(4 * SAMPLE_DOCS * len(counts)).collect():
         samples.setdefault(row["lang"], []).append((row["draw"], row["text"]))
@@ -106,32 +115,41 @@ def fit_languages(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text
     places = {char: place for place, char in enumerate(order, 1)}
     model = LanguageModel([], places, [], [])
     coder = TextCoder(places)
-    most = min(SAMPLE_SYMBOLS, ALL_SYMBOLS // len(languages))
     for name in languages:
         codes, _ = coder.codes([texts[name]])
         if codes.any():
-            sample = codes[:most].tolist()
+            sample = _thinned(codes).tolist()
             model.languages.append(name)
             model.sizes.append(len(sample))
             model.steps.append(automaton_steps(sample))
     return model
 
 
+def _thinned(codes: np.ndarray) -> np.ndarray:
+    """At most SAMPLE_SYMBOLS symbols, in stretches spread over all of ``codes``."""
+    if len(codes) <= SAMPLE_SYMBOLS:
+        return codes
+    stretch = PIECE_CHARS
+    number = SAMPLE_SYMBOLS // stretch
+    begins = np.linspace(0, len(codes) - stretch, number).astype(np.int64)
+    return codes[(begins[:, None] + np.arange(stretch)).ravel()]
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters by their Unicode class."""
+    return np.fromiter((chr(code).isalpha() for code in range(0x110000)), bool, 0x110000)
+
+
 class TextCoder:
     """Texts as symbols: letters of either case by their place, every run of other characters as one 0."""
 
     def __init__(self, letters: dict[str, int]):
-        self.table = np.full(0x110000, SYMBOLS - 1, np.uint8)
-        for code in range(0x3000):  # beyond, all but letters are rare and count as letters
-            char = chr(code)
-            if not char.isalpha():
-                self.table[code] = 0
+        self.table = np.where(_letters(), SYMBOLS - 1, 0).astype(np.uint8)
         for char, place in letters.items():
             for form in {char, char.upper()}:
                 if len(form) == 1:
                     self.table[ord(form)] = place
-        for first, last in ((0x3000, 0x3005), (0xE000, 0xF900), (0xFE00, 0xFE70), (0xFFF0, 0x10000), (0x1F000, 0x20000), (0xE0000, 0x110000)):
-            self.table[first:last] = 0  # punctuation, private use, marks, emoji and tags
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All symbols of the texts one after another, and how many each text has."""
@@ -190,11 +208,10 @@ def predict_languages(
         if not coders:
             coders.append(TextCoder(known.letters))
         sample_bits = np.log2(np.maximum(2, np.array(known.sizes, float)))[:, None]
-        for batch in batches:
-            texts = batch.column(place).to_pylist()
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for a, b in _slices(texts):
-                codes, sizes = coders[0].codes([text or "" for text in texts[a:b]])
+        for batch in trimmed(batches):
+            names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            for a, b in text_slices(batch.column(place), BATCH_BYTES):
+                codes, sizes = coders[0].codes([text or "" for text in batch.column(place).slice(a, b - a).to_pylist()])
                 letters = np.bincount(np.repeat(np.arange(b - a), sizes), codes > 0, b - a)
                 if not known.languages:
                     continue
@@ -212,14 +229,3 @@ def predict_languages(
     for field in schema.fields:
         field.nullable = True
     return kept.mapInArrow(predict, schema)
-
-
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    begin, size = 0, 0
-    for at, text in enumerate(texts):
-        size += len(text or "")
-        if size >= BATCH_CHARS:
-            yield begin, at + 1
-            begin, size = at + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)

@@ -21,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harbor.llm.common import ROW, numbered, whole_text, with_row
+from harbor.llm.common import ROW, numbered, text_slices, trimmed, whole_text, with_row
 from harbor.llm.dart_minhash import bands, in_parts
-from harbor.llm.token_store import slices
 from harbor.llm.words import shingles, words_of
 from harbor.operators.components import connected_components
 from harbor.sources.scratch import discard, materialize
@@ -38,6 +37,7 @@ BANDS, BAND_ROWS = 64, 8
 COORDINATES = BANDS * BAND_ROWS
 MOST_DIFFERENT = int(0.1 * COORDINATES + 5.5 * (0.09 * COORDINATES) ** 0.5)
 DECIDING_ROUNDS = 1
+BATCH_BYTES = 250_000
 
 
 def text_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,10 +48,10 @@ def band_keys(rows: DataFrame) -> DataFrame:
     """``rows`` with ``text`` replaced by ``bands`` and ``sketch`` of its signature; a text without words has no bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in slices(texts):
-                doc, found = text_shingles(texts[a:b])
+        for batch in trimmed(batches):
+            texts = batch.column(batch.num_columns - 1)
+            for a, b in text_slices(texts, BATCH_BYTES):
+                doc, found = text_shingles(texts.slice(a, b - a).to_pylist())
                 signature = in_parts(doc, found, np.ones(len(found)), b - a, COORDINATES)
                 keys, bits = bands(signature, BAND_ROWS), np.packbits((signature & np.uint64(1)).astype(bool), axis=1)
                 some = np.bincount(doc, minlength=b - a) > 0
@@ -69,10 +69,10 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     """``rows(node, text)`` as node, shingles."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                doc, found = text_shingles(texts[a:b])
+        for batch in trimmed(batches):
+            texts = batch.column(1)
+            for a, b in text_slices(texts, BATCH_BYTES):
+                doc, found = text_shingles(texts.slice(a, b - a).to_pylist())
                 offsets = np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["node", "shingles"])
@@ -109,7 +109,7 @@ def _with_bound(members: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = nodes.select("node", F.size("shingles").alias("size")).join(lone, "node", "left")
     sizes = sizes.select("node", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("shared"))
     hopeful = sizes.filter(_reaches(F.col("shared"), F.col("size"), F.col("shared")))
-    return members.drop("size", "shared").join(materialize(hopeful, "hopeful"), "node")
+    return members.drop("size", "shared").join(materialize(hopeful, "hopeful", few=True), "node")
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,15 +125,15 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     texts = texts if ROW in docs.columns else materialize(texts, "numbered")
     keyed = texts.select(ROW, "doc_id", F.unhex(F.sha2("text", 256)).alias("key"), "text")
     signed = materialize(band_keys(keyed), "signed")
-    nodes = materialize(signed.groupBy("key").agg(F.min(ROW).alias("node")), "nodes")
+    nodes = materialize(signed.groupBy("key").agg(F.min(ROW).alias("node")), "nodes", few=True)
     copies = signed.select(ROW, "key").join(nodes, "key").filter(F.col(ROW) != F.col("node")).select(ROW)
-    banded = signed.join(materialize(copies, "copies"), ROW, "left_anti")
+    banded = signed.join(materialize(copies, "copies", few=True), ROW, "left_anti")
     banded = banded.select(F.col(ROW).alias("node"), "bands", "sketch")
 
     each = banded.select("node", F.explode("bands").alias("bucket"))
     heads = each.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(each.join(materialize(heads.select("bucket", "head"), "heads"), "bucket"), "members")
-    candidates = materialize(members.select("node").distinct(), "candidates")
+    members = materialize(each.join(materialize(heads.select("bucket", "head"), "heads", few=True), "bucket"), "members")
+    candidates = materialize(members.select("node").distinct(), "candidates", few=True)
     sets = texts.select(F.col(ROW).alias("node"), "text").join(candidates, "node", "left_semi")
     sets = materialize(shingle_sets(sets), "sets")
     if ROW not in docs.columns:
@@ -141,13 +141,13 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     together = members.filter("node <> head").groupBy("node", "head").agg(F.count("*").alias("n"))
     stars = together.groupBy(F.col("node").alias("a")).agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("b"))
-    found = materialize(links(stars, sets), "links")
+    found = materialize(links(stars, sets), "links", few=True)
     roots = connected_components(candidates.withColumnRenamed("node", "id"), found)
 
     # One test of each node with each other class that it meets joins most of what belongs together.
     rounds = DECIDING_ROUNDS
     while True:
-        members = materialize(_open(_rooted(members, roots)), "open")
+        members = materialize(_open(_rooted(members, roots)), "open", few=True)
         if members.isEmpty():
             break
         bounded = _with_bound(members, sets)
@@ -156,7 +156,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         else:
             bounded = _with_bound(_open(bounded), sets)
             pairs = _open_pairs(bounded.join(banded, "node"))
-        new = materialize(links(pairs, sets), "links")
+        new = materialize(links(pairs, sets), "links", few=True)
         linked = not new.isEmpty()
         if linked:
             roots = _merged(roots, new)
@@ -165,11 +165,11 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         rounds = rounds - 1 if linked else 0
 
     classed = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left")
-    classed = materialize(classed.select("key", F.coalesce("root", "node").alias("root")), "classed")
+    classed = materialize(classed.select("key", F.coalesce("root", "node").alias("root")), "classed", few=True)
     rows = materialize(signed.select(ROW, "doc_id", "key").join(classed, "key").drop("key"), "rooted")
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", ROW)
     firsts = rows.groupBy("root").agg(F.min(order).alias("first"))
-    first = materialize(firsts, "firsts")
+    first = materialize(firsts, "firsts", few=True)
     return rows.join(first, "root").select(
         ROW, "doc_id", F.col("first.doc_id").alias("class_id"), (F.col(ROW) == F.col(f"first.{ROW}")).alias("kept")
     )
@@ -179,10 +179,10 @@ def _merged(roots: DataFrame, new: DataFrame) -> DataFrame:
     """``roots`` after ``new`` links between nodes: components of the few roots that these join."""
     edges = new.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a")
     edges = edges.join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
-    edges = materialize(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "joined")
+    edges = materialize(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "joined", few=True)
     joined = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     tops = connected_components(joined, edges).select(F.col("id").alias("root"), F.col("root").alias("top"))
-    return materialize(roots.join(tops, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
+    return materialize(roots.join(tops, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots", few=True)
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -223,5 +223,5 @@ def _open_pairs(members: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
     rows = numbered(docs)
-    dropped = materialize(near_classes(rows, doc_id, text).filter(~F.col("kept")).select(ROW), "dropped")
+    dropped = materialize(near_classes(rows, doc_id, text).filter(~F.col("kept")).select(ROW), "dropped", few=True)
     return rows.join(dropped, ROW, "left_anti").drop(ROW)

@@ -8,7 +8,7 @@ import pytest
 from harbor.llm import language_id
 from harbor.llm.common import table
 from harbor.llm.queries import op7_language_id
-from tests.llm.tables import AWKWARD, documents, rows_of
+from tests.llm.tables import AWKWARD, PROSE, documents, rows_of
 
 
 def phrases(text, sample):
@@ -84,3 +84,35 @@ def test_labels_are_no_input_of_a_prediction(spark):
     plain = language_id.predict_languages(docs.select("doc_id", "text"), model)
     full = language_id.predict_languages(docs.drop("lang", "source"), model)
     assert rows_of(plain, "doc_id", "lang_pred", "score") == rows_of(full, "doc_id", "lang_pred", "score")
+
+
+def test_letters_by_class():
+    """Every code point: a symbol if and only if it is a letter."""
+    coder = language_id.TextCoder({"a": 1, "ß": 2})
+    points = [code for code in range(0x110000) if not 0xD800 <= code < 0xE000]
+    codes = coder.table[points]
+    assert [bool(code) for code in codes] == [chr(code).isalpha() for code in points]
+    assert coder.table[ord("A")] == coder.table[ord("a")] == 1
+
+
+def test_no_letter_no_language(spark):
+    texts = ["！？", "１２３", "「」", "【】", "㈠", "𝟘𝟙", "🎉 ﷼ 12", "日本", "ß"]
+    docs = documents(spark, [(n, text, None) for n, text in enumerate(texts)])
+    model = language_id.fit_languages(documents(spark, [(1, PROSE, "en"), (2, "la casa de los libros en la ciudad", "es")]))
+    found = dict(rows_of(language_id.predict_languages(docs, model), "doc_id", "lang_pred"))
+    assert [found[n] == "und" for n in range(len(texts))] == [not any(char.isalpha() for char in text) for text in texts]
+
+
+def test_samples_reach_to_the_end_of_a_text(spark):
+    """The letters of a label's text stand at its end only, far behind what a prefix would hold."""
+    digits = "1 " * 40_000
+    docs = documents(spark, [(1, digits + "el perro come la carne " * 2000, "es"), (2, digits + "der hund frisst das fleisch " * 2000, "de")])
+    model = language_id.fit_languages(docs)
+    tried = documents(spark, [(1, "la carne come el perro", None), (2, "das fleisch frisst der hund", None)])
+    assert rows_of(language_id.predict_languages(tried, model), "doc_id", "lang_pred") == [(1, "es"), (2, "de")]
+
+
+def test_many_labels_keep_their_samples(spark):
+    rows = [(n, " ".join(f"{chr(97 + n % 26)}{chr(97 + n // 26)}{m}" for m in range(300)), f"l{n}") for n in range(60)]
+    model = language_id.fit_languages(documents(spark, rows))
+    assert len(model.languages) == 60 and len(set(model.sizes)) < 60 and min(model.sizes) > 500
