@@ -24,6 +24,7 @@ WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 REMEMBERED_PAIRS = 300_000
 PAIR = 1 << 24  # above all ids
 UNMARKED = "\ud800"  # no valid text holds it
+LINE_FEED = f" {UNMARKED}\n {UNMARKED}"  # a line feed as a word between words
 
 
 def _fields(data: bytes) -> dict[int, list]:
@@ -85,6 +86,7 @@ class PieceModel:
         self.unknown_score = min(self.score[i] for i in self.piece_id.values()) - 10
         # Words can be segmented alone if no piece has a mark after another character.
         self.by_word = not any(MARK in piece.lstrip(MARK) for piece in self.piece_id)
+        self.by_line = not any("\n" in piece for piece in self.piece_id)
         self.automaton = ahocorasick.Automaton()
         for piece, number in self.piece_id.items():
             self.automaton.add_word(piece, number)
@@ -197,12 +199,13 @@ class PieceModel:
     def words(self, text: str) -> list[str]:
         """The words of a text: cut before each mark that follows another character, the first mark left out.
 
-        A word that has no mark in front begins with UNMARKED.
+        A word that has no mark in front begins with UNMARKED. Where no piece holds a line feed, nothing
+        joins across one, and it is a word of its own.
         """
         if not text:
             return []
         if self.by_word and self.prefix and "  " not in text and MARK not in text and text[0] != " ":
-            return text.split(" ")
+            return (text.replace("\n", LINE_FEED) if self.by_line else text).split(" ")
         marked = self.prefix + text.replace(" ", MARK)
         parts = WORDS.findall(marked) if self.by_word else [marked]
         return [word[1:] if word[0] == MARK else UNMARKED + word for word in parts]

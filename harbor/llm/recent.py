@@ -3,6 +3,8 @@
 from collections.abc import Callable, Iterable
 from typing import Any
 
+import numpy as np
+
 REMEMBERED = 120_000  # words of a generation; two are held
 LONGEST = 64  # longer words are forgotten after use
 
@@ -39,3 +41,10 @@ class RecentWords:
             for at in places:
                 found[at] = known[words[at]]
         return values
+
+    def coded(self, texts: list[list[str]]) -> tuple[np.ndarray, list[Any]]:
+        """Every word of every text in a row as a number, and the value of each number. A word is looked up once."""
+        words = [word for text in texts for word in text]
+        numbers = {word: number for number, word in enumerate(dict.fromkeys(words))}
+        [values] = self.of([list(numbers)])
+        return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), values

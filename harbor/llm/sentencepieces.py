@@ -3,17 +3,16 @@
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harbor.llm.common import whole_text
+from harbor.llm.common import text_slices, trimmed, whole_text
 from harbor.llm.pieces import PieceModel, piece_model
 from harbor.llm.recent import RecentWords
-from harbor.llm.token_store import slices
 
 
 class WordIds:
@@ -25,7 +24,19 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native 32-bit integers."""
-        return [b"".join(ids) for ids in self.words.of([self.model.words(text) for text in texts])]
+        ids, ends = self.in_a_row(texts)
+        return [ids[begin:end].tobytes() for begin, end in zip(ends[:-1], ends[1:], strict=True)]
+
+    def in_a_row(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where those of each text end, from 0 on."""
+        split = [self.model.words(text) for text in texts]
+        numbers, values = self.words.coded(split)
+        sizes = np.array([len(ids) // 4 for ids in values], np.int64)
+        begins, known = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(values), np.int32)
+        each = sizes[numbers]
+        ends = np.append(0, np.cumsum(each))
+        ids = known[np.repeat(begins[numbers] - ends[:-1], each) + np.arange(ends[-1])]
+        return ids, ends[np.cumsum([0, *map(len, split)])]
 
 
 _encoders: dict[str, WordIds] = {}
@@ -51,19 +62,17 @@ def encode_texts(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pieces = word_ids(model), piece_model(model)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                lists = encoder.encode(texts[a:b])
-                sizes = [len(ids) // 4 for ids in lists]
-                offsets = pa.array([0, *accumulate(sizes)], pa.int32())
-                values = pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join(lists))])
+        for batch in trimmed(batches):
+            for a, b in text_slices(batch.column(1)):
+                ids, ends = encoder.in_a_row(batch.column(1).slice(a, b - a).to_pylist())
+                lists = [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 columns = [
-                    batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()),
-                    pa.array([zlib.crc32(ids) for ids in lists], pa.int64()), pa.ListArray.from_arrays(offsets, values),
+                    batch.column(0).slice(a, b - a), pa.array(np.diff(ends)),
+                    pa.array([zlib.crc32(own.astype("<u4")) for own in lists], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
                 ]
                 if decoded:
-                    columns.append(pa.array([pieces.decode(array("i", ids)) for ids in lists], pa.string()))
+                    columns.append(pa.array([pieces.decode(own.tolist()) for own in lists], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))

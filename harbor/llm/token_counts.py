@@ -8,17 +8,17 @@ about truncation and budgets are look-ups in these tables; nothing is encoded ag
 
 from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harbor.llm.common import whole_text
+from harbor.llm.common import text_slices, trimmed, whole_text
 from harbor.llm.pieces import PieceModel, piece_model
 from harbor.llm.recent import RecentWords
-from harbor.llm.token_store import slices
 
 
 class PrefixCounts:
@@ -28,6 +28,14 @@ class PrefixCounts:
         self.model = model
         self.words = RecentWords(lambda words: [array("i", model.lattice(model.marked(word))[1]) for word in words])
 
+    def totals(self, texts: list[str]) -> tuple[np.ndarray, Callable[[int], list[array]]]:
+        """The number of tokens of each text, and what gives the tables of one of them."""
+        split = [self.model.words(text) for text in texts]
+        numbers, values = self.words.coded(split)
+        ends = np.cumsum([0, *map(len, split)])
+        sums = np.append(0, np.cumsum(np.array([table[-1] for table in values], np.int64)[numbers]))
+        return sums[ends[1:]] - sums[ends[:-1]], lambda n: [values[number] for number in numbers[ends[n] : ends[n + 1]]]
+
     def tables(self, texts: list[str]) -> list[list[array]]:
         """For each word of each text the number of tokens of its prefixes of 0, 1, ... characters."""
         return self.words.of([self.model.words(text) for text in texts])
@@ -73,15 +81,15 @@ def count_tokens(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(model)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+        for batch in trimmed(batches):
             totals, cuts, prefix_counts = [], [], []
-            for a, b in slices(texts):
-                for text, tables in zip(texts[a:b], counter.tables(texts[a:b]), strict=True):
-                    totals.append(sum([table[-1] for table in tables]))
-                    cuts.append(len(text) if totals[-1] <= limit else counter.cut(tables, limit))
-                    if prefixes:
-                        prefix_counts.append(counter.counts(tables))
+            for a, b in text_slices(batch.column(1)):
+                texts = batch.column(1).slice(a, b - a).to_pylist()
+                sums, tables = counter.totals(texts)
+                totals += sums.tolist()
+                cuts += [len(text) if total <= limit else counter.cut(tables(n), limit) for n, (text, total) in enumerate(zip(texts, sums.tolist(), strict=True))]
+                if prefixes:
+                    prefix_counts += [counter.counts(tables(n)) for n in range(len(texts))]
             columns = [
                 batch.column(0), batch.column(2), pa.array(totals, pa.int64()),
                 pa.array([total > limit for total in totals], pa.bool_()), pa.array(cuts, pa.int64()),
