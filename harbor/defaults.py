@@ -36,4 +36,3 @@ SLICE_MINUTES = 60  # a vessel's track is cut into slices this long, so that no
 MAX_PIECE_ROWS = 1_000_000  # most messages of one vessel that one task sorts
 MAX_BROADCAST_ROWS = 1_000_000  # largest lookup table sent to every executor, in rows
 MAX_BROADCAST_BYTES = 64 << 20  # and in bytes at rest
-COPIES_PER_CHUNK = 10_000  # identical rows unfolded at a time

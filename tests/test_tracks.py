@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from itertools import groupby
 
 import pytest
+from pyspark.sql import functions as F
 
 from harbor.operators import dwell, track
 
@@ -68,16 +69,41 @@ def test_vessel_tracks(spark, minutes, max_rows):
         assert row.total_distance_km == pytest.approx(expected[row.mmsi][1], abs=1e-9)
 
 
-@pytest.mark.parametrize("chunk", [2, 10_000])
-@pytest.mark.parametrize("minutes,max_rows", CUTS)
-def test_previous_position(spark, minutes, max_rows, chunk):
-    rows = messages(minutes + 1)
+@pytest.mark.parametrize("partitions", [1, 2, 7, 60, 400])
+def test_previous_position(spark, partitions):
+    """A third of the messages under one vessel, ranges of a few rows, copies in several ranges, empty ranges."""
+    rows = messages(partitions) + [(3, datetime(2025, 4, 20, 23), 0.001, 12.0, 0.1, "Cargo")] * 300
     slow = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    steps = track.previous_position(slow, minutes, max_rows, chunk).collect()
+    steps = track.previous_position(slow, partitions).collect()
     expected = [(*row, *place) for row, place in walk(rows)]
     assert sorted(map(tuple, steps), key=repr) == sorted(expected, key=repr)
 
 
+def test_copies_lie_in_several_ranges(spark):
+    slow = spark.createDataFrame([(1, datetime(2025, 4, 20), 55.0, 12.0, 0.1, "Cargo")] * 2000, SCHEMA).repartition(5)
+    ordered = track.ordered_scan(slow, ["mmsi", *track.PLACE], 8)
+    sizes = ordered.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 4 and max(row["count"] for row in sizes) < 1000
+    assert track.previous_position(slow, 8).count() == 1999
+
+
+def test_one_exchange_of_messages(spark):
+    slow = spark.createDataFrame(messages(2), SCHEMA)
+    scan = track.lagged_within(track.ordered_scan(slow, ["mmsi", *track.PLACE], 8), ["mmsi"], {"latitude": "prev_lat"})
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange rangepartitioning(mmsi") == 1
+    after = track.previous_position(slow, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in after and "hashpartitioning" not in after
+
+
+def test_no_and_null_messages(spark):
+    assert track.previous_position(spark.createDataFrame([], SCHEMA), 3).count() == 0
+    start = datetime(2025, 4, 20)
+    rows = [(None, start, 55.0, 12.0, 0.1, None), (None, start + timedelta(hours=1), 55.5, 12.5, 0.1, None), (1, start, 56.0, 13.0, 0.1, None)]
+    steps = track.previous_position(spark.createDataFrame(rows, SCHEMA), 3).collect()
+    assert [tuple(row) for row in steps] == [(*rows[1], 55.0, 12.0)]
+
+
 @pytest.mark.parametrize("minutes,max_rows", CUTS)
 def test_day_by_day(spark, minutes, max_rows):
     rows = messages(5)
@@ -89,7 +115,7 @@ def test_day_by_day(spark, minutes, max_rows):
     slow = track.with_day(spark.createDataFrame(rows, SCHEMA))
     found = track.vessel_tracks(slow, minutes, max_rows, track.VESSEL_DAY).dropna().collect()
     assert {(r.mmsi, r.day): pytest.approx(r.total_distance_km, abs=1e-9) for r in found} == expected
-    steps = track.previous_position(slow, minutes, max_rows, vessel=track.VESSEL_DAY)
+    steps = track.previous_position(slow, vessel=track.VESSEL_DAY)
     assert steps.count() == sum(len(list(walk([r for r in rows if r[1].date() == d]))) for d in {k[1] for k in expected})
 
 
@@ -127,6 +153,7 @@ def test_order_inside_a_second_and_a_band(spark):
 def test_more_heavy_keys_than_a_broadcast_holds(spark, monkeypatch):
     rows = messages(8)
     slow = spark.createDataFrame(rows, SCHEMA)
-    expected = sorted(map(tuple, track.previous_position(slow).collect()), key=repr)
+    expected = {row.mmsi: row.total_distance_km for row in track.vessel_tracks(slow).collect()}
     monkeypatch.setattr(track, "MAX_BROADCAST_ROWS", 2)
-    assert sorted(map(tuple, track.previous_position(slow, 60, 1).collect()), key=repr) == expected
+    found = {row.mmsi: row.total_distance_km for row in track.vessel_tracks(slow, 60, 1).collect()}
+    assert found == {vessel: pytest.approx(km, abs=1e-9) for vessel, km in expected.items()}
