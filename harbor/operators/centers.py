@@ -123,6 +123,29 @@ def costs_for_centers(positions: DataFrame, centers: dict[int, Centers]) -> Data
     return positions.agg(costs.alias("costs")).select(F.inline("costs"))
 
 
+def elbow_choice(costs: DataFrame) -> DataFrame:
+    """``costs(k, wssse)`` with ``below_chord`` and ``chosen``: the number of clusters at the knee of the curve.
+
+    The chord joins the costs of the least and the greatest k, both axes scaled to one.
+    The knee lies furthest from it, which is where the curve is furthest below it; the lesser k
+    on a tie (to twelve digits). A single k, or costs that do not fall, have no knee: the least k is chosen.
+    """
+    curve = costs.agg(F.array_sort(F.collect_list(F.struct("k", "wssse"))).alias("curve"))  # a row for each k tried
+    first, last = F.element_at("curve", 1), F.element_at("curve", -1)
+    fall = F.when(first["wssse"] > last["wssse"], first["wssse"] - last["wssse"])
+    steps = F.when(last["k"] > first["k"], last["k"] - first["k"])
+
+    def below(point: Column) -> Column:
+        gap = 1 - (point["k"] - first["k"]) / steps - (point["wssse"] - last["wssse"]) / fall
+        return F.struct(point["k"].alias("k"), point["wssse"].alias("wssse"), F.coalesce(F.round(gap, 12), F.lit(0.0)).alias("below_chord"))
+
+    placed = curve.filter(F.size("curve") > 0).select(F.transform("curve", below).alias("curve"))
+    furthest = F.array_max(F.transform("curve", lambda point: point["below_chord"]))
+    knee = F.element_at(F.filter("curve", lambda point: point["below_chord"] == furthest), 1)["k"]
+    rows = placed.select(F.inline("curve"), knee.alias("knee"))
+    return rows.select("k", "wssse", "below_chord", (F.col("k") == F.col("knee")).alias("chosen"))
+
+
 def kmeans_cluster_counts(assigned: DataFrame) -> DataFrame:
     """Distinct vessels per cluster."""
     return assigned.groupBy("prediction").agg(F.count_distinct("mmsi").alias("ship_count"))

@@ -3,10 +3,11 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from harbor.defaults import DBSCAN_EPS, DBSCAN_MIN_SAMPLES, KMEANS_SEED, MIN_CLUSTER_VESSELS, MIN_PORT_VESSELS
+from harbor.defaults import DBSCAN_EPS, DBSCAN_MIN_SAMPLES, ELBOW_CLUSTERS, KMEANS_SEED, MIN_CLUSTER_VESSELS, MIN_PORT_VESSELS
 from harbor.operators import centers as c
-from harbor.operators import density, ports
+from harbor.operators import density, ports, whole_means
 from harbor.operators.dwell import stationary_positions
 from harbor.operators.report import map_features
 from harbor.sources.scratch import materialize
@@ -64,18 +65,29 @@ def kmeans_reports(
     seed: int = KMEANS_SEED,
     min_vessels: int = MIN_CLUSTER_VESSELS,
 ) -> dict[int, KMeansReport]:
-    """One report per number of clusters; all fits share one written table of weighted places."""
+    """One report per number of clusters; all fits share the passes over one written table of weighted places.
+
+    Centres and labels are the same on any partitioning of the rows.
+    """
     reports = {}
-    with c.held(c.weighted_places(stationary)) as places:
-        for k in clusters:
-            model = c.kmeans_fit(places, k, seed, weight="weight")
-            assigned = c.kmeans_assign(model, stationary)
-            summary = c.kmeans_summary(assigned, min_vessels)
-            reports[k] = KMeansReport(
-                centers=c.kmeans_centers(stationary.sparkSession, model),
-                assigned=assigned,
-                counts=c.kmeans_cluster_counts(assigned),
-                summary=summary,
-                features=map_features(summary, label_clusters=True),
-            )
+    places = whole_means.whole_places(stationary)
+    fits = whole_means.fit(places, clusters, seed)
+    all_centers = whole_means.fitted_centers(places, fits).drop("messages")
+    for k, found in fits.items():
+        assigned = c.assign_to_centers(stationary, found.centers).drop("d2")
+        summary = c.kmeans_summary(assigned, min_vessels)
+        reports[k] = KMeansReport(
+            centers=all_centers.filter(F.col("k") == k),
+            assigned=assigned,
+            counts=c.kmeans_cluster_counts(assigned),
+            summary=summary,
+            features=map_features(summary, label_clusters=True),
+        )
     return reports
+
+
+def suggested_clusters(
+    stationary: DataFrame, clusters: tuple[int, ...] = ELBOW_CLUSTERS, seed: int = KMEANS_SEED
+) -> DataFrame:
+    """The elbow curve of ``stationary`` and the number of clusters at its knee, all fits from shared passes."""
+    return c.elbow_choice(whole_means.elbow_costs(whole_means.whole_places(stationary), clusters, seed))

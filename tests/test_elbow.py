@@ -1,0 +1,52 @@
+"""The knee of a cost curve against its definition."""
+
+import math
+import random
+
+import pytest
+
+from harbor.operators import centers
+from harbor.plans import detection
+
+SCHEMA = "k int, wssse double"
+
+
+def chosen(spark, curve):
+    rows = centers.elbow_choice(spark.createDataFrame(curve, SCHEMA)).collect()
+    assert len(rows) == len(curve)
+    return [r.k for r in rows if r.chosen]
+
+
+def furthest_from_chord(curve):
+    """Distance of each point of the scaled curve from the line through its ends, points above it not counted."""
+    curve = sorted(curve)
+    (k0, c0), (k1, c1) = curve[0], curve[-1]
+    if k0 == k1 or c0 <= c1:
+        return k0
+    best = max((round((1 - (k - k0) / (k1 - k0) - (c - c1) / (c0 - c1)) / math.sqrt(2), 12), -k) for k, c in curve)
+    return -best[1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_against_definition(spark, seed):
+    rng = random.Random(seed)
+    costs = sorted((rng.uniform(1, 1000) for _ in range(8)), reverse=True)
+    curve = list(zip(range(2, 10), costs, strict=True))
+    rng.shuffle(curve)
+    assert chosen(spark, curve) == [furthest_from_chord(curve)]
+
+
+def test_known_curves(spark):
+    assert chosen(spark, [(k, 1000.0 if k < 4 else 10.0 - k / 10) for k in range(2, 10)]) == [4]
+    assert chosen(spark, [(k, 100.0 - k) for k in range(2, 10)]) == [2]  # straight: no knee
+    assert chosen(spark, [(k, 5.0) for k in range(2, 6)]) == [2] and chosen(spark, [(3, 7.0)]) == [3]
+    assert chosen(spark, [(2, 1.0), (3, 2.0)]) == [2] and chosen(spark, []) == []
+
+
+def test_suggestion_finds_separate_ports(spark):
+    rng = random.Random(1)
+    ports = [(5.0, 50.0), (15.0, 60.0), (5.0, 60.0), (15.0, 50.0)]
+    rows = [(lon + rng.gauss(0, 0.01), lat + rng.gauss(0, 0.01)) for lon, lat in ports for _ in range(50)]
+    table = spark.createDataFrame(rows, "longitude double, latitude double")
+    found = detection.suggested_clusters(table).collect()
+    assert [r.k for r in found] == list(range(2, 10)) and [r.k for r in found if r.chosen] == [4]
