@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_texts  # noqa: E402
-from harbor.defaults import MIN_PORT_VESSELS  # noqa: E402
-from harbor.operators import centers, clean, density, dwell, ports, report, track  # noqa: E402
+from harbor.defaults import ELBOW_CLUSTERS  # noqa: E402
+from harbor.operators import centers, clean, density, dwell, globe, history, members, ports, report, track, whole_means  # noqa: E402
 from harbor.plans import detection  # noqa: E402
-from harbor.sources import events, reports, scratch  # noqa: E402
+from harbor.sources import by_vessel, events, reports, scratch  # noqa: E402
 
 try:  # the text operators may be absent
     import corpus_pipeline
@@ -33,8 +33,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 GIVEN_CENTERS = oracle_texts.GIVEN_CENTERS
 FAST_MESSAGES_KEPT = oracle_texts.FAST_MESSAGES_KEPT
+ELBOW_CENTERS = oracle_texts.ELBOW_CENTERS
 SPARSE_EPS, SPARSE_MIN_SAMPLES = oracle_texts.SPARSE_EPS, oracle_texts.SPARSE_MIN_SAMPLES
+GLOBE_EPS_KM, GLOBE_SPARSE_KM = oracle_texts.GLOBE_EPS_KM, oracle_texts.GLOBE_SPARSE_KM
 FITTED_CLUSTERS = 7
+STORED_BUCKETS = 8
 REPORTED_CLUSTERS = (7, 15, 20)
 
 
@@ -93,16 +96,42 @@ def ais_scan(spark: SparkSession, sf: str) -> DataFrame:
     return clean.project_columns(reports.read_reports(spark, path))
 
 
+def cell_vessels(spark: SparkSession, sf: str) -> DataFrame:
+    return members.cell_vessels(ports.fine_bins(stationary(spark, sf)))
+
+
 def coarse_port_vessels(spark: SparkSession, sf: str) -> DataFrame:
-    binned = ports.fine_bins(stationary(spark, sf))
-    cells = ports.bin_vessel_counts(binned).filter(F.col("vessel_count") >= MIN_PORT_VESSELS)
-    labelled = ports.coarse_bins(scratch.materialize(cells, "candidates"))
-    return ports.distinct_port_vessels(binned, labelled, ["lat_bin_ports", "lon_bin_ports"])
+    cells = cell_vessels(spark, sf)
+    labelled = ports.coarse_bins(scratch.materialize(members.candidate_cells(cells), "candidates"))
+    return members.port_vessels(cells, labelled, ["lat_bin_ports", "lon_bin_ports"])
 
 
 def dbscan_port_vessels(spark: SparkSession, sf: str) -> DataFrame:
-    found = detection.grid_report(cleaned(spark, sf))
-    return ports.distinct_port_vessels(ports.fine_bins(found.stationary), found.labels, ["cluster"])
+    cells = cell_vessels(spark, sf)
+    labels = density.dbscan_labels(scratch.materialize(members.candidate_cells(cells), "candidates"), written=True)
+    return members.port_vessels(cells, scratch.materialize(labels, "labels"), ["cluster"])
+
+
+def stored_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of all days, stored in two goes: the later days first."""
+    path = scratch.scratch_path(spark, "history")
+    spans = scratch.materialize(history.day_spans(slow(spark, sf)), "spans")
+    later = F.dayofyear("day") % 2 == 0
+    for part in (later, ~later):
+        history.store_days(spans.filter(part), path)
+    return history.read_days(spark, path)
+
+
+def stored_distance(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch.scratch_path(spark, "by_vessel")
+    name = f"by_vessel_{path.rpartition('-')[2]}"
+    by_vessel.store_by_vessel(cleaned(spark, sf), name, path, STORED_BUCKETS)
+    return rounded(by_vessel.stored_distance(by_vessel.read_by_vessel(spark, name)), "total_distance_km")
+
+
+def history_distance(spark: SparkSession, sf: str) -> DataFrame:
+    tracks = history.history_tracks(stored_history(spark, sf)).filter(dwell.dwells())
+    return rounded(tracks.select("mmsi", "total_distance_km").dropna(), "total_distance_km")
 
 
 def three_means(spark: SparkSession, sf: str) -> tuple[centers.KMeansModel, DataFrame]:
@@ -161,19 +190,31 @@ def kmeans_message_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def elbow_costs(spark: SparkSession, sf: str) -> DataFrame:
-    """The costs reported for 2 to 9 clusters against those of their centres over all messages.
-
-    A fit reports the cost before its last step, which can only lower it.
-    """
+    """The costs reported for 2 to 9 clusters against those of their centres over all messages."""
     rows = stationary(spark, sf)
-    models = centers.elbow_models(centers.weighted_places(rows), weight="weight")
-    reported = F.create_map(*(F.lit(x) for k, m in models.items() for x in (k, float(m.summary.trainingCost))))[F.col("k")]
-    costs = centers.costs_for_centers(rows, {k: centers.model_centers(m) for k, m in models.items()})
-    agrees = F.col("wssse").between(0.8 * reported, reported * (1 + 1e-9))
+    fits = whole_means.fit(whole_means.whole_places(rows), ELBOW_CLUSTERS)
+    reported = F.create_map(*(F.lit(x) for k, found in fits.items() for x in (k, found.wssse)))[F.col("k")]
+    costs = centers.costs_for_centers(rows, {k: found.centers for k, found in fits.items()})
+    agrees = F.abs(F.col("wssse") - reported) <= 1e-6 * reported
     three = F.when(F.col("k") == 3, F.round("wssse", 3))
     return costs.select("k", "messages", agrees.alias("agrees"), three.alias("wssse_of_three"))
 
 
+def elbow_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The knee among the costs of the first 1 to 9 of given centres."""
+    sets = {k: ELBOW_CENTERS[:k] for k in range(1, len(ELBOW_CENTERS) + 1)}
+    curve = centers.elbow_choice(centers.costs_for_centers(stationary(spark, sf), sets))
+    return rounded(curve, "wssse", "below_chord")
+
+
+def kmeans_whole_centers(spark: SparkSession, sf: str) -> DataFrame:
+    """Three centres by whole numbers, numbered from west to east, with their messages and their common cost."""
+    [(k, found)] = whole_means.fit(whole_means.whole_places(stationary(spark, sf)), (3,)).items()
+    west = sorted(zip(found.centers, found.messages, strict=True))
+    rows = [(k, n, lon, lat, messages, round(found.wssse, 3)) for n, ((lon, lat), messages) in enumerate(west)]
+    return spark.createDataFrame(rows, "k int, cluster_id int, longitude double, latitude double, messages long, wssse double")
+
+
 def kmeans_three_summary(spark: SparkSession, sf: str) -> DataFrame:
     summary = centers.kmeans_summary(three_assigned(spark, sf))
     return rounded(summary, "lat_bin", "lon_bin").drop("cluster_id")
@@ -237,6 +278,11 @@ def position_queries() -> dict[str, Query]:
         "stationary_positions": lambda s, d: rounded(stationary(s, d), "total_distance_km"),
         "low_speed_counts": lambda s, d: dwell.low_speed_counts(slow(s, d)),
         "dwelling_vessels": lambda s, d: dwell.dwelling_vessels(slow(s, d)),
+        "stored_distance": stored_distance,
+        "history_distance": history_distance,
+        "history_stationary_vessels": lambda s, d: rounded(
+            history.stationary_in_history(stored_history(s, d)), "total_distance_km"
+        ),
         "vessel_total": lambda s, d: dwell.vessel_total(stationary(s, d)),
         "vessel_distance": lambda s, d: rounded(dwell.vessel_distance(slow(s, d)), "total_distance_km"),
         "stationary_vessels": lambda s, d: rounded(dwell.stationary_vessels(slow(s, d)), "total_distance_km"),
@@ -251,6 +297,7 @@ def position_queries() -> dict[str, Query]:
         # Grids
         "fine_bins": lambda s, d: rounded(ports.fine_bins(stationary(s, d)), "total_distance_km"),
         "bin_vessel_counts": lambda s, d: ports.bin_vessel_counts(ports.fine_bins(stationary(s, d))),
+        "cell_vessel_counts": lambda s, d: members.vessel_counts(cell_vessels(s, d), ports.CELL),
         "port_candidates": candidates,
         "candidate_total": lambda s, d: ports.candidate_total(candidates(s, d)),
         "top_port_candidates": lambda s, d: ports.top_ports(candidates(s, d), 5),
@@ -263,11 +310,13 @@ def position_queries() -> dict[str, Query]:
         "dbscan_core_border_noise": lambda s, d: density.dbscan_labels(
             candidates(s, d), SPARSE_EPS, SPARSE_MIN_SAMPLES
         ),
+        "dbscan_globe": lambda s, d: globe.dbscan_globe(candidates(s, d), GLOBE_EPS_KM),
+        "dbscan_globe_roles": lambda s, d: globe.dbscan_globe(candidates(s, d), GLOBE_SPARSE_KM, SPARSE_MIN_SAMPLES),
         "dbscan_ports": lambda s, d: rounded(dbscan_ports(s, d), "lat_bin", "lon_bin"),
         "top_dbscan_ports": lambda s, d: rounded(density.top_dbscan_ports(dbscan_ports(s, d)), "lat_bin", "lon_bin"),
         "dbscan_port_vessels": dbscan_port_vessels,
-        # k-means: fitted centres depend on partitioning; checked are given centres, the one fit that
-        # does not (three far-apart ports), and what holds for every fit
+        # k-means: checked are given centres, the one fit that ends alike from every start (three far-apart
+        # ports), and what holds for every fit. MLlib's centres depend on partitioning, those in whole numbers do not.
         "feature_vectors": lambda s, d: _features_as_columns(centers.feature_vectors(stationary(s, d))),
         "kmeans_fit": kmeans_fit,
         "kmeans_reports": kmeans_reports,
@@ -282,6 +331,8 @@ def position_queries() -> dict[str, Query]:
             report.map_features(centers.kmeans_summary(three_assigned(s, d)), label_clusters=True), "lat", "lon"
         ),
         "elbow_costs": elbow_costs,
+        "elbow_choice": elbow_choice,
+        "kmeans_whole_centers": kmeans_whole_centers,
         "kmeans_three_summary": kmeans_three_summary,
         "kmeans_three_cost": kmeans_three_cost,
         "assign_to_centers": lambda s, d: rounded(on_given_centers(s, d), "total_distance_km", "d2"),

@@ -7,10 +7,13 @@ from harbor.sources.events import POSITIONS_SQL
 
 # (longitude, latitude), one near each of the three ports of the derived positions.
 GIVEN_CENTERS = [(8.504, 54.624), (10.004, 55.124), (11.504, 55.664)]
+# The same and six more, in the order in which they are added.
+ELBOW_CENTERS = [*GIVEN_CENTERS, (8.505, 54.665), (11.505, 55.785), (10.005, 55.165), (8.51, 54.62), (11.51, 55.66), (10.01, 55.12)]
 # The documented rule of at most 5 fast messages keeps no vessel of the derived positions.
 FAST_MESSAGES_KEPT = 12
 # Cells one step apart are near; four near cells, itself included, make a core cell.
 SPARSE_EPS, SPARSE_MIN_SAMPLES = 0.01, 4
+GLOBE_EPS_KM, GLOBE_SPARSE_KM = 8.0, 1.2
 
 CTES = {
     "positions": POSITIONS_SQL.format(events="events"),
@@ -60,9 +63,10 @@ CTES["distances"] = CTES["distances"].format(
 )
 
 # Clusters of candidate cells: cells reachable from each core cell, for one reach and one density.
-DBSCAN = """near_cells AS (
-    SELECT a.point, b.point AS other FROM points a JOIN points b
-        ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {reach2}),
+NEAR_BY_DEGREES = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {}"
+NEAR_BY_KM = """2 * 6371 * asin(sqrt(least(1.0E0, power(sin(radians(a.lat_bin - b.lat_bin) / 2), 2)
+    + cos(radians(a.lat_bin)) * cos(radians(b.lat_bin)) * power(sin(radians(a.lon_bin - b.lon_bin) / 2), 2)))) <= {}"""
+DBSCAN = """near_cells AS (SELECT a.point, b.point AS other FROM points a JOIN points b ON {near}),
 core AS (SELECT point FROM near_cells GROUP BY point HAVING count(*) >= {min_samples}),
 links AS (SELECT point, other FROM near_cells
     WHERE point IN (SELECT point FROM core) AND other IN (SELECT point FROM core)),
@@ -86,10 +90,10 @@ dbscan AS (
 """
 
 
-def _with(select: str, dbscan: tuple[int, int] | None = None) -> str:
+def _with(select: str, dbscan: tuple[float, int] | None = None, near: str = NEAR_BY_DEGREES) -> str:
     parts = [f"{name} AS (\n{text}\n)" for name, text in CTES.items()]
     if dbscan:
-        parts.append(DBSCAN.format(reach2=dbscan[0], min_samples=dbscan[1]))
+        parts.append(DBSCAN.format(near=near.format(dbscan[0]), min_samples=dbscan[1]))
     return f"WITH {'RECURSIVE ' if dbscan else ''}{', '.join(parts)}\n{select}"
 
 
@@ -116,6 +120,10 @@ def _span(table: str, method: str) -> str:
     )
 
 
+def _elbow_values() -> str:
+    return ", ".join(f"({n}, {lon}E0, {lat}E0)" for n, (lon, lat) in enumerate(ELBOW_CENTERS, 1))
+
+
 def texts() -> dict[str, str]:
     """One SQL text per query."""
     report_columns = "mmsi, timestamp_text, latitude, longitude, sog, ship_type"
@@ -177,6 +185,10 @@ def texts() -> dict[str, str]:
         ),
         "previous_position": _with("SELECT * FROM steps"),
         "segment_distance": _with("SELECT * EXCLUDE (segment_km), round(segment_km, 6) AS segment_km FROM segments"),
+        "stored_distance": _with("SELECT mmsi, round(total_distance_km, 6) AS total_distance_km FROM distance"),
+        "history_distance": _with("SELECT mmsi, round(total_distance_km, 6) AS total_distance_km FROM distance"),
+        "history_stationary_vessels": _with("SELECT mmsi, round(total_distance_km, 6) AS total_distance_km FROM near"),
+        "cell_vessel_counts": _with("SELECT * FROM bins"),
         "fine_bins": _with(f"SELECT {stationary_columns}, lat_bin, lon_bin FROM binned"),
         "bin_vessel_counts": _with("SELECT * FROM bins"),
         "port_candidates": _with("SELECT * FROM candidates"),
@@ -197,6 +209,8 @@ def texts() -> dict[str, str]:
         ),
         "dbscan_labels": _with("SELECT * FROM labelled", dense),
         "dbscan_core_border_noise": _with("SELECT * FROM labelled", sparse),
+        "dbscan_globe": _with("SELECT * FROM labelled", (GLOBE_EPS_KM, 1), NEAR_BY_KM),
+        "dbscan_globe_roles": _with("SELECT * FROM labelled", (GLOBE_SPARSE_KM, SPARSE_MIN_SAMPLES), NEAR_BY_KM),
         "dbscan_ports": _with(
             "SELECT cluster, round(lat_bin, 6) AS lat_bin, round(lon_bin, 6) AS lon_bin, vessel_count FROM dbscan",
             dense,
@@ -240,6 +254,24 @@ def texts() -> dict[str, str]:
             CASE WHEN k = 3 THEN {three_cost} END AS wssse_of_three
             FROM (VALUES (2), (3), (4), (5), (6), (7), (8), (9)) AS t(k)"""
         ),
+        "elbow_choice": _with(
+            f"""SELECT k, round(wssse, 6) AS wssse, round(gap, 6) AS below_chord,
+                row_number() OVER (ORDER BY gap DESC, k) = 1 AS chosen
+            FROM (SELECT k, wssse, round(1 - (k - 1) / {len(ELBOW_CENTERS) - 1}.0E0
+                    - (wssse - min(wssse) OVER ()) / (max(wssse) OVER () - min(wssse) OVER ()), 12) AS gap
+                FROM (SELECT k, sum(d2) AS wssse
+                    FROM (SELECT k, m, min(power(longitude - lon, 2) + power(latitude - lat, 2)) AS d2
+                        FROM (SELECT row_number() OVER () AS m, longitude, latitude FROM stationary)
+                            CROSS JOIN (VALUES {_elbow_values()}) AS c(id, lon, lat)
+                            JOIN (SELECT unnest(range(1, {len(ELBOW_CENTERS) + 1}))::INTEGER AS k) ON id <= k
+                        GROUP BY k, m)
+                    GROUP BY k))"""
+        ),
+        "kmeans_whole_centers": _with(
+            f"""SELECT 3 AS k, prediction AS cluster_id, round(avg(longitude), 6) AS longitude,
+            round(avg(latitude), 6) AS latitude, count(*) AS messages, {three_cost} AS wssse
+            FROM assigned GROUP BY prediction"""
+        ),
         "kmeans_three_summary": _with(
             "SELECT vessel_count, round(lat_bin, 6) AS lat_bin, round(lon_bin, 6) AS lon_bin FROM summary"
         ),
