@@ -23,7 +23,7 @@ from harbor.llm.common import text_slices, trimmed
 UNKNOWN = "und"
 SAMPLE_DOCS = 128  # about as many documents of each language are fetched, and at most four times as many
 SAMPLE_PIECES, PIECE_CHARS = 20, 200  # of a longer text as many pieces, spread evenly from its begin to its end
-SAMPLE_SYMBOLS = 20_000  # symbols of each language in its automaton, about as many from each of its documents
+SAMPLE_SYMBOLS = 10_000  # symbols of each language in its automaton, about as many from each of its documents
 SYMBOLS = 64  # 0: anything but a letter; 1 to 62: the most frequent letters; 63: any other letter
 SEGMENT = 512  # symbols parsed at a stretch; a phrase ends at the end of a segment
 BATCH_BYTES = 250_000

@@ -21,7 +21,7 @@ import sentencepiece
 MARK = "▁"  # stands for a blank inside pieces
 UNIGRAM, BYTE_PAIR = 1, 2
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-REMEMBERED_PAIRS = 300_000
+REMEMBERED_PAIRS = 200_000
 PAIR = 1 << 24  # above all ids
 UNMARKED = "\ud800"  # no valid text holds it
 LINE_FEED = f" {UNMARKED}\n {UNMARKED}"  # a line feed as a word between words

@@ -5,7 +5,7 @@ from typing import Any
 
 import numpy as np
 
-REMEMBERED = 120_000  # words of a generation; two are held
+REMEMBERED = 80_000  # words of a generation; two are held
 LONGEST = 64  # longer words are forgotten after use
 
 

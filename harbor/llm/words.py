@@ -35,7 +35,7 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-KEPT_POWERS = 1 << 21
+KEPT_POWERS = 1 << 19
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
