@@ -26,7 +26,9 @@ try:  # the text operators may be absent
     import corpus_pipeline
     from harbor.llm import oracles as text_oracles
     from harbor.llm import queries as text_queries
-except ImportError:
+except ImportError as absent:
+    if not (absent.name or "").startswith(("corpus_pipeline", "harbor.llm")):  # a broken library is an error
+        raise
     corpus_pipeline = text_oracles = text_queries = None
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harbor.sources.reports import POSITION_SCHEMA
-from harbor.sources.scratch import scratch_path
+from harbor.sources.scratch import exists, scratch_path
 
 # One text for Spark and for the SQL that checks it.
 POSITIONS_SQL = """
@@ -38,14 +38,14 @@ _stored: dict[tuple[str, str], str] = {}
 
 
 def positions_table(spark: SparkSession, data_dir: str) -> DataFrame:
-    """The derived positions as a table at rest, written once per application.
+    """The derived positions as a table at rest, written once per application, and again after a release.
 
     This stands for the stored position files of real use: later scans read plain
     columns, prune them, and push filters into the file reader, where filters over
     the derivation would evaluate its long expressions many times.
     """
     key = (spark.sparkContext.applicationId, data_dir)
-    if key not in _stored:
+    if key not in _stored or not exists(spark, _stored[key]):
         path = scratch_path(spark, "positions")
         positions_from_events(spark, data_dir).write.parquet(path)
         _stored[key] = path

@@ -30,6 +30,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a written table is still there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 FILES_PER_CORE = 2  # of a table of few files
 
 

@@ -65,3 +65,19 @@ def test_release(spark, monkeypatch):
     path = materialize(spark.range(3), "test").inputFiles()[0]
     assert "harbor-release-test" in path
     assert scratch.release(spark) and not scratch.release(spark)
+
+
+def test_positions_are_written_again_after_a_release(spark):
+    from harbor.sources import events
+
+    folder = "/root/testdata/sf0.001"
+    before = events.positions_table(spark, folder).count()
+    scratch.release(spark)
+    assert events.positions_table(spark, folder).count() == before > 0
+
+
+def test_few_files(spark):
+    table = spark.range(10_000).repartition(200, "id")
+    assert len(materialize(table, "many").inputFiles()) == 200
+    few = materialize(table, "few", few=True)
+    assert len(few.inputFiles()) <= max(8, 2 * spark.sparkContext.defaultParallelism) and few.count() == 10_000
