@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harbor.llm import decontamination, language_id, sentencepieces
-from harbor.llm.common import table
+from harbor.llm.common import free_name, table
 from harbor.llm.exact_dedup import drop_exact_duplicates
 from harbor.llm.near_dedup import drop_near_duplicates
 from harbor.sources.scratch import materialize
@@ -24,14 +24,15 @@ HELD_OUT = 2  # fold of documents that language ID never learns from
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and texts without a letter."""
+    """Documents without a language go: null texts and texts without a letter. Columns of any name stay as they are."""
     model = language_id.fit_languages(docs.filter(language_id.part_of(F.col("doc_id")) != HELD_OUT))
-    predicted = language_id.predict_languages(docs, model, label="__language", score="__certainty")
-    return predicted.filter(F.col("__language") != language_id.UNKNOWN).select(*docs.columns)
+    label, score = free_name(docs, "language"), free_name(docs, "certainty")
+    predicted = language_id.predict_languages(docs, model, label=label, score=score)
+    return predicted.filter(F.col(label) != language_id.UNKNOWN).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays, the one with the largest id."""
+    """One row of each group of equal texts stays, the one with the largest id. Null texts are empty; no rows, no result."""
     return drop_exact_duplicates(docs)
 
 

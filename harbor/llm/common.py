@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from harbor.sources.scratch import materialize
 
-ROW = "__harbor_row"  # no column of a table is called so
+ROW = "__harbor_row"
+GIVEN_HERE = {"harbor": "row number"}  # marks the column, so that one of a table's own is told from it
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,9 +25,18 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def has_rows(df: DataFrame) -> bool:
+    """Whether the rows have numbers. A table with a column of its own under that name is refused."""
+    if ROW not in df.columns:
+        return False
+    if df.schema[ROW].metadata != GIVEN_HERE:
+        raise ValueError(f"the table has a column {ROW} of its own")
+    return True
+
+
 def with_row(df: DataFrame) -> DataFrame:
     """Number the rows, within one pass."""
-    return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
+    return df if has_rows(df) else df.withColumn(ROW, F.monotonically_increasing_id().alias(ROW, metadata=GIVEN_HERE))
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -34,7 +44,14 @@ def numbered(df: DataFrame) -> DataFrame:
 
     A second scan of the same files may cut them elsewhere and number the rows anew.
     """
-    return df if ROW in df.columns else materialize(with_row(df), "numbered")
+    return df if has_rows(df) else materialize(with_row(df), "numbered")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer where the table has such a column."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 SLICE_BYTES = 1_000_000  # text that is worked on at once

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harbor.llm.common import ROW, numbered, text_slices, trimmed, whole_text, with_row
+from harbor.llm.common import ROW, has_rows, numbered, text_slices, trimmed, whole_text, with_row
 from harbor.llm.dart_minhash import bands, in_parts
 from harbor.llm.words import shingles, words_of
 from harbor.operators.components import connected_components
@@ -122,7 +122,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     A null text is empty; a null id comes after all others. An empty table gives no rows.
     """
     texts = with_row(docs).select(ROW, F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    texts = texts if ROW in docs.columns else materialize(texts, "numbered")
+    texts = texts if has_rows(docs) else materialize(texts, "numbered")
     keyed = texts.select(ROW, "doc_id", F.unhex(F.sha2("text", 256)).alias("key"), "text")
     signed = materialize(band_keys(keyed), "signed")
     nodes = materialize(signed.groupBy("key").agg(F.min(ROW).alias("node")), "nodes", few=True)
@@ -136,7 +136,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     candidates = materialize(members.select("node").distinct(), "candidates", few=True)
     sets = texts.select(F.col(ROW).alias("node"), "text").join(candidates, "node", "left_semi")
     sets = materialize(shingle_sets(sets), "sets")
-    if ROW not in docs.columns:
+    if not has_rows(docs):
         discard(texts)
 
     together = members.filter("node <> head").groupBy("node", "head").agg(F.count("*").alias("n"))

@@ -20,8 +20,8 @@ def recut(spark, monkeypatch):
     before = spark.conf.get(SPLIT)
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
 
-    def written(df, name):
-        out = materialize(df, name)
+    def written(df, name, **options):
+        out = materialize(df, name, **options)
         spark.conf.set(SPLIT, str(next(sizes)))
         return out
 
@@ -56,3 +56,18 @@ def test_numbers_come_from_written_tables(spark, tmp_path):
     rows = common.numbered(spark.read.parquet(path))
     assert not any(file.startswith(f"file:{path}") for file in rows.inputFiles())
     assert "monotonically_increasing_id" not in rows._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_exact_duplicates, near_dedup.drop_near_duplicates])
+def test_a_column_of_that_name_is_refused(spark, drop):
+    """Two equal rows that claim one number would both stay."""
+    docs = documents(spark, [(1, "same text", "en"), (2, "same text", "en")])
+    with pytest.raises(ValueError, match=ROW):
+        drop(docs.selectExpr("*", f"7L AS {ROW}"))
+    assert drop(docs).count() == 1
+
+
+def test_columns_of_any_name_pass_the_language_stage(spark):
+    docs = documents(spark, [(1, "some words in a text", "en"), (2, "12 34", "en")]).selectExpr("*", "1 AS language", "2 AS certainty", "3 AS language_")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns and rows_of(kept, "doc_id", "language", "certainty", "language_") == [(1, 1, 2, 3)]
