@@ -149,7 +149,7 @@ def _lone(each: DataFrame) -> DataFrame:
 def _hopeful(signed: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes that step 1 leaves: node, key, size, text_hash."""
     copies = signed.select(ROW, "key").join(nodes.select("key", "node"), "key").filter(F.col(ROW) != F.col("node")).select(ROW)
-    single = signed.filter("n_shingles > 0").join(copies, ROW, "left_anti").withColumnRenamed(ROW, "node")
+    single = signed.filter("n_shingles > 0").join(materialize(copies, "copies", few=True), ROW, "left_anti").withColumnRenamed(ROW, "node")
     lone = _lone(single.select("node", F.explode("shown").alias("shingle")))
     sizes = single.select("node", "key", "text_hash", F.col("n_shingles").alias("size"), F.size("shown").alias("n_shown"))
     enough = F.expr(f"n_shown - coalesce(lone, 0) >= {LEAST_COMMON} div {WITNESSES} + 1")
@@ -164,6 +164,7 @@ def ranked_sets(sets: DataFrame) -> DataFrame:
     each = sets.select("node", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
     order = common.orderBy("n", "shingle").select("shingle", F.monotonically_increasing_id().alias("rank"))
+    order = materialize(order, "order", few=True)
     ranks = each.join(order, "shingle").groupBy("node").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
     ranked = sets.select("node", "size").join(ranks, "node").select("node", "size", F.size("ranks").alias("n_shared"), "ranks")
     return materialize(ranked.filter(f"n_shared >= {LEAST_COMMON}"), "ranked", few=True)
