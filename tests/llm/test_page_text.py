@@ -1,6 +1,7 @@
 """Pages whose article is known."""
 
 import random
+import time
 
 import pytest
 
@@ -107,3 +108,65 @@ def test_whole_articles_of_several_parts(spark):
     whole = "\n".join([intro, *body])
     expected = [whole, whole, f"Title\n{whole}", whole, f"Title\n{whole}"]
     assert found == {10 * n + k: text for n, text in enumerate(expected) for k in range(3)}
+
+
+def own(html):
+    return page_text.main_text(page_text.parse(html), None)
+
+
+LONG = ["A first paragraph of the article, long enough to be running text.", "It's the second one, don't lose it, of the same article's plain text."]
+
+
+def test_quotes_open_values_after_equals_signs_only():
+    for tag in ("<p title=don't>", "<p don't x='y>z'>", "<p title=\"a>b\">", "<p a = 'x' \"b>"):
+        assert own(f"<article><p>{LONG[0]}</p>{tag}{LONG[1]}</p></article>").endswith(LONG[1])
+    assert own(f"<article><a title=Bob's>x</a><p>{LONG[0]}</p><p>{LONG[1]}</p></article>") == "\n".join(["x", *LONG])
+
+
+@pytest.mark.parametrize("name", ["discussion", "alert", "search-results", "form-group", "social-history", "related-work", "menu-of-the-day", "comments-on-law"])
+def test_names_of_sections_drop_no_text_of_the_article(name):
+    for around in ("main", "article"):
+        html = f'<body><{around}><p>{LONG[0]}</p><section class="{name}"><p>{LONG[1]}</p><p><a href="/x">more about ships</a></p></section></{around}></body>'
+        assert own(html) == "\n".join(LONG)
+    assert own(f'<body><article><p>{LONG[0]}</p></article><div class="{name}"><p>{LONG[1]}</p></div></body>') == LONG[0]
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "ad", "related", "newsletter-box", "sidebar", "breadcrumbs", "share-buttons sharing"])
+def test_names_of_other_boxes_do(name):
+    assert own(f'<body><article><p>{LONG[0]}</p><div class="{name}"><p>{LONG[1]}</p></div></article></body>') == LONG[0]
+    assert own(f'<body><article><p>{LONG[0]}</p><div role="search"><p>{LONG[1]}</p></div></article></body>') == LONG[0]
+
+
+def test_large_pages_take_linear_time():
+    pages = [
+        "<div>" * 1000 + "<p>some words of a paragraph</p>" * 20_000, "<b>" * 8000 + "<p>x y</p>" * 8000, "<div>" * 100_000 + "deep" + "</div>" * 100_000,
+        "<p>x<div>" * 20_000, "<a><b>" * 5000 + "text</a>" * 5000, "<ul><li>x" * 20_000, "<table><tr><td>y" * 10_000,
+    ]
+    for html in pages:
+        before = time.process_time()
+        page = page_text.parse(html)
+        choice = page_text.chosen_container(page)
+        page_text.on_path(page, page_text.path_of(page, choice))
+        assert page_text.main_text(page, None)
+        assert time.process_time() - before < 10
+
+
+def plain_path(page, n):
+    """The path of an element by its definition."""
+    element = page.elements[n]
+    return (plain_path(page, element.parent) + "/" if element.parent >= 0 else "") + element.label
+
+
+def test_paths_and_containers_by_definition():
+    rng = random.Random(9)
+    names = ["", ' class="a/b"', " class='c a/b'", ' class="x1 y"', ' class="menu"']
+    for _ in range(60):
+        html = "".join(
+            rng.choice([f"<{tag}{rng.choice(names)}>", f"</{tag}>", sentence(rng, rng.randint(1, 12))])
+            for tag in rng.choices(["div", "p", "section", "article", "a", "main", "b", "li", "ul"], k=40)
+        )
+        page = page_text.parse(html)
+        all_paths = [plain_path(page, n) for n in range(len(page.elements))]
+        for n, path in enumerate(all_paths):
+            assert page_text.path_of(page, n) == path
+            assert page_text.on_path(page, path) == [m for m, other in enumerate(all_paths) if other == path]
