@@ -77,8 +77,27 @@ def _trim() -> Callable[[int], int] | None:
         return None
 
 
-def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; after each of them the worker returns the memory that it has freed."""
+_kept: dict[str, Callable[[], None]] = {}
+_owner: list[str] = []
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Name what a worker keeps between tasks of an operator, and what lets go of it."""
+    _kept[owner] = forget
+
+
+def _work_for(owner: str) -> None:
+    """A worker that turns to another operator lets go of what it kept for others."""
+    if _owner != [owner]:
+        _owner[:] = [owner]
+        for other, forget in _kept.items():
+            if other != owner:
+                forget()
+
+
+def trimmed(batches: Iterator[pa.RecordBatch], owner: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches of an operator; after each of them the worker returns the memory that it has freed."""
+    _work_for(owner)
     for batch in batches:
         yield batch
         del batch

@@ -121,7 +121,7 @@ def template_windows(rows: DataFrame, sizes: tuple[int, ...] | None, known: np.n
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _holder(shipped.value if shipped else None)
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, "words"):
             keys, texts = np.asarray(batch.column(0)), batch.column(1)
             for a, b in text_slices(texts, BATCH_BYTES):
                 words, template, own = templates(texts.slice(a, b - a).to_pylist(), units)

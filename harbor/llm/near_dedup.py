@@ -48,7 +48,7 @@ def band_keys(rows: DataFrame) -> DataFrame:
     """``rows`` with ``text`` replaced by ``bands`` and ``sketch`` of its signature; a text without words has no bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, "words"):
             texts = batch.column(batch.num_columns - 1)
             for a, b in text_slices(texts, BATCH_BYTES):
                 doc, found = text_shingles(texts.slice(a, b - a).to_pylist())
@@ -69,7 +69,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     """``rows(node, text)`` as node, shingles."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, "words"):
             texts = batch.column(1)
             for a, b in text_slices(texts, BATCH_BYTES):
                 doc, found = text_shingles(texts.slice(a, b - a).to_pylist())

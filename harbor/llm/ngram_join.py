@@ -108,7 +108,7 @@ def signed_rows(rows: DataFrame) -> DataFrame:
     """``rows(row, doc_id, text_hash, text)`` with the size of the set, its name and its first elements by hash."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, "words"):
             for a, b in text_slices(batch.column(3)):
                 docs, found = shingle_sets(batch.column(3).slice(a, b - a))
                 sizes = np.bincount(docs, minlength=b - a)
@@ -126,7 +126,7 @@ def whole_sets(texts: DataFrame) -> DataFrame:
     """key and shingles of the distinct sets of ``texts(text)``; what repeats within a part comes once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, "words"):
             for a, b in text_slices(batch.column(0)):
                 docs, found = shingle_sets(batch.column(0).slice(a, b - a).unique())
                 sizes = np.bincount(docs, minlength=1)
@@ -221,7 +221,7 @@ def segments(ranked: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits = np.array(cuts, np.int64)
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, "words"):
             ranks, sizes = np.asarray(batch.column(1).flatten()), np.asarray(batch.column(1).value_lengths())
             row = np.repeat(np.arange(batch.num_rows), sizes)
             fragment = np.searchsorted(limits, ranks, "right")

@@ -329,7 +329,7 @@ def periodic_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     kinds = [("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, "words"):
             ids = batch.column(0).to_pylist()
             for a, b in text_slices(batch.column(1)):
                 words, counts = _words(batch.column(1).slice(a, b - a))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harbor.llm.common import text_slices, trimmed, whole_text
+from harbor.llm.common import keeps, text_slices, trimmed, whole_text
 from harbor.llm.pieces import PieceModel, piece_model
 from harbor.llm.recent import RecentWords
 
@@ -40,6 +40,7 @@ class WordIds:
 
 
 _encoders: dict[str, WordIds] = {}
+keeps("pieces", lambda: (_encoders.clear(), piece_model.cache_clear()))
 
 
 def word_ids(path: str) -> WordIds:
@@ -62,7 +63,7 @@ def encode_texts(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pieces = word_ids(model), piece_model(model)
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, "pieces"):
             for a, b in text_slices(batch.column(1)):
                 ids, ends = encoder.in_a_row(batch.column(1).slice(a, b - a).to_pylist())
                 lists = [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]

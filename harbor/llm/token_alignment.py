@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harbor.llm.common import text_slices, trimmed, whole_text
+from harbor.llm.common import keeps, text_slices, trimmed, whole_text
 from harbor.llm.token_store import byte_characters
 from harbor.sources.scratch import materialize
 
@@ -219,6 +219,7 @@ def _joined(parts: pa.Array, sizes: np.ndarray, between: str) -> pa.Array:
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
+keeps("alignment", _aligners.clear)
 
 
 def aligner(byte_tokenizer: str, piece_model: str) -> Aligner:
@@ -363,7 +364,7 @@ def alignment_index(docs: DataFrame, byte_tokenizer: str, piece_model: str, doc_
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, block = aligner(byte_tokenizer, piece_model), Block()
         number = TaskContext.get().partitionId() << 33
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, "alignment"):
             for a, b in text_slices(batch.column(1)):
                 for c in range(a, b, BLOCK_DOCS // 2):
                     d = min(b, c + BLOCK_DOCS // 2)
@@ -473,7 +474,7 @@ def aligned_groups(docs: DataFrame, byte_tokenizer: str, piece_model: str, doc_i
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = aligner(byte_tokenizer, piece_model)
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, "alignment"):
             for a, b in text_slices(batch.column(1)):
                 groups = align_texts(by, batch.column(1).slice(a, b - a).to_pylist()).groups
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), groups], ["doc_id", "groups"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harbor.llm.common import text_slices, trimmed, whole_text
+from harbor.llm.common import keeps, text_slices, trimmed, whole_text
 from harbor.llm.pieces import PieceModel, piece_model
 from harbor.llm.recent import RecentWords
 
@@ -59,6 +59,7 @@ class PrefixCounts:
 
 
 _counters: dict[str, PrefixCounts] = {}
+keeps("counts", lambda: (_counters.clear(), piece_model.cache_clear()))
 
 
 def prefix_counter(path: str) -> PrefixCounts:
@@ -81,7 +82,7 @@ def count_tokens(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(model)
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, "counts"):
             totals, cuts, prefix_counts = [], [], []
             for a, b in text_slices(batch.column(1)):
                 texts = batch.column(1).slice(a, b - a).to_pylist()

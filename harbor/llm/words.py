@@ -10,6 +10,8 @@ from functools import cache
 
 import numpy as np
 
+from harbor.llm.common import keeps
+
 SPACE, DIGIT, LETTER, UPPER = 1, 2, 4, 8
 FACTOR = 0x9E3779B97F4A7C15 | 1  # any odd number has an inverse modulo 2 ** 64
 INVERSE = pow(FACTOR, -1, 1 << 64)
@@ -48,6 +50,9 @@ def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
     return _new_powers(KEPT_POWERS)
 
 
+keeps("words", _kept_powers.cache_clear)
+
+
 def _new_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (FACTOR, INVERSE):

@@ -71,3 +71,16 @@ def test_columns_of_any_name_pass_the_language_stage(spark):
     docs = documents(spark, [(1, "some words in a text", "en"), (2, "12 34", "en")]).selectExpr("*", "1 AS language", "2 AS certainty", "3 AS language_")
     kept = corpus_pipeline.identify_language(spark, docs, "")
     assert kept.columns == docs.columns and rows_of(kept, "doc_id", "language", "certainty", "language_") == [(1, 1, 2, 3)]
+
+
+def test_workers_let_go_of_what_other_operators_kept():
+    from harbor.llm import sentencepieces, words
+
+    encoder = sentencepieces.word_ids(queries.PIECE_BPE)
+    list(common.trimmed(iter(()), "pieces"))
+    assert sentencepieces.word_ids(queries.PIECE_BPE) is encoder
+    words.powers(10)
+    list(common.trimmed(iter(()), "words"))
+    assert sentencepieces.word_ids(queries.PIECE_BPE) is not encoder and words._kept_powers.cache_info().currsize == 1
+    list(common.trimmed(iter(()), "pieces"))
+    assert words._kept_powers.cache_info().currsize == 0
