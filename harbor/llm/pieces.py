@@ -89,7 +89,8 @@ class PieceModel:
         self.by_line = not any("\n" in piece for piece in self.piece_id)
         self.automaton = ahocorasick.Automaton()
         for piece, number in self.piece_id.items():
-            self.automaton.add_word(piece, number)
+            if self.kind == UNIGRAM or len(piece) > 1:  # merging leaves a character alone only where no longer piece ends
+                self.automaton.add_word(piece, number)
         self.automaton.make_automaton()
         self.apart: dict[int, bool] = {}
 
@@ -119,12 +120,15 @@ class PieceModel:
         known = self.apart[left * PAIR + token] = self.merged("".join(parts)) == parts
         return known
 
-    def lattice(self, word: str) -> tuple[list[int], list[int]]:
-        """For every prefix of ``word``, by its length: its last token and its number of tokens."""
-        return self._merge_lattice(word) if self.kind == BYTE_PAIR else self._score_lattice(word)
+    def lattice(self, word: str, every: bool = True) -> tuple[list[int], list[int]]:
+        """For every prefix of ``word``, by its length: its last token and its number of tokens.
 
-    def _merge_lattice(self, word: str) -> tuple[list[int], list[int]]:
-        size, known, length = len(word), self.apart, self.length
+        Without ``every``, prefixes that the whole word does not build on may be left out.
+        """
+        return self._merge_lattice(word, every) if self.kind == BYTE_PAIR else self._score_lattice(word)
+
+    def _merge_lattice(self, word: str, every: bool) -> tuple[list[int], list[int]]:
+        size, known, length = len(word), self.apart.get, self.length
         last, count = [0] * (size + 1), [0] * (size + 1)
         for at, token in self.automaton.iter(word):  # by place, longer pieces first
             end = at + 1
@@ -135,23 +139,33 @@ class PieceModel:
             if begin and not left:
                 self._fill(word, begin, last, count)
                 left = last[begin]
-            apart = known.get(left * PAIR + token)
+            apart = known(left * PAIR + token)
             if apart is None:
                 apart = self._apart(left, token)
             if apart:
                 last[end] = token
                 count[end] = count[begin] + 1
-        if not last[size]:
+        if size and not last[size]:
             self._fill(word, size, last, count)
+        while every and 0 in last[1:]:
+            self._fill(word, last.index(0, 1), last, count)
         return last, count
 
-    @staticmethod
-    def _fill(word: str, end: int, last: list[int], count: list[int]) -> None:
-        """Prefixes up to ``end`` that no piece ends have a character outside the vocabulary last, written as its bytes."""
-        for place in range(1, end + 1):
-            if not last[place]:
-                char = word[place - 1]
+    def _fill(self, word: str, end: int, last: list[int], count: list[int]) -> None:
+        """Prefixes up to ``end`` that no longer piece ends have a single character last, by its id or, outside the vocabulary, as its bytes.
+
+        Every prefix has one path, so nothing needs to be tried.
+        """
+        place = end
+        while place > 1 and not last[place - 1]:
+            place -= 1
+        for place in range(place, end + 1):
+            char = word[place - 1]
+            token = self.piece_id.get(char)
+            if token is None:
                 last[place], count[place] = -1 - ord(char), count[place - 1] + len(char.encode())
+            else:
+                last[place], count[place] = token, count[place - 1] + 1
 
     def _score_lattice(self, word: str) -> tuple[list[int], list[int]]:
         size, length, score = len(word), self.length, self.score
@@ -182,7 +196,7 @@ class PieceModel:
 
     def word_ids(self, word: str) -> list[int]:
         """The ids of a word as it stands in the marked text."""
-        last, _ = self.lattice(word)
+        last, _ = self.lattice(word, every=False)
         out: list[int] = []
         end = len(word)
         while end:
