@@ -88,10 +88,13 @@ class PieceModel:
         self.by_word = not any(MARK in piece.lstrip(MARK) for piece in self.piece_id)
         self.by_line = not any("\n" in piece for piece in self.piece_id)
         self.automaton = ahocorasick.Automaton()
+        self.longer = ahocorasick.Automaton()  # without single characters: merging leaves one alone only where no longer piece ends
         for piece, number in self.piece_id.items():
-            if self.kind == UNIGRAM or len(piece) > 1:  # merging leaves a character alone only where no longer piece ends
-                self.automaton.add_word(piece, number)
+            self.automaton.add_word(piece, number)
+            if len(piece) > 1:
+                self.longer.add_word(piece, number)
         self.automaton.make_automaton()
+        self.longer.make_automaton()
         self.apart: dict[int, bool] = {}
 
     # Characters outside the vocabulary are held as -1 - ord: below all ids, and none is 0.
@@ -130,7 +133,7 @@ class PieceModel:
     def _merge_lattice(self, word: str, every: bool) -> tuple[list[int], list[int]]:
         size, known, length = len(word), self.apart.get, self.length
         last, count = [0] * (size + 1), [0] * (size + 1)
-        for at, token in self.automaton.iter(word):  # by place, longer pieces first
+        for at, token in (self.automaton if every else self.longer).iter(word):  # by place, longer pieces first
             end = at + 1
             if last[end]:
                 continue
@@ -147,8 +150,6 @@ class PieceModel:
                 count[end] = count[begin] + 1
         if size and not last[size]:
             self._fill(word, size, last, count)
-        while every and 0 in last[1:]:
-            self._fill(word, last.index(0, 1), last, count)
         return last, count
 
     def _fill(self, word: str, end: int, last: list[int], count: list[int]) -> None:
