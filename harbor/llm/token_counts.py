@@ -21,12 +21,15 @@ from harbor.llm.pieces import PieceModel, piece_model
 from harbor.llm.recent import RecentWords
 
 
+REMEMBERED_TABLES = 80_000  # words of a generation; a table is larger than the ids of a word
+
+
 class PrefixCounts:
     """Tables of prefix counts of words, the recent ones remembered."""
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.words = RecentWords(lambda words: [array("i", model.lattice(model.marked(word))[1]) for word in words])
+        self.words = RecentWords(lambda words: [array("i", model.lattice(model.marked(word))[1]) for word in words], REMEMBERED_TABLES)
 
     def totals(self, texts: list[str]) -> tuple[np.ndarray, Callable[[int], list[array]]]:
         """The number of tokens of each text, and what gives the tables of one of them."""
