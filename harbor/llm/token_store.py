@@ -10,19 +10,20 @@ reads the pages of those rows only, and a read of ``n_tokens`` touches no id.
 import json
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harbor.llm.common import whole_text
-from harbor.llm.recent import RecentWords
+from harbor.llm.common import text_slices, whole_text
+from harbor.llm.recent import KnownRows, in_rows
 
 STORE_SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
 LAYOUT = {
@@ -36,13 +37,15 @@ LAYOUT = {
     "parquet.enable.dictionary#first": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-BATCH_CHARS = 1_000_000  # text encoded at once
+BATCH_BYTES = 2_000_000  # text encoded at once
+ROW_PARTS = 256  # parts of words given to the library in a row
+BETWEEN = b"\xff"  # between them; no UTF-8 has this byte
 
 
 # Fixed value: how byte-level tokenizers split a text before merging.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-LATIN_END = "\u0250"  # below it the classes of characters are the same in every Unicode version
+ABOVE_LATIN = "[^\\x{0}-\\x{24F}]"  # up to there the classes of characters are the same in every Unicode version
 
 
 def byte_characters() -> dict[int, str]:
@@ -53,58 +56,109 @@ def byte_characters() -> dict[int, str]:
 
 
 class TextEncoder:
-    """Ids of whole texts by the tokenizers library, as little-endian 32-bit integers.
+    """Ids of whole texts by the tokenizers library.
 
     A byte-level tokenizer never joins across a single blank: the blank begins the
-    next word. Words, and the parts that they are split into before merging, are then
-    encoded by the library once and remembered. Texts with two blanks in a row or with
-    an added token, and all texts of other kinds of tokenizers, are given to the
-    library whole.
+    next word. Words are then encoded by the library once and remembered: new ones are
+    split into parts as before merging, and many different parts go through the library's
+    model in a row. Texts with two blanks in a row or with an added token, and all texts
+    of other kinds of tokenizers, are given to the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         described = json.loads(self.tokenizer.to_str())
         splitter = described.get("pre_tokenizer") or {}
+        self.characters = byte_characters()
+        entries = self.tokenizer.get_vocab()
         self.by_word = (
             described.get("normalizer") is None
             and described["model"]["type"] == "BPE"
             and splitter.get("type") == "ByteLevel"
             and splitter.get("use_regex", True)
             and not splitter.get("add_prefix_space", True)
+            and set(self.characters.values()) <= entries.keys()
         )
         self.whole = ["  "] + [token["content"] for token in described.get("added_tokens", [])]
         self.split = regex.compile(BYTE_LEVEL_SPLIT).findall
-        self.characters = byte_characters()
-        self.words = RecentWords(self._word_ids)
-        self.parts = RecentWords(self._part_ids)
+        # The model alone, on parts that are spelled in byte characters already; none of these is a blank.
+        self.merging = Tokenizer(self.tokenizer.model)
+        self.merging.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.spelling = self.characters | {BETWEEN[0]: " "}
+        self.bytes = np.zeros(max(entries.values()) + 1, np.int64)
+        for entry, number in entries.items():
+            self.bytes[number] = len(entry)
+        self.words = KnownRows(self._word_ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        ids, ends = self.in_a_row(pa.array(texts, pa.string()))
+        return [ids[begin:end].astype("<i4").tobytes() for begin, end in zip(ends[:-1], ends[1:], strict=True)]
+
+    def in_a_row(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where those of each text end, from 0 on."""
         if not self.by_word:
-            return self._library(texts)
-        split = [None if any(mark in text for mark in self.whole) else text.split(" ") for text in texts]
-        wholes = iter(self._library([text for text, words in zip(texts, split, strict=True) if words is None]))
-        firsts = iter(self._library([words[0] for words in split if words is not None]))
-        rests = iter(self.words.of([words[1:] for words in split if words is not None]))
-        return [next(wholes) if words is None else next(firsts) + b"".join(next(rests)) for words in split]
-
-    def _word_ids(self, words: list[str]) -> list[bytes]:
+            ids, sizes = self._library(texts.to_pylist())
+            return ids, np.append(0, np.cumsum(sizes))
+        whole = reduce(pc.or_, [pc.match_substring(texts, mark) for mark in self.whole])
+        plain = texts.filter(pc.invert(whole))
+        split = pc.split_pattern(plain, " ")
+        words, starts = split.values, np.asarray(split.offsets)[:-1]
+        after = np.ones(len(words), bool)
+        after[starts] = False
+        coded = words.filter(pa.array(after)).dictionary_encode()
+        places = self.words.of(coded.dictionary)
+        alone, sizes_alone = self._library(words.take(pa.array(starts)).to_pylist() + texts.filter(whole).to_pylist())
+        # Rows: words after a blank, first words of texts, whole texts.
+        values = np.concatenate([self.words.values, alone])
+        begins = np.concatenate([self.words.begins[places], len(self.words.values) + np.cumsum(sizes_alone) - sizes_alone])
+        sizes = np.concatenate([self.words.sizes[places], sizes_alone])
+        rows, of_whole = np.empty(len(words), np.int64), np.asarray(whole)
+        rows[after] = np.asarray(coded.indices)
+        rows[starts] = len(places) + np.arange(len(plain))
+        counts = np.ones(len(texts), np.int64)
+        counts[~of_whole] = np.diff(np.asarray(split.offsets))
+        last = np.cumsum(counts)
+        order = np.empty(int(last[-1]) if len(last) else 0, np.int64)
+        in_plain = np.repeat(~of_whole, counts)
+        order[in_plain] = rows
+        order[~in_plain] = len(places) + len(plain) + np.arange(len(texts) - len(plain))
+        each = sizes[order]
+        return in_rows(values, begins[order], each), np.append(0, np.cumsum(each))[np.append(0, last)]
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words after a blank."""
-        plain = [word.isascii() or max(word) < LATIN_END for word in words]
-        others = iter(self._library([" " + word for word, own in zip(words, plain, strict=True) if not own]))
-        parts, ends = [], []
-        for word, own in zip(words, plain, strict=True):
-            if own:
-                parts += self._parts(word)
-            ends.append(len(parts))
-        [ids] = self.parts.of([parts])
-        begins = [0, *ends]
-        return [
-            b"".join(ids[a:b]) if own else next(others) for a, b, own in zip(begins, ends, plain, strict=False)
-        ]
+        letters = pc.utf8_rtrim(words, PUNCTUATION)
+        known = pc.invert(pc.match_substring_regex(words, ABOVE_LATIN))
+        simple = pc.and_(known, pc.and_(pc.utf8_is_alpha(letters), pc.equal(pc.binary_length(letters), pc.binary_length(words))))
+        counts, parts = np.ones(len(words), np.int64), []
+        others = np.flatnonzero(~np.asarray(simple))
+        for at, word, own in zip(others.tolist(), words.take(pa.array(others)).to_pylist(), np.asarray(known)[others].tolist(), strict=True):
+            found = self._parts(word) if own else []
+            parts += found
+            counts[at] = len(found)
+        # Parts of words in order; a word with characters above those classes is given to the library whole.
+        known = np.asarray(known)
+        single = np.repeat(np.asarray(simple), counts)
+        order = np.empty(len(single), np.int64)
+        order[single] = np.arange(np.count_nonzero(single))
+        order[~single] = np.count_nonzero(single) + np.arange(len(parts))
+        listed = pc.binary_join_element_wise("", words.filter(simple), " ")
+        coded = pa.concat_arrays([listed, pa.array(parts, pa.string())]).dictionary_encode()
+        values, sizes = self._part_ids(coded.dictionary)
+        alone, sizes_alone = self._library(pc.binary_join_element_wise("", words.filter(pa.array(~known)), " ").to_pylist())
+        begins = np.concatenate([np.cumsum(sizes) - sizes, len(values) + np.cumsum(sizes_alone) - sizes_alone])
+        sizes = np.concatenate([sizes, sizes_alone])
+        rows = np.empty(len(order) + len(sizes_alone), np.int64)
+        with_parts = np.repeat(known, np.maximum(counts, 1))
+        rows[with_parts] = np.asarray(coded.indices)[order]
+        rows[~with_parts] = len(coded.dictionary) + np.arange(len(sizes_alone))
+        each = sizes[rows]
+        ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(np.maximum(counts, 1)))]
+        return in_rows(np.concatenate([values, alone]), begins[rows], each), np.diff(ends)
 
     def _parts(self, word: str) -> list[str]:
         """A blank and ``word`` as they are split before merging; letters, and punctuation after them, by themselves."""
@@ -113,14 +167,20 @@ class TextEncoder:
             return [" " + word] if len(letters) == len(word) else [" " + letters, word[len(letters) :]]
         return self.split(" " + word)
 
-    def _part_ids(self, parts: list[str]) -> list[bytes]:
-        merge, characters = self.tokenizer.model.tokenize, self.characters
-        spelled = [part.encode().decode("latin-1").translate(characters) for part in parts]
-        return [array("I", [token.id for token in merge(part)]).tobytes() for part in spelled]
+    def _part_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, many in one call; the bytes of the ids tell where each part ends."""
+        rows = pa.ListArray.from_arrays(pa.array([*range(0, len(parts), ROW_PARTS), len(parts)], pa.int32()), parts.cast(pa.binary()))
+        spelled = [row.decode("latin-1").translate(self.spelling) for row in pc.binary_join(rows, BETWEEN).to_pylist()]
+        encoded = [one.ids for one in self.merging.encode_batch_fast(spelled, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(encoded), np.int32, sum(map(len, encoded)))
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(np.asarray(pc.binary_length(parts)))) + 1
+        return ids, np.diff(ends, prepend=0)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [array("I", one.ids).tobytes() for one in encoded]
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many are of each."""
+        encoded = [one.ids for one in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        return np.fromiter(chain.from_iterable(encoded), np.int32, int(sizes.sum())), sizes
 
 
 @cache
@@ -129,18 +189,6 @@ def text_encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def slices(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``chars`` characters together, at least one text each."""
-    begin, size = 0, 0
-    for at, text in enumerate(texts):
-        size += len(text)
-        if size >= chars:
-            yield begin, at + 1
-            begin, size = at + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of a store: ids of every whole text and ``end_id``, ranges of documents in ascending order.
 
@@ -151,22 +199,19 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str =
         ("doc_id", pa.int64()), ("part", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()),
         ("ids", pa.list_(pa.int32())),
     ])
-    end = array("I", [end_id]).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, first = text_encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                lists = [ids + end for ids in encoder.encode(texts[a:b])]
-                counts = np.array([len(ids) // 4 for ids in lists], np.int64)
-                ends = np.cumsum(counts)
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
-                ids = np.frombuffer(b"".join(lists), np.int32)
+            for a, b in text_slices(batch.column(1), BATCH_BYTES):
+                found, ends = encoder.in_a_row(batch.column(1).slice(a, b - a))
+                ids = np.insert(found, ends[1:], end_id)
+                ends = ends + np.arange(b - a + 1)
+                counts = np.diff(ends)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)),
-                    pa.array(first + ends - counts), pa.array(counts),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
+                    pa.array(first + ends[:-1]), pa.array(counts),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
                 ], schema=schema)
                 first += int(ends[-1])
 

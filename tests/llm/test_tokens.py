@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 from harbor.llm import sentencepieces, token_counts, token_store
 from harbor.llm.pieces import MARK, PieceModel, piece_model
 from harbor.llm.queries import BYTE_BPE, END_ID, PIECE_BPE
+from harbor.llm.recent import KnownRows, in_rows
 from harbor.sources.scratch import scratch_path
 from pyspark.sql import functions as F
 from tests.llm.tables import AWKWARD, documents, rows_of
@@ -35,6 +37,41 @@ def test_byte_ids_equal_the_library():
     assert [list(array("I", one)) for one in ids] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_new_words_are_encoded_in_rows():
+    encoder = token_store.TextEncoder(BYTE_BPE)
+    words, rows = [f"w{n}x, é{n}" for n in range(5_000)], []
+    library = encoder.merging
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            rows.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.merging = Counted()
+    for _ in range(2):
+        [ids] = encoder.encode([" ".join(words)])
+        assert list(array("I", ids)) == Tokenizer.from_file(BYTE_BPE).encode(" ".join(words), add_special_tokens=False).ids
+    assert 0 < len(rows) < len(words) / 50
+
+
+def test_words_that_come_back_stay():
+    made = []
+
+    def make(words):
+        made.extend(words.to_pylist())
+        sizes = np.array([len(word) for word in words.to_pylist()], np.int64)
+        return np.concatenate([np.frombuffer(word.encode(), np.uint8) for word in words.to_pylist()]).astype(np.int32), sizes
+
+    known, rng = KnownRows(make, 50), random.Random(4)
+    for number in range(60):
+        words = ["the", "of", *{f"{number}-{rng.randint(0, 99)}" for _ in range(20)}, "x" * rng.randint(100, 900)]
+        places = known.of(pa.array(words))
+        joined = in_rows(known.values, known.begins[places], known.sizes[places])
+        assert bytes(joined.tolist()).decode() == "".join(words)
+        assert len(known.place) <= 50 + len(words)
+    assert made.count("the") < 10
+
+
 def test_other_tokenizers_get_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     encoder = token_store.TextEncoder(path)
