@@ -115,12 +115,15 @@ class PieceModel:
             at = -max(scores)[1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _apart(self, left: int, token: int) -> bool:
+    def left_apart(self, left: int, token: int) -> bool:
         """Whether merging leaves ``left`` and ``token`` as they are; 0 for ``left`` is the begin of a word."""
+        parts = [self._string(left)] * (left != 0) + [self._string(token)]
+        return self.merged("".join(parts)) == parts
+
+    def _apart(self, left: int, token: int) -> bool:
         if len(self.apart) >= REMEMBERED_PAIRS:
             self.apart.clear()
-        parts = [self._string(left)] * (left != 0) + [self._string(token)]
-        known = self.apart[left * PAIR + token] = self.merged("".join(parts)) == parts
+        known = self.apart[left * PAIR + token] = self.left_apart(left, token)
         return known
 
     def lattice(self, word: str, every: bool = True) -> tuple[list[int], list[int]]:

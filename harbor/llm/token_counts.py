@@ -6,44 +6,78 @@ the sum over its whole words plus an entry of the word that it ends in. Question
 about truncation and budgets are look-ups in these tables; nothing is encoded again.
 """
 
-from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harbor.llm.common import keeps, text_slices, trimmed, whole_text
-from harbor.llm.pieces import PieceModel, piece_model
-from harbor.llm.recent import RecentWords
+from harbor.llm.pieces import BYTE_PAIR, MARK, PieceModel, piece_model
+from harbor.llm.recent import KnownRows
+from harbor.llm.side_by_side import SideBySide
 
-
-REMEMBERED_TABLES = 80_000  # words of a generation; a table is larger than the ids of a word
+BATCH_BYTES = 2_000_000  # text that is worked on at once
 
 
 class PrefixCounts:
-    """Tables of prefix counts of words, the recent ones remembered."""
+    """Tables of prefix counts of words, those that come back remembered."""
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.words = RecentWords(lambda words: [array("i", model.lattice(model.marked(word))[1]) for word in words], REMEMBERED_TABLES)
-
-    def totals(self, texts: list[str]) -> tuple[np.ndarray, Callable[[int], list[array]]]:
-        """The number of tokens of each text, and what gives the tables of one of them."""
-        split = [self.model.words(text) for text in texts]
-        numbers, values = self.words.coded(split)
-        ends = np.cumsum([0, *map(len, split)])
-        sums = np.append(0, np.cumsum(np.array([table[-1] for table in values], np.int64)[numbers]))
-        return sums[ends[1:]] - sums[ends[:-1]], lambda n: [values[number] for number in numbers[ends[n] : ends[n + 1]]]
-
-    def tables(self, texts: list[str]) -> list[list[array]]:
-        """For each word of each text the number of tokens of its prefixes of 0, 1, ... characters."""
-        return self.words.of([self.model.words(text) for text in texts])
-
-    def counts(self, tables: list[array]) -> list[int]:
+        self.side_by_side = SideBySide(model) if model.kind == BYTE_PAIR else None
+        self.words = KnownRows(self._tables)
+
+    def _tables(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        listed = words.to_numpy(zero_copy_only=False).tolist()
+        if self.side_by_side:
+            return self.side_by_side.prefix_counts(listed)
+        tables = [self.model.lattice(word)[1] for word in listed]
+        return np.fromiter(chain.from_iterable(tables), np.int32, sum(map(len, tables))), np.array(list(map(len, tables)), np.int64)
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words of texts as they stand in the marked text, the texts in the order in which these are, and where the words of each end, from 0 on.
+
+        Texts that ``PieceModel.words`` cuts at blanks and line feeds alone are cut by Arrow, and come first.
+        """
+        plain = np.zeros(len(texts), bool)
+        if self.model.by_word and self.model.by_line and self.model.prefix:
+            odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)), pc.starts_with(texts, " "))
+            plain = ~np.asarray(pc.or_(odd, pc.equal(texts, "")))
+        marked = pc.replace_substring(pc.replace_substring(texts.filter(pa.array(plain)), " ", " " + MARK), "\n", " \n ")
+        cut = pc.split_pattern(pc.binary_join_element_wise(MARK, marked, ""), " ")
+        others = [self.model.words(text) for text in texts.filter(pa.array(~plain)).to_pylist()]
+        rest = pa.array(list(map(self.model.marked, chain.from_iterable(others))), cut.type.value_type)
+        counts = np.append(np.diff(np.asarray(cut.offsets)), list(map(len, others))).astype(np.int64)
+        return pa.concat_arrays([cut.values, rest]), np.argsort(~plain, kind="stable"), np.append(0, np.cumsum(counts))
+
+    def totals(self, texts: pa.Array) -> tuple[np.ndarray, Callable[[int], list[list[int]]]]:
+        """The number of tokens of each text, and what gives the tables of one of them:
+        for each of its words the number of tokens of its prefixes of 0, 1, ... characters."""
+        words, order, ends = self._split(texts)
+        coded = words.dictionary_encode()
+        places = self.words.of(coded.dictionary)
+        values, begins, numbers = self.words.values, self.words.begins[places], np.asarray(coded.indices)
+        stops = begins + self.words.sizes[places]
+        sums = np.append(0, np.cumsum(values[stops - 1].astype(np.int64)[numbers]))
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+
+        def tables(n: int) -> list[list[int]]:
+            own = numbers[ends[where[n]] : ends[where[n] + 1]]
+            return [values[begin:stop].tolist() for begin, stop in zip(begins[own].tolist(), stops[own].tolist(), strict=True)]
+
+        return np.diff(sums[ends])[where], tables
+
+    def tables(self, texts: list[str]) -> list[list[list[int]]]:
+        """The tables of each text."""
+        return list(map(self.totals(pa.array(texts, pa.string()))[1], range(len(texts))))
+
+    def counts(self, tables: list[list[int]]) -> list[int]:
         """The number of tokens of every prefix of a text, of 0, 1, ... all its characters."""
         out, before = [], 0
         for table in tables:
@@ -51,7 +85,7 @@ class PrefixCounts:
             before += table[-1]
         return [0] + out[len(self.model.prefix) :]
 
-    def cut(self, tables: list[array], budget: int) -> int:
+    def cut(self, tables: list[list[int]], budget: int) -> int:
         """The length of the longest prefix of at most ``budget`` tokens, of a text that has more."""
         sums = list(accumulate(table[-1] for table in tables))
         whole = bisect_right(sums, budget)  # words that fit whole
@@ -87,11 +121,12 @@ def count_tokens(
         counter = prefix_counter(model)
         for batch in trimmed(batches, "counts"):
             totals, cuts, prefix_counts = [], [], []
-            for a, b in text_slices(batch.column(1)):
-                texts = batch.column(1).slice(a, b - a).to_pylist()
+            for a, b in text_slices(batch.column(1), BATCH_BYTES):
+                texts = batch.column(1).slice(a, b - a)
                 sums, tables = counter.totals(texts)
                 totals += sums.tolist()
-                cuts += [len(text) if total <= limit else counter.cut(tables(n), limit) for n, (text, total) in enumerate(zip(texts, sums.tolist(), strict=True))]
+                lengths = pc.utf8_length(texts).to_pylist()
+                cuts += [size if total <= limit else counter.cut(tables(n), limit) for n, (size, total) in enumerate(zip(lengths, sums.tolist(), strict=True))]
                 if prefixes:
                     prefix_counts += [counter.counts(tables(n)) for n in range(len(texts))]
             columns = [

@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from harbor.llm import sentencepieces, token_counts, token_store
+from harbor.llm import sentencepieces, side_by_side, token_counts, token_store
 from harbor.llm.pieces import MARK, PieceModel, piece_model
 from harbor.llm.queries import BYTE_BPE, END_ID, PIECE_BPE
 from harbor.llm.recent import KnownRows, in_rows
@@ -142,6 +142,28 @@ def test_prefix_counts_equal_encoding_each_prefix():
                 assert counter.cut(counter.tables([text])[0], budget) == fitting
 
 
+def test_words_are_segmented_side_by_side(monkeypatch):
+    model = PieceModel(open(PIECE_BPE, "rb").read())
+    one_by_one, calls = model.lattice, []
+    monkeypatch.setattr(model, "lattice", lambda word, **options: calls.append(word) or one_by_one(word, **options))
+    texts = [*odd_texts(), " ".join(f"w{n}é日 a\nb" for n in range(2_000)), "x" * 200 + " y"]
+    sums, tables = token_counts.PrefixCounts(model).totals(pa.array(texts))
+    assert sums.tolist() == [len(ids) for ids in LIBRARY.encode(texts)]
+    assert calls and all(len(word) > side_by_side.LONGEST for word in calls)
+    for n, text in enumerate(texts):
+        assert tables(n) == [one_by_one(model.marked(word))[1] for word in model.words(text)]
+
+
+def test_tables_answer_for_many_keys():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(-(2**62), 2**62, 4_000))
+    table = side_by_side.Table(3_000)
+    table.add(keys[:2_000], np.arange(2_000))
+    table.add(keys[2_000:3_000], np.arange(2_000, 3_000))
+    assert (table.of(keys) == np.append(np.arange(3_000), np.full(len(keys) - 3_000, -1))).all()
+    assert len(table.of(keys[:0])) == 0
+
+
 def unigram(pieces):
     """A unigram model file with the given pieces and scores, byte pieces added."""
 
