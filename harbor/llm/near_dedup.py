@@ -122,7 +122,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     A null text is empty; a null id comes after all others. An empty table gives no rows.
     """
     texts = with_row(docs).select(ROW, F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    texts = texts if has_rows(docs) else materialize(texts, "numbered")
+    texts = texts if has_rows(docs) else materialize(texts, "numbered", dense=True)
     keyed = texts.select(ROW, "doc_id", F.unhex(F.sha2("text", 256)).alias("key"), "text")
     signed = materialize(band_keys(keyed), "signed")
     nodes = materialize(signed.groupBy("key").agg(F.min(ROW).alias("node")), "nodes", few=True)
@@ -132,7 +132,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     each = banded.select("node", F.explode("bands").alias("bucket"))
     heads = each.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(each.join(materialize(heads.select("bucket", "head"), "heads", few=True), "bucket"), "members")
+    heads = materialize(heads.select("bucket", "head"), "heads", few=True)
+    members = materialize(each.join(heads, "bucket"), "members")
+    discard(heads)
     candidates = materialize(members.select("node").distinct(), "candidates", few=True)
     sets = texts.select(F.col(ROW).alias("node"), "text").join(candidates, "node", "left_semi")
     sets = materialize(shingle_sets(sets), "sets")
@@ -147,7 +149,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # One test of each node with each other class that it meets joins most of what belongs together.
     rounds = DECIDING_ROUNDS
     while True:
-        members = materialize(_open(_rooted(members, roots)), "open", few=True)
+        met, members = members, materialize(_open(_rooted(members, roots)), "open", few=True)
+        discard(met)
         if members.isEmpty():
             break
         bounded = _with_bound(members, sets)
@@ -163,6 +166,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         if not rounds:
             break
         rounds = rounds - 1 if linked else 0
+    discard(sets)
+    discard(members)
 
     classed = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left")
     classed = materialize(classed.select("key", F.coalesce("root", "node").alias("root")), "classed", few=True)

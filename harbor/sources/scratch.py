@@ -39,18 +39,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 FILES_PER_CORE = 2  # of a table of few files
 
 
-def materialize(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, few: bool = False, dense: bool = False) -> DataFrame:
     """Write ``df`` once and return the written table.
 
     The result has no lineage, survives lost executors, and the planner knows its
     size. The table stays until ``release`` is called. ``few`` bounds the number of its files
     by the cores, for the many small tables of a loop; the parts of a file are written one after
-    another, so it takes no more memory.
+    another, so it takes no more memory. ``dense`` compresses harder, for texts.
     """
     if few:
         df = df.coalesce(max(8, FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", "zstd") if dense else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

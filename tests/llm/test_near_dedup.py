@@ -8,6 +8,7 @@ import pytest
 
 from harbor.llm import dart_minhash, near_dedup
 from harbor.llm.words import mix, shingles, words_of
+from harbor.sources import scratch
 from tests.llm.tables import AWKWARD, documents
 
 
@@ -96,6 +97,24 @@ def test_bound_drops_no_link(spark):
     assert {r.doc_id: r.class_id for r in found} == {row[0]: c for row, c in zip(rows, classes(rows), strict=True)}
 
 
+def test_tables_go_when_they_are_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "_root", lambda spark: str(tmp_path))
+    codecs = set()
+    discard = near_dedup.discard
+
+    def look(table):
+        codecs.update(file.split(".")[-2] for file in table.inputFiles() if "/numbered-" in file)
+        discard(table)
+
+    monkeypatch.setattr(near_dedup, "discard", look)
+    rows = corpus(1, 60)
+    found = near_dedup.near_classes(documents(spark, rows)).collect()
+    assert {r.doc_id: r.class_id for r in found} == {row[0]: c for row, c in zip(rows, classes(rows), strict=True)}
+    left = {folder.name.rsplit("-", 1)[0] for folder in tmp_path.iterdir()}
+    assert not left & {"numbered", "heads", "members", "open", "sets"} and "signed" in left
+    assert codecs == {"zstd"}
+
+
 def test_words_and_shingles():
     texts = ["", " ", "one", "A b\tc d", "a B c d e", "a b c d e f a b c d e", "É è　ñ 日本 🎉x y"]
     words = words_of(texts)
