@@ -102,5 +102,6 @@ class KnownRows:
 
 def in_rows(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The stretches of ``values`` from ``begins`` on, one after another."""
-    ends = np.cumsum(sizes)
-    return values[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    places = np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
+    places += np.arange(len(places))
+    return values[places]

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harbor.llm.common import text_slices, whole_text
+from harbor.llm.common import keeps, text_slices, trimmed, whole_text
 from harbor.llm.recent import KnownRows, in_rows
 
 STORE_SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
@@ -37,14 +37,15 @@ LAYOUT = {
     "parquet.enable.dictionary#first": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-BATCH_BYTES = 2_000_000  # text encoded at once
-ROW_PARTS = 256  # parts of words given to the library in a row
-BETWEEN = b"\xff"  # between them; no UTF-8 has this byte
+BATCH_BYTES = 3_000_000  # text encoded at once
+PIECES = 320_000  # remembered pieces of words
+ROW_PARTS = 64  # parts of words given to the library in a row
+ROWS_AT_ONCE = 64  # rows in one call
+BETWEEN = 0xFF  # the byte between them; no UTF-8 has it
 
 
 # Fixed value: how byte-level tokenizers split a text before merging.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ABOVE_LATIN = "[^\\x{0}-\\x{24F}]"  # up to there the classes of characters are the same in every Unicode version
 
 
@@ -55,43 +56,104 @@ def byte_characters() -> dict[int, str]:
     return {byte: chr(byte) for byte in printed} | {byte: chr(256 + n) for n, byte in enumerate(others)}
 
 
+LETTER, DIGIT, MARK, FEED, BLANK, HARD = range(6)
+
+
+@cache
+def byte_classes() -> np.ndarray:
+    """Classes of bytes, by which words are cut; ``HARD`` are those by which it cannot be told where to cut.
+
+    The bytes of letters from U+00C0 to U+023F count as letters. An apostrophe may begin an ending (``'s``).
+    """
+    classes = np.full(256, HARD, np.uint8)
+    classes[33:127] = [LETTER if char.isalpha() else DIGIT if char.isdigit() else MARK for char in map(chr, range(33, 127))]
+    classes[0x80:0xC0] = classes[0xC3:0xC9] = LETTER
+    classes[ord("\n")], classes[ord(" ")], classes[ord("'")] = FEED, BLANK, HARD
+    return classes
+
+
+def cut_words(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words, each with its blank, cut as they are before merging, and the number of pieces of each. Hard ones stay whole."""
+    offsets, data = bytes_of(words)
+    classes = byte_classes()[data]
+    starts = np.zeros(len(data) + 1, bool)
+    starts[offsets] = True
+    of_word = np.cumsum(starts, dtype=np.int32) - 1
+    whole = np.zeros(len(words) + 1, bool)
+    whole[of_word[np.flatnonzero(hard_bytes(data, classes))]] = True
+    cuts = np.append(False, classes[1:] != classes[:-1])
+    cuts[offsets[:-1]] = False
+    cuts[offsets[:-1][np.diff(offsets) > 1] + 1] = False
+    at = np.flatnonzero(cuts)
+    at = at[~whole[of_word[at]]]
+    starts[at] = True
+    pieces = pa.py_buffer(np.flatnonzero(starts).astype(np.int32))
+    counts = 1 + np.bincount(of_word[at], minlength=len(words))
+    return pa.StringArray.from_buffers(int(counts.sum()), pieces, pa.py_buffer(data)), counts
+
+
+def hard_words(words: pa.Array) -> np.ndarray:
+    """Which of the words, or pieces of words, are hard to cut."""
+    offsets, data = bytes_of(words)
+    hard = hard_bytes(data, byte_classes()[data])
+    before = np.append(0, np.cumsum(hard, dtype=np.int32))
+    return before[offsets[1:]] > before[offsets[:-1]]
+
+
+def hard_bytes(data: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Bytes of no plain class, of the signs U+00D7 and U+00F7 among the letters, and line feeds after white space."""
+    hard = classes == HARD
+    hard[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    hard[1:] |= (classes[1:] == FEED) & ((classes[:-1] == FEED) | (classes[:-1] == BLANK))
+    return hard
+
+
+def bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, with the end of the last, and the bytes of all words. No null."""
+    _, offsets, data = words.buffers()
+    if not len(words) or data is None:
+        return np.zeros(len(words) + 1, np.int32), np.zeros(0, np.uint8)
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    return offsets - offsets[0], np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+
+
 class TextEncoder:
     """Ids of whole texts by the tokenizers library.
 
     A byte-level tokenizer never joins across a single blank: the blank begins the
-    next word. Words are then encoded by the library once and remembered: new ones are
-    split into parts as before merging, and many different parts go through the library's
-    model in a row. Texts with two blanks in a row or with an added token, and all texts
-    of other kinds of tokenizers, are given to the library whole.
+    next word. The words of a slice of texts are cut into the pieces that are merged by
+    themselves; a piece is encoded by the library once and remembered, many different ones
+    in a row. Words that the classes of bytes do not tell how to cut are remembered whole.
+    Texts with two blanks in a row or with an added token, and all texts of other kinds
+    of tokenizers, are given to the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         described = json.loads(self.tokenizer.to_str())
-        splitter = described.get("pre_tokenizer") or {}
-        self.characters = byte_characters()
+        model, splitter = described["model"], described.get("pre_tokenizer") or {}
+        characters = byte_characters()
         entries = self.tokenizer.get_vocab()
         self.by_word = (
             described.get("normalizer") is None
-            and described["model"]["type"] == "BPE"
+            and model["type"] == "BPE"
+            and not any(model.get(key) for key in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
             and splitter.get("type") == "ByteLevel"
             and splitter.get("use_regex", True)
             and not splitter.get("add_prefix_space", True)
-            and set(self.characters.values()) <= entries.keys()
+            and set(characters.values()) <= entries.keys()
+            and [entry for entry in entries if characters[BETWEEN] in entry] == [characters[BETWEEN]]
         )
         self.whole = ["  "] + [token["content"] for token in described.get("added_tokens", [])]
         self.split = regex.compile(BYTE_LEVEL_SPLIT).findall
-        # The model alone, on parts that are spelled in byte characters already; none of these is a blank.
+        # The model alone, on parts that are spelled in byte characters already. No merge crosses the byte between them.
         self.merging = Tokenizer(self.tokenizer.model)
-        self.merging.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        self.spelling = self.characters | {BETWEEN[0]: " "}
-        self.bytes = np.zeros(max(entries.values()) + 1, np.int64)
-        for entry, number in entries.items():
-            self.bytes[number] = len(entry)
-        self.words = KnownRows(self._word_ids)
+        self.spelling = np.array([ord(characters[byte]) for byte in range(256)], "<u4")
+        self.between = entries.get(characters[BETWEEN])
+        self.pieces = KnownRows(self._piece_ids, PIECES)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -110,71 +172,65 @@ class TextEncoder:
         after = np.ones(len(words), bool)
         after[starts] = False
         coded = words.filter(pa.array(after)).dictionary_encode()
-        places = self.words.of(coded.dictionary)
+        known, known_sizes = self._words(coded.dictionary)
         alone, sizes_alone = self._library(words.take(pa.array(starts)).to_pylist() + texts.filter(whole).to_pylist())
         # Rows: words after a blank, first words of texts, whole texts.
-        values = np.concatenate([self.words.values, alone])
-        begins = np.concatenate([self.words.begins[places], len(self.words.values) + np.cumsum(sizes_alone) - sizes_alone])
-        sizes = np.concatenate([self.words.sizes[places], sizes_alone])
+        values, sizes = np.concatenate([known, alone]), np.concatenate([known_sizes, sizes_alone])
+        begins = np.cumsum(sizes) - sizes
         rows, of_whole = np.empty(len(words), np.int64), np.asarray(whole)
         rows[after] = np.asarray(coded.indices)
-        rows[starts] = len(places) + np.arange(len(plain))
+        rows[starts] = len(known_sizes) + np.arange(len(plain))
         counts = np.ones(len(texts), np.int64)
         counts[~of_whole] = np.diff(np.asarray(split.offsets))
         last = np.cumsum(counts)
         order = np.empty(int(last[-1]) if len(last) else 0, np.int64)
         in_plain = np.repeat(~of_whole, counts)
         order[in_plain] = rows
-        order[~in_plain] = len(places) + len(plain) + np.arange(len(texts) - len(plain))
+        order[~in_plain] = len(known_sizes) + len(plain) + np.arange(len(texts) - len(plain))
         each = sizes[order]
         return in_rows(values, begins[order], each), np.append(0, np.cumsum(each))[np.append(0, last)]
 
-    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words after a blank."""
-        letters = pc.utf8_rtrim(words, PUNCTUATION)
-        known = pc.invert(pc.match_substring_regex(words, ABOVE_LATIN))
-        simple = pc.and_(known, pc.and_(pc.utf8_is_alpha(letters), pc.equal(pc.binary_length(letters), pc.binary_length(words))))
-        counts, parts = np.ones(len(words), np.int64), []
-        others = np.flatnonzero(~np.asarray(simple))
-        for at, word, own in zip(others.tolist(), words.take(pa.array(others)).to_pylist(), np.asarray(known)[others].tolist(), strict=True):
-            found = self._parts(word) if own else []
-            parts += found
-            counts[at] = len(found)
-        # Parts of words in order; a word with characters above those classes is given to the library whole.
-        known = np.asarray(known)
-        single = np.repeat(np.asarray(simple), counts)
-        order = np.empty(len(single), np.int64)
-        order[single] = np.arange(np.count_nonzero(single))
-        order[~single] = np.count_nonzero(single) + np.arange(len(parts))
-        listed = pc.binary_join_element_wise("", words.filter(simple), " ")
-        coded = pa.concat_arrays([listed, pa.array(parts, pa.string())]).dictionary_encode()
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words after a blank in a row, and how many are of each."""
+        pieces, counts = cut_words(pc.binary_join_element_wise("", words, " "))
+        coded = pieces.dictionary_encode()
+        places = self.pieces.of(coded.dictionary)[np.asarray(coded.indices)]
+        sizes = self.pieces.sizes[places]
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
+        return in_rows(self.pieces.values, self.pieces.begins[places], sizes), np.diff(ends)
+
+    def _piece_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in a row, and how many are of each."""
+        above = np.asarray(pc.match_substring_regex(pieces, ABOVE_LATIN))
+        hard = hard_words(pieces) & ~above
+        # Plain pieces, parts of hard ones, pieces with characters above those classes: these are given to the library as texts.
+        parts = [self.split(piece) for piece in pieces.filter(pa.array(hard)).to_pylist()]
+        plain = pieces.filter(pa.array(~hard & ~above))
+        coded = pa.concat_arrays([plain, pa.array(chain.from_iterable(parts), pa.string())]).dictionary_encode()
         values, sizes = self._part_ids(coded.dictionary)
-        alone, sizes_alone = self._library(pc.binary_join_element_wise("", words.filter(pa.array(~known)), " ").to_pylist())
-        begins = np.concatenate([np.cumsum(sizes) - sizes, len(values) + np.cumsum(sizes_alone) - sizes_alone])
-        sizes = np.concatenate([sizes, sizes_alone])
-        rows = np.empty(len(order) + len(sizes_alone), np.int64)
-        with_parts = np.repeat(known, np.maximum(counts, 1))
-        rows[with_parts] = np.asarray(coded.indices)[order]
-        rows[~with_parts] = len(coded.dictionary) + np.arange(len(sizes_alone))
+        alone, sizes_alone = self._library(pieces.filter(pa.array(above)).to_pylist())
+        counts = np.ones(len(pieces), np.int64)
+        counts[hard] = np.fromiter(map(len, parts), np.int64, len(parts))
+        order = np.argsort(np.repeat(hard + 2 * above, counts), kind="stable")
+        rows = np.empty(len(order), np.int64)
+        rows[order] = np.append(np.asarray(coded.indices), len(sizes) + np.arange(len(sizes_alone)))
+        values, sizes = np.concatenate([values, alone]), np.concatenate([sizes, sizes_alone])
         each = sizes[rows]
-        ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(np.maximum(counts, 1)))]
-        return in_rows(np.concatenate([values, alone]), begins[rows], each), np.diff(ends)
-
-    def _parts(self, word: str) -> list[str]:
-        """A blank and ``word`` as they are split before merging; letters, and punctuation after them, by themselves."""
-        letters = word.rstrip(PUNCTUATION)
-        if letters.isalpha():
-            return [" " + word] if len(letters) == len(word) else [" " + letters, word[len(letters) :]]
-        return self.split(" " + word)
+        ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(counts))]
+        return in_rows(values, (np.cumsum(sizes) - sizes)[rows], each), np.diff(ends)
 
     def _part_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of parts, many in one call; the bytes of the ids tell where each part ends."""
-        rows = pa.ListArray.from_arrays(pa.array([*range(0, len(parts), ROW_PARTS), len(parts)], pa.int32()), parts.cast(pa.binary()))
-        spelled = [row.decode("latin-1").translate(self.spelling) for row in pc.binary_join(rows, BETWEEN).to_pylist()]
-        encoded = [one.ids for one in self.merging.encode_batch_fast(spelled, add_special_tokens=False)]
-        ids = np.fromiter(chain.from_iterable(encoded), np.int32, sum(map(len, encoded)))
-        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(np.asarray(pc.binary_length(parts)))) + 1
-        return ids, np.diff(ends, prepend=0)
+        """The ids of parts in a row, and how many are of each; many go to the library in one call."""
+        bounds = pa.array([*range(0, len(parts), ROW_PARTS), len(parts)], pa.int32())
+        rows = pc.binary_join(pa.ListArray.from_arrays(bounds, parts.cast(pa.binary())), bytes([BETWEEN]))
+        spelled = [self.spelling[np.frombuffer(row, np.uint8)].tobytes().decode("utf-32-le") for row in rows.to_pylist()]
+        found = []
+        for begin in range(0, len(spelled), ROWS_AT_ONCE):
+            encoded = self.merging.encode_batch_fast(spelled[begin : begin + ROWS_AT_ONCE], add_special_tokens=False)
+            found += [np.array([*one.ids, self.between], np.int32) for one in encoded]
+        ids = np.concatenate([np.zeros(0, np.int32), *found])
+        between = ids == self.between
+        return ids[~between], np.diff(np.flatnonzero(between), prepend=-1) - 1
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many are of each."""
@@ -189,6 +245,9 @@ def text_encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
+keeps("tokens", text_encoder.cache_clear)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of a store: ids of every whole text and ``end_id``, ranges of documents in ascending order.
 
@@ -202,7 +261,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, first = text_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in trimmed(batches, "tokens"):
             for a, b in text_slices(batch.column(1), BATCH_BYTES):
                 found, ends = encoder.in_a_row(batch.column(1).slice(a, b - a))
                 ids = np.insert(found, ends[1:], end_id)

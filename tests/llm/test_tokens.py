@@ -1,5 +1,6 @@
 """Token store, piece segmentation and prefix counts against the libraries."""
 
+import json
 import random
 import zlib
 from array import array
@@ -54,6 +55,53 @@ def test_new_words_are_encoded_in_rows():
     assert 0 < len(rows) < len(words) / 50
 
 
+def test_pieces_of_words_are_encoded_once():
+    encoder = token_store.TextEncoder(BYTE_BPE)
+    words, rows = [f"{a}{b}ship" for a in "abcdefghij" for b in "klmnopqrst"], []
+    library, merging = Tokenizer.from_file(BYTE_BPE), encoder.merging
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            rows.extend(texts)
+            return merging.encode_batch_fast(texts, **options)
+
+    encoder.merging = Counted()
+    for mark in ["", ",", ".\n", "?!", "1", "\nOn"]:
+        text = "on " + " ".join(word + mark for word in words)
+        [ids] = encoder.encode([text])
+        assert list(array("I", ids)) == library.encode(text, add_special_tokens=False).ids
+    assert "".join(rows).count("ship") == len(words)
+
+
+def test_words_are_cut_as_before_merging():
+    rng = random.Random(8)
+    below = [chr(code) for code in range(0x250) if code != 32]
+    words = [form.format(char) for char in [*below, "\u0250", "\u2003", "日"] for form in ("{0}", "a{0}", "{0}1", "a{0}b", "{0}{0}", "é{0}\n", "1{0}.")]
+    words += ["".join(rng.choices([*"aé1,.\n'", "×", "'s", "ab"], k=rng.randint(0, 9))) for _ in range(3_000)] + ["", "x" * 5_000]
+    spelled = pa.array([" " + word for word in words])
+    pieces, counts = token_store.cut_words(spelled)
+    pieces, hard, at = pieces.to_pylist(), token_store.hard_words(spelled).tolist(), 0
+    assert sum(counts) == len(pieces) and 0 < sum(hard) < len(words) - 1_000
+    split = token_store.TextEncoder(BYTE_BPE).split
+    for word, whole, count in zip(spelled.to_pylist(), hard, counts.tolist(), strict=True):
+        assert pieces[at : at + count] == ([word] if whole else split(word))
+        at += count
+    library = Tokenizer.from_file(BYTE_BPE)
+    texts = ["on" + word + " on" for word in spelled.to_pylist()] + [" ".join(words)]
+    ids = token_store.TextEncoder(BYTE_BPE).encode(texts)
+    assert [list(array("I", one)) for one in ids] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("changed", [{"ignore_merges": True}, {"continuing_subword_prefix": "##"}, {"end_of_word_suffix": "</w>"}, {"dropout": 0.1}])
+def test_models_that_merge_otherwise_get_whole_texts(tmp_path, changed):
+    described = json.loads(Tokenizer.from_file(BYTE_BPE).to_str())
+    described["model"] = {**described["model"], **changed, "vocab": {c: n for n, c in enumerate(token_store.byte_characters().values())}, "merges": []}
+    described["added_tokens"] = []
+    path = tmp_path / "changed.json"
+    path.write_text(json.dumps(described))
+    assert not token_store.TextEncoder(str(path)).by_word
+
+
 def test_words_that_come_back_stay():
     made = []
 
