@@ -37,8 +37,8 @@ LAYOUT = {
     "parquet.enable.dictionary#first": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-BATCH_BYTES = 3_000_000  # text encoded at once
-PIECES = 320_000  # remembered pieces of words
+BATCH_BYTES = 4_000_000  # text encoded at once
+PIECES = 480_000  # remembered pieces of words
 ROW_PARTS = 64  # parts of words given to the library in a row
 ROWS_AT_ONCE = 64  # rows in one call
 BETWEEN = 0xFF  # the byte between them; no UTF-8 has it
